@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 A text becomes counts of hashed byte trigrams over its whole length, damped and
-weighted by inverse document frequency; a truncated singular value decomposition
+weighted by inverse document frequency, and shares that tell its style (repeated
+words and lines, capitals, signs); a truncated singular value decomposition
 of a bounded sample of labelled texts maps it to a short unit vector. The
 labelled vectors are broadcast (their number is the bounded parameter
 ``examples``), and blocks of documents get exact cosine products with all of
@@ -18,16 +19,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, fold
-from quarry.llm.textkernel import PAD, Chunk, chunks
+from quarry.llm.textkernel import PAD, Chunk, byte_set, chunks, span_hashes, words
 
 FEATURES, DIMENSIONS, EXAMPLES, NEIGHBOURS = 2048, 48, 4000, 15
 #: Exponent of the similarity in a vote, and weight of the prior.
 SHARPNESS, PRIOR_WEIGHT = 8.0, 0.05
 BLOCK = 256
+#: Weight of the style beside a unit vector of trigrams, and words between repeats that count.
+STYLE_WEIGHT, LAGS = 1.5, (1, 2, 3, 4)
+STYLES = len(LAGS) + 4
+
+_CAPITAL, _SIGN, _DIGIT = byte_set((0x41, 0x5A)), byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)), byte_set((0x30, 0x39))
+_NEWLINE = byte_set((0x0A, 0x0A))
+
+
+def _repeats(chunk: Chunk, separators: np.ndarray | None, lags: tuple[int, ...]) -> list[np.ndarray]:
+    """For each lag the share of each text's words (or lines) that equal the one so many before."""
+    starts, lengths, bounds = words(chunk, separators) if separators is not None else words(chunk)
+    h = span_hashes(chunk.buf, starts, lengths)
+    row = np.repeat(np.arange(chunk.rows), np.diff(bounds))
+    n = np.maximum(np.diff(bounds), 1)
+    return [np.bincount(row[k:][(h[k:] == h[:-k]) & (row[k:] == row[:-k])], minlength=chunk.rows) / n for k in lags]
+
+
+def style(chunk: Chunk) -> np.ndarray:
+    """Shares (rows, STYLES) between 0 and 1."""
+    n = np.maximum(np.diff(chunk.offsets), 1)
+    b = chunk.buf[: len(chunk.buf) - PAD]
+    shares = []
+    for table in (_CAPITAL, _SIGN, _DIGIT):
+        total = np.concatenate([[0], np.cumsum(table[b])])
+        shares.append((total[chunk.offsets[1:]] - total[chunk.offsets[:-1]]) / n)
+    return np.stack([*_repeats(chunk, None, LAGS), *_repeats(chunk, _NEWLINE, (1,)), *shares], axis=1).astype(np.float32)
 
 
 def trigram_counts(chunk: Chunk) -> np.ndarray:
-    """Damped counts (rows, FEATURES) of hashed byte trigrams; a text of one or two bytes has none."""
+    """Damped counts (rows, FEATURES) of hashed byte trigrams, none for a text of one or two bytes, and the style."""
     n = len(chunk.buf) - PAD
     b = chunk.buf[: n + 2].astype(np.uint32)
     h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
@@ -38,7 +65,14 @@ def trigram_counts(chunk: Chunk) -> np.ndarray:
         a, z = chunk.offsets[i], max(chunk.offsets[i + 1] - 2, chunk.offsets[i])
         if z > a:
             out[i] = np.bincount(cell[a:z], minlength=FEATURES)
-    return np.log1p(out, out=out)
+    return np.concatenate([np.log1p(out, out=out), style(chunk)], axis=1)
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors with the weighted style beside them."""
+    x = counts[:, :FEATURES] * idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return np.concatenate([x, counts[:, FEATURES:] * np.float32(STYLE_WEIGHT)], axis=1)
 
 
 @dataclass
@@ -50,7 +84,7 @@ class Model:
     prior: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        v = (counts * self.idf) @ self.project
+        v = weighted(counts, self.idf) @ self.project
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
@@ -83,23 +117,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
 
     sample = labelled_sample(docs, labels, label, examples, id_col, text_col).select(F.col("id").cast("long"), "text", "y")
     got = sorted(sample.mapInArrow(run, "id long, x binary, y double").limit(examples).collect())
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(-1, FEATURES)
+    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(-1, FEATURES + STYLES)
     y = np.array([r["y"] for r in got], np.float64)
     n = len(y)
-    idf = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
+    idf = np.log((1 + n) / (1 + (x[:, :FEATURES] > 0).sum(axis=0))).astype(np.float32) + 0.1
     prior = float(y.mean()) if n else 0.5
     if not n:
-        return Model(idf, np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), y, prior)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return Model(idf, np.zeros((FEATURES + STYLES, 1), np.float32), np.zeros((0, 1), np.float32), y, prior)
+    counts, x = x, weighted(x, idf)
     rank = min(DIMENSIONS, n, FEATURES)
     rng = np.random.default_rng(11)
-    q = np.linalg.qr(x @ rng.standard_normal((FEATURES, min(rank + 16, n, FEATURES)), dtype=np.float32))[0]
+    q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(rank + 16, n, FEATURES)), dtype=np.float32))[0]
     for _ in range(4):  # subspace iterations of the randomised decomposition
         q = np.linalg.qr(x @ (x.T @ q))[0]
     _, _, vt = np.linalg.svd(q.T @ x, full_matrices=False)
     model = Model(idf, np.ascontiguousarray(vt[:rank].T), np.zeros((0, rank), np.float32), y, prior)
-    model.vectors = model.embed(x / idf)
+    model.vectors = model.embed(counts)
     return model
 
 

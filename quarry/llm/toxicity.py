@@ -26,10 +26,10 @@ from quarry.llm.textkernel import Chunk, byte_set, chunks, span_hashes, words
 EXAMPLES, VOCABULARY, NEIGHBOURS, BLOCK = 8000, 512, 15, 64
 #: Bytes of the word starts; 0: the whole word.
 STARTS = (0, 4, 5, 6)
-#: A feature needs so many examples with it, and this chi-squared score.
-LEAST_EXAMPLES, LEAST_SCORE = 4, 25.0
+#: A feature needs so many examples with it, or this part of all if that is more, this chi-squared score and this share of labelled ones.
+LEAST_EXAMPLES, LEAST_PART, LEAST_SCORE, LEAST_SHARE = 4, 1 / 500, 40.0, 0.85
 #: Weight of the rate among examples without features.
-SMOOTHING = 0.5
+SMOOTHING = 0.05
 
 #: Everything but ASCII letters and the bytes of other characters separates words.
 _NOT_LETTERS = ~byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -147,14 +147,16 @@ def _sample_features(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``examples`` labelled rows outside the held-out fold."""
     sample = labelled_sample(docs, labels, label, examples, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", "y")
-    total, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    # copies, exact or near, must not make features of their own words
+    apart = sample.withColumn("head", F.substring("text", 1, 80)).withColumn("tail", F.right("text", F.lit(80))).dropDuplicates(["head"]).dropDuplicates(["tail"]).select("id", "text", "y")
+    total, positive = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     model = Model(np.zeros(0, np.uint64), [], np.zeros(0), BlockMaxIndex(np.zeros((0, 0))), np.zeros(0), np.zeros(0, np.int64), positive / total if total else 0.0)
     if not total or not 0 < positive < total:
         return model
     a, b = F.col("positive"), F.col("n") - F.col("positive")
     c, d = F.lit(positive) - a, F.lit(total - positive) - b
     chi = total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    best = _sample_features(sample).where(f"n >= {LEAST_EXAMPLES} AND n < {total}").withColumn("chi", chi).where(F.col("chi") >= LEAST_SCORE).where(a * d > b * c).orderBy(F.desc("chi"), "h").limit(VOCABULARY).collect()
+    best = _sample_features(apart).where(f"n >= {max(LEAST_EXAMPLES, total * LEAST_PART)} AND n < {total}").withColumn("chi", chi).where(F.col("chi") >= LEAST_SCORE).where(a >= LEAST_SHARE * (a + b)).orderBy(F.desc("chi"), "h").limit(VOCABULARY).collect()
     if not best:
         return model
     best = sorted(best, key=lambda r: np.int64(r["h"]).astype(np.uint64))
