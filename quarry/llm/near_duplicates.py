@@ -15,12 +15,13 @@ of those. Shingles frequent in a bounded sample come last in that order, which
 keeps passages that many documents share out of the way; the order changes the
 cost alone, never the result.
 
-Documents with equal sets are one class from the start. Each class is first
-verified against the smallest class it meets anywhere, which joins families of
-near copies by stars instead of all pairs. Only keys under which several of these
-stars meet get a tree, and only pairs of different stars come out of it, so no
-link that joins two components is lost. Trees of many points are built by pairs of
-blocks of bounded size.
+Documents with equal sets are one class from the start. Under each key the
+smallest class is the pivot, and each class is first verified against the pivot
+it meets under most keys, which joins families of near copies by stars instead of
+all pairs. Only keys under which several of these stars meet get a tree (one for
+all keys with the same members), and only pairs of different stars come out of
+it, so no link that joins two components is lost. Trees of many points are built
+by pairs of blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -34,13 +35,15 @@ from quarry.llm.common import cut, documents, partitions
 from quarry.llm.components import components
 from quarry.llm.textkernel import chunks, mix, shingle_hashes, span_hashes, words
 
-GROUPS, WIDTH, PERCENT = 128, 5, 75
+GROUPS, WIDTH, PERCENT = 64, 5, 75
 #: Documents sampled for the order, and how many must have a shingle that is frequent.
 ORDER_SAMPLE, ORDER_LEAST = 4096, 4
 #: Parts over which a frequent key is spread.
 SALTS = 32
 #: Points of a block of a tree, points of a leaf, and children of a node.
 BLOCK, LEAF = 1024, 8
+#: Rounds that join stars by so many pairs for two stars, while the squares of the groups' sizes exceed so many times the rows.
+ROUNDS, DELEGATES, DENSE = 3, 3, 16
 #: Bits of the filter of classes whose sets are wanted (a fixed size, so safe to broadcast).
 FILTER_BITS = 1 << 24
 
@@ -85,7 +88,7 @@ class Sets:
         return self.hashes[order], self.rows[order], common[order]
 
     def points(self) -> np.ndarray:
-        cell = self.rows * GROUPS + (self.hashes >> np.uint64(57)).astype(np.int64)
+        cell = self.rows * GROUPS + (self.hashes >> np.uint64(58)).astype(np.int64)
         return np.minimum(np.bincount(cell, minlength=len(self.sizes) * GROUPS), 65_535).astype(np.uint16).reshape(-1, GROUPS)
 
 
@@ -163,7 +166,7 @@ def _bits(classes: DataFrame) -> np.ndarray:
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, n, point, shingles) of the wanted classes, from the texts."""
+    """(c, n, shingles) of the wanted classes, from the texts."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(wanted)))
 
     def run(batches):
@@ -175,14 +178,35 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 hit = np.flatnonzero(has[ids % FILTER_BITS] & (sets.sizes > 0))
                 rows = [i for i, k in zip(hit.tolist(), ids[hit].tolist()) if not (k in done or done.add(k))]
                 if rows:
-                    points = sets.points()
                     shingles = [sets.hashes[sets.edges[i] : sets.edges[i + 1]].tobytes() for i in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets.sizes[rows]), pa.array([points[i].tobytes() for i in rows], pa.binary()), pa.array(shingles, pa.binary())], ["c", "n", "point", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets.sizes[rows]), pa.array(shingles, pa.binary())], ["c", "n", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "c long, n long, point binary, shingles binary")
+    found = docs.select("text").mapInArrow(run, "c long, n long, shingles binary")
     return found.join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose summed smaller counts reach the needed overlap."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in ("pa", "pb"))
+            bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            keep = (100 + percent) * bound >= percent * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = points.select(F.col("c").alias("b"), F.col("point").alias("pb"), F.col("n").alias("nb"))
+    two = points.select(F.col("c").alias("a"), F.col("point").alias("pa"), F.col("n").alias("na"))
+    rows = pairs.join(one, "b").join(two, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return rows.select("a", "b", "pa", "na", "pb", "nb").mapInArrow(run, "a long, b long")
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The candidate pairs that reach the similarity; sets are made anew from the texts of their classes."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    return cut(_verified(pairs, cut(_class_sets(docs, wanted, width)), percent))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity on their whole sets."""
 
@@ -302,30 +326,40 @@ def _tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, each: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link with another, root common to a component."""
     spark = docs.sparkSession
     met = cut(_dealt(docs, width, percent))
+    points = each.where("n_shingles > 0").select("c", F.col("n_shingles").alias("n"), "point").join(met.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.max("n").alias("n"), F.max("point").alias("point"))
+    points = cut(points)
     # of a spread key's parts the smallest pivot; elsewhere the key's own
     roots = met.where("common").groupBy("key").agg(F.min("pivot").alias("root"), F.max("c").alias("most")).where("root < most").select("key", "root")
     spread = met.where("common").join(roots, "key")
     plain = met.where("NOT common").select("c", F.col("pivot").alias("p"))
-    meetings = plain.union(spread.select("c", F.col("root").alias("p"))).where("p < c")
-    first = meetings.groupBy("c").agg(F.min("p").alias("p")).select(F.col("p").alias("a"), F.col("c").alias("b"))
-    wanted = cut(meetings.select(F.explode(F.array("c", "p")).alias("c")).distinct())
-    sets = cut(_class_sets(docs, wanted, width))
-    stars = cut(_verified(first, sets, percent))
-    joined = components(stars)
-
-    # keys under which several stars meet
-    rows = met.select("key", "c").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("star", F.coalesce("root", "c")).select("key", "c", "star")
-    several = rows.groupBy("key").agg(F.min("star").alias("s0"), F.max("star").alias("s1"), F.count(F.lit(1)).alias("m")).where("s0 < s1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    some = rows.join(several, "key").join(sets.select("c", "n", "point"), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    meetings = plain.union(spread.select("c", F.col("root").alias("p"))).where("p < c").groupBy("c", "p").count()
+    best = meetings.groupBy("c").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("p"))
+    stars = _checked(docs, cut(_bounded(best.select(F.col("p").alias("a"), F.col("c").alias("b")), points, percent)), width, percent)
+    for turn in range(ROUNDS + 1):
+        joined = components(stars)
+        rows = cut(met.select("key", "c").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("star", F.coalesce("root", "c")).select("key", "c", "star"))
+        members = [F.sum(F.xxhash64("c", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"m{k}") for k in (1, 2, 3)]
+        several = rows.groupBy("key").agg(F.min("star").alias("s0"), F.max("star").alias("s1"), F.count(F.lit(1)).alias("m"), F.min("c").alias("a"), F.max("c").alias("b"), *members).where("s0 < s1")
+        couples = several.where("m = 2").select("a", "b").distinct()
+        groups = cut(several.where("m > 2").groupBy("m", "a", "b", "m1", "m2", "m3").agg(F.min("key").alias("key")).select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+        if turn == ROUNDS or groups.agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0)) <= DENSE * F.lit(rows.count())).first()[0]:
+            break
+        # large families in several stars: verify the pairs that stand for two stars under most keys
+        held = rows.groupBy("key", "star").agg(F.min("c").alias("c"))
+        lead = held.groupBy("key").agg(F.min(F.struct("star", "c")).alias("lead"))
+        met_stars = held.join(lead, "key").where("star <> lead.star").groupBy(F.col("lead.star").alias("sa"), F.col("star").alias("sb"), F.col("lead.c").alias("a"), F.col("c").alias("b")).count()
+        ranked = met_stars.withColumn("k", F.row_number().over(Window.partitionBy("sa", "sb").orderBy(F.desc("count"), "a", "b"))).where(f"k <= {DELEGATES}")
+        stars = cut(stars.union(_checked(docs, cut(_bounded(ranked.select("a", "b"), points, percent)), width, percent)))
+    some = rows.join(groups, "key").join(points, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     some = some.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "star", "n", "point")
     placed = some.repartition(max(partitions(spark), 24), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
-    more = _verified(_tree_pairs(placed, percent), sets, percent)
-    return components(cut(stars.union(more)))
+    pairs = cut(_tree_pairs(placed, percent).union(_bounded(couples, points, percent)).distinct())
+    return components(stars.union(_checked(docs, pairs, width, percent)))
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,11 +377,11 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         for batch in batches:
             for c in chunks(batch.column("text"), lower=True):
                 sets = Sets(c, width)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), pa.array(sets.sizes), pa.array(sets.classes())], ["doc_id", "n_shingles", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), pa.array(sets.sizes), pa.array(sets.classes()), pa.array([x.tobytes() for x in sets.points()], pa.binary())], ["doc_id", "n_shingles", "c", "point"])
 
-    each = cut(rows.mapInArrow(run, "doc_id long, n_shingles long, c long"))
-    linked = _links(rows, width, percent)
-    own = each.join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    each = cut(rows.mapInArrow(run, "doc_id long, n_shingles long, c long, point binary"))
+    linked = cut(_links(rows, each, width, percent))
+    own = each.drop("point").join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return own.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("c").alias("class_id"))
 
