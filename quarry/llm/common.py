@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
-from pyspark import SparkFiles  # noqa: F401  (kept importable for executors)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +45,22 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back; survives lost executors."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._table_path = path
+    return back
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more, and let Spark drop shuffle files without a reader."""
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._table_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-def batch_of(schema, columns: dict):
-    """A record batch with the columns in the order of the Arrow schema."""
-    import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, release
 
 
 def _total(edges: DataFrame) -> tuple:
@@ -31,8 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         # small-star: each node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small)
+        old, edges = edges, cut(small)
         after = _total(edges)
+        release(links.sparkSession, old)
         if after == before:
             break
         before = after

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, documents, partitions
+from quarry.llm.common import cut, documents, partitions, release
 from quarry.llm.components import components
 from quarry.llm.textkernel import chunks, mix, shingle_hashes, span_hashes, words
 
-GROUPS, WIDTH, PERCENT = 64, 5, 75
+GROUPS, WIDTH, PERCENT = 256, 5, 75
 #: Documents sampled for the order, and how many must have a shingle that is frequent.
 ORDER_SAMPLE, ORDER_LEAST = 4096, 4
 #: Parts over which a frequent key is spread.
@@ -88,8 +88,18 @@ class Sets:
         return self.hashes[order], self.rows[order], common[order]
 
     def points(self) -> np.ndarray:
-        cell = self.rows * GROUPS + (self.hashes >> np.uint64(58)).astype(np.int64)
-        return np.minimum(np.bincount(cell, minlength=len(self.sizes) * GROUPS), 65_535).astype(np.uint16).reshape(-1, GROUPS)
+        cell = self.rows * GROUPS + (self.hashes >> np.uint64(56)).astype(np.int64)
+        return np.bincount(cell, minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
+
+
+def packed(points: np.ndarray) -> list[bytes]:
+    """Points as bytes, one byte for a count where all are below 256, else four."""
+    return [(x.astype(np.uint8) if x.max() < 256 else x.astype("<u4")).tobytes() for x in points]
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    rows = [np.frombuffer(x, np.uint8 if len(x) == GROUPS else "<u4") for x in column.to_pylist()]
+    return np.array(rows, np.int32).reshape(-1, GROUPS)
 
 
 class RTree:
@@ -114,8 +124,8 @@ class RTree:
         for level in reversed(range(depth)):
             la, lb = min(level, len(me.least) - 1), min(level, len(you.least) - 1)
             keep = []
-            for lo in range(0, len(i), 8192):
-                a, b = i[lo : lo + 8192], j[lo : lo + 8192]
+            for lo in range(0, len(i), 4096):
+                a, b = i[lo : lo + 4096], j[lo : lo + 4096]
                 bound = np.minimum(me.upper[la][a], you.upper[lb][b]).sum(axis=1, dtype=np.int64)
                 keep.append((100 + percent) * bound >= percent * (me.least[la][a] + you.least[lb][b]))
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
@@ -190,7 +200,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in ("pa", "pb"))
+            x, y = unpacked(batch.column("pa")), unpacked(batch.column("pb"))
             bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             keep = (100 + percent) * bound >= percent * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -204,7 +214,10 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 def _checked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The candidate pairs that reach the similarity; sets are made anew from the texts of their classes."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    return cut(_verified(pairs, cut(_class_sets(docs, wanted, width)), percent))
+    sets = cut(_class_sets(docs, wanted, width))
+    found = cut(_verified(pairs, sets, percent))
+    release(docs.sparkSession, wanted, sets)
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,13 +312,16 @@ def _tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for t in _runs(batches, ["key", "i", "j"]):
             key, i, j, block, c, star, n = (t.column(k).to_numpy() for k in ("key", "i", "j", "block", "c", "star", "n"))
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            points = unpacked(t.column("point"))
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             start = np.flatnonzero(new)
             stop = np.append(start[1:], len(key))
             two = (stop - start) == 2
-            found = [(start[two & (i[start] == j[start])], start[two & (i[start] == j[start])] + 1)]
+            a = start[two & (i[start] == j[start])]
+            reach = [(100 + percent) * np.minimum(points[x], points[x + 1]).sum(axis=1) >= percent * (n[x] + n[x + 1]) for x in np.array_split(a, len(a) // 4096 + 1)]
+            a = a[np.concatenate(reach)]
+            found = [(a, a + 1)]
             if (two & (i[start] != j[start])).any() or not two.all():
                 for s, e in zip(start, stop):
                     if i[s] != j[s]:
@@ -317,8 +333,7 @@ def _tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
                         a, b = RTree(points[s:e], n[s:e]).pairs(percent)
                         found.append((s + a, s + b))
             a, b = (np.concatenate(x) for x in zip(*found))
-            bound = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
-            keep = (star[a] != star[b]) & ((100 + percent) * bound >= percent * (n[a] + n[b]))
+            keep = star[a] != star[b]
             a, b = c[a[keep]], c[b[keep]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -330,6 +345,7 @@ def _links(docs: DataFrame, each: DataFrame, width: int, percent: int) -> DataFr
     """(node, root) of all classes that link with another, root common to a component."""
     spark = docs.sparkSession
     met = cut(_dealt(docs, width, percent))
+    release(spark)
     points = each.where("n_shingles > 0").select("c", F.col("n_shingles").alias("n"), "point").join(met.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.max("n").alias("n"), F.max("point").alias("point"))
     points = cut(points)
     # of a spread key's parts the smallest pivot; elsewhere the key's own
@@ -359,6 +375,7 @@ def _links(docs: DataFrame, each: DataFrame, width: int, percent: int) -> DataFr
     some = some.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "star", "n", "point")
     placed = some.repartition(max(partitions(spark), 24), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
     pairs = cut(_tree_pairs(placed, percent).union(_bounded(couples, points, percent)).distinct())
+    release(spark, points, met, groups)
     return components(stars.union(_checked(docs, pairs, width, percent)))
 
 
@@ -377,7 +394,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         for batch in batches:
             for c in chunks(batch.column("text"), lower=True):
                 sets = Sets(c, width)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), pa.array(sets.sizes), pa.array(sets.classes()), pa.array([x.tobytes() for x in sets.points()], pa.binary())], ["doc_id", "n_shingles", "c", "point"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), pa.array(sets.sizes), pa.array(sets.classes()), pa.array(packed(sets.points()), pa.binary())], ["doc_id", "n_shingles", "c", "point"])
 
     each = cut(rows.mapInArrow(run, "doc_id long, n_shingles long, c long, point binary"))
     linked = cut(_links(rows, each, width, percent))
