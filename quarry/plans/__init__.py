@@ -1,4 +1,310 @@
-"""Queries over the tables of a folder, with the SQL that gives the same rows."""
+"""Queries over the tables of a folder, with the SQL that gives the same rows.
+
+Each query runs one operator over whole tables; SQL is for DuckDB.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import pack_tokens, strip, valid_body, word_count
+from quarry.operators import corpus as corpora
+from quarry.operators import search, suffix_index, tokens
+from quarry.session import fresh_path
+from quarry.sources import decode_base64_tokens, flat_corpus, named, needles, number_rows, read_needles, read_results, write_results
+
+FREQUENT = ["the", "onon", "onenble", "é", "ééé", "aa", "Abraham Lincoln"]
+SHOWN = ["onenble", "ééé", "aa"]
+ABSENT = ["Abraham Lincoln", "", "George Washington", "  ", "John Adams"]
+LINES = ["the", "", "  onenble\t", "\t ", "is an of", "aa"]
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _values(queries: list[str]) -> str:
+    rows = ", ".join("({}, '{}')".format(i, q.strip().replace("'", "''")) for i, q in enumerate(queries) if q.strip())
+    return f"needles(query_id, query) AS (VALUES {rows})"
+
+
+def _hits(corpus: str, queries: str) -> str:
+    """Recursive search for every occurrence; p is the place in characters, from 1."""
+    return f"""WITH RECURSIVE {queries}, corpus AS ({corpus}),
+hits AS (
+  SELECT query_id, query, uid, text, instr(text, query) AS p FROM corpus, needles WHERE contains(text, query)
+  UNION ALL
+  SELECT query_id, query, uid, text, p + instr(substr(text, p + 1), query) FROM hits WHERE instr(substr(text, p + 1), query) > 0
+), found AS (SELECT query_id, query, uid, text, p, octet_length(encode(substr(text, 1, p - 1)))::BIGINT AS pos FROM hits)
+"""
+
+
+DOCS = "SELECT doc_id + 1 AS uid, coalesce(text, '') AS text FROM documents"
+ITEMS = "needles AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+COUNTS = "SELECT n.query_id, n.query, count(f.uid) AS occurrences FROM needles n LEFT JOIN found f USING (query_id) GROUP BY ALL"
+CONTEXT = """hex(encode(text)[greatest(pos - 127, 1):pos]) AS before_hex,
+  hex(encode(text)[pos + octet_length(encode(query)) + 1:pos + octet_length(encode(query)) + 128]) AS after_hex"""
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named(spark, sf_dir, "documents")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _hex(df: DataFrame) -> DataFrame:
+    return df.withColumn("before_hex", F.hex("before")).withColumn("after_hex", F.hex("after")).drop("before", "after")
+
+
+@_query(_hits(DOCS, _values(FREQUENT)) + COUNTS)
+def count_overlapping(spark, sf_dir):
+    return search.count(_docs(spark, sf_dir), needles(spark, FREQUENT))
+
+
+@_query(_hits(DOCS, _values(["the"])) + "SELECT count(*) AS occurrences FROM found")
+def count_one(spark, sf_dir):
+    return search.count_of(_docs(spark, sf_dir), "the")
+
+
+@_query(_hits(DOCS, _values(ABSENT)) + COUNTS)
+def count_zero_hits(spark, sf_dir):
+    return search.count(_docs(spark, sf_dir), needles(spark, ABSENT))
+
+
+@_query("SELECT doc_id + 1 AS uid FROM documents WHERE contains(text, 'onenble')")
+def contains_docs(spark, sf_dir):
+    return search.contains(_docs(spark, sf_dir), "onenble").select("uid")
+
+
+@_query(f"WITH {_values(FREQUENT)} SELECT query_id, query, count(DISTINCT doc_id) AS documents FROM needles LEFT JOIN documents ON contains(text, query) GROUP BY ALL")
+def doc_frequency(spark, sf_dir):
+    return search.document_frequency(_docs(spark, sf_dir), needles(spark, FREQUENT))
+
+
+@_query(_hits(DOCS, _values(FREQUENT)) + "SELECT query_id, query, uid, pos FROM found")
+def positions_bytes(spark, sf_dir):
+    return search.positions(_docs(spark, sf_dir), needles(spark, FREQUENT))
+
+
+@_query(_hits(DOCS, _values(SHOWN)) + f"SELECT query_id, query, uid, pos, {CONTEXT} FROM found")
+def kwic_hex(spark, sf_dir):
+    return _hex(search.kwic(_docs(spark, sf_dir), needles(spark, SHOWN)))
+
+
+_TOP = (
+    _hits(DOCS, _values(FREQUENT))
+    + f""", nexts AS (SELECT uid, lead(uid) OVER (ORDER BY uid) AS n FROM corpus),
+keyed AS (SELECT query_id, query, found.uid, text, pos,
+  CASE WHEN n IS NULL THEN encode(substr(text, p)) ELSE encode(substr(text, p)) || '\\xFF\\xFF'::BLOB || unhex(format('{{:02x}}{{:02x}}{{:02x}}{{:02x}}', n % 256, (n // 256) % 256, (n // 65536) % 256, (n // 16777216) % 256)) END AS key
+  FROM found JOIN nexts USING (uid)),
+top AS (SELECT query_id, query, uid, pos, {CONTEXT}, row_number() OVER (PARTITION BY query_id ORDER BY key, uid, pos) AS k FROM keyed)
+SELECT * FROM top WHERE k <= 64"""
+)
+
+
+@_query(_TOP)
+def kwic_top64(spark, sf_dir):
+    return _hex(search.kwic_top(_docs(spark, sf_dir), needles(spark, FREQUENT)))
+
+
+@_query()
+def count_responses(spark, sf_dir):
+    return search.responses(_docs(spark, sf_dir), needles(spark, FREQUENT))
+
+
+@_query(_hits(DOCS, _values(["onenble", "ééé"])) + "SELECT query_id, query, uid AS doc_id, text AS document FROM found")
+def retrieve_hits(spark, sf_dir):
+    return search.retrieve(_docs(spark, sf_dir), needles(spark, ["onenble", "ééé"]))
+
+
+@_query(_hits(DOCS, _values(["onenble", "ééé"])) + "SELECT DISTINCT query_id, query, uid AS doc_id, text AS document FROM found")
+def retrieve_distinct(spark, sf_dir):
+    return search.retrieve(_docs(spark, sf_dir), needles(spark, ["onenble", "ééé"]), distinct=True)
+
+
+@_query("SELECT b.item_id AS query_id, d.doc_id + 1 AS uid FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def contamination_pairs(spark, sf_dir):
+    return search.matches(_docs(spark, sf_dir), _items(spark, sf_dir)).select("query_id", "uid")
+
+
+@_query("SELECT item_id AS query_id, text AS query FROM benchmark b WHERE EXISTS (FROM documents d WHERE contains(d.text, b.text))")
+def contaminated_items(spark, sf_dir):
+    return search.contaminated(_docs(spark, sf_dir), _items(spark, sf_dir))
+
+
+@_query("SELECT item_id AS query_id, text AS query FROM benchmark b WHERE NOT EXISTS (FROM documents d WHERE contains(d.text, b.text))")
+def clean_items(spark, sf_dir):
+    return search.clean(_docs(spark, sf_dir), _items(spark, sf_dir))
+
+
+@_query("SELECT source, lang, count(*) AS pairs, count(DISTINCT doc_id) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
+def contamination_by_source(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1).alias("uid"), "source", "lang")
+    pairs = contamination_pairs(spark, sf_dir)
+    return pairs.join(docs, "uid").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("uid").alias("documents"))
+
+
+@_query(_hits("SELECT page_id AS uid, html AS text FROM pages", _values(["<p>", "the", "</"])) + COUNTS)
+def pages_count(spark, sf_dir):
+    return search.count(named(spark, sf_dir, "pages"), needles(spark, ["<p>", "the", "</"]))
+
+
+@_query(_hits("SELECT conv_id AS uid, text FROM conversations", _values(["the", "an", "?"])) + COUNTS)
+def conversations_count(spark, sf_dir):
+    return search.count(named(spark, sf_dir, "conversations"), needles(spark, ["the", "an", "?"]))
+
+
+_STATS = """count(*) AS n_docs, sum(b)::BIGINT AS body_bytes, sum(b + 6)::BIGINT AS corpus_bytes, count(*) AS valid_docs,
+  round(avg(b), 4) AS mean_bytes, round(stddev_pop(b), 4) AS std_bytes, min(b)::BIGINT AS min_bytes, max(b)::BIGINT AS max_bytes
+  FROM (SELECT *, octet_length(encode(coalesce(text, ''))) AS b FROM documents)"""
+
+
+@_query(f"SELECT {_STATS}")
+def datastats(spark, sf_dir):
+    return corpora.statistics(_docs(spark, sf_dir))
+
+
+@_query(f"SELECT lang, {_STATS} GROUP BY lang")
+def datastats_by_lang(spark, sf_dir):
+    return corpora.statistics(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"), ["lang"])
+
+
+_OFFSETS = "offsets AS (SELECT uid, (sum(b + 6) OVER (ORDER BY uid) - b - 6)::BIGINT AS start_pos, (sum(b + 6) OVER (ORDER BY uid))::BIGINT AS end_pos, b::BIGINT AS n_bytes FROM (SELECT doc_id + 1 AS uid, octet_length(encode(coalesce(text, ''))) AS b FROM documents))"
+
+
+@_query(f"WITH {_OFFSETS} SELECT * FROM offsets")
+def doc_offsets(spark, sf_dir):
+    return corpora.doc_offsets(_docs(spark, sf_dir))
+
+
+@_query(f"WITH {_OFFSETS}, points AS (SELECT item_id * 7919 AS pos FROM benchmark) SELECT pos, uid FROM points JOIN offsets ON pos >= start_pos AND pos < end_pos")
+def locate_document(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((F.col("item_id") * 7919).alias("pos"))
+    return corpora.locate(corpora.doc_offsets(_docs(spark, sf_dir)), points)
+
+
+@_query("SELECT source, count(*) AS n_docs, count(*) AS valid FROM documents GROUP BY source")
+def valid_docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(valid_body(F.col("text"))).alias("valid"))
+
+
+@_query("SELECT doc_id + 1 AS uid, 'FFFF' || upper(format('{:02x}{:02x}{:02x}{:02x}', (doc_id + 1) % 256, ((doc_id + 1) // 256) % 256, ((doc_id + 1) // 65536) % 256, ((doc_id + 1) // 16777216) % 256)) AS tag, (6 + octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes FROM documents")
+def flat_records(spark, sf_dir):
+    rows = flat_corpus(_docs(spark, sf_dir))
+    return rows.select("uid", F.hex(F.substring("record", 1, 6)).alias("tag"), F.octet_length("record").cast("long").alias("n_bytes"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY source, doc_id) AS uid, doc_id FROM documents")
+def number_documents(spark, sf_dir):
+    return number_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id"), ["source", "doc_id"]).select("uid", "doc_id")
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a folder's documents, built once in a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _BUILT:
+        path = fresh_path(spark, "suffix-index")
+        suffix_index.build(_docs(spark, sf_dir), path)
+        _BUILT[at] = path
+    return suffix_index.load(spark, _BUILT[at])
+
+
+@_query(_hits(DOCS, _values(["onenble"])) + "SELECT uid, pos AS off FROM found")
+def index_look_up(spark, sf_dir):
+    return suffix_index.look_up(_index(spark, sf_dir), "onenble").select("uid", F.col("off").cast("long").alias("off"))
+
+
+@_query(_hits(DOCS, _values(["the"])) + "SELECT count(*) AS occurrences FROM found")
+def index_count(spark, sf_dir):
+    return suffix_index.look_up(_index(spark, sf_dir), "the").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+@_query(_hits(DOCS, ITEMS) + "SELECT query_id, uid, pos AS off FROM found")
+def index_long_needles(spark, sf_dir):
+    return suffix_index.look_up_all(_index(spark, sf_dir), _items(spark, sf_dir), _docs(spark, sf_dir)).select("query_id", "uid", F.col("off").cast("long").alias("off"))
+
+
+@_query("SELECT sum(length(text))::BIGINT AS rows, sum(length(text))::BIGINT AS expected FROM documents")
+def index_validate(spark, sf_dir):
+    return suffix_index.validate(_index(spark, sf_dir), _docs(spark, sf_dir))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") + 1).cast("long").alias("uid"), F.col("n_name").alias("text"))
+
+
+_RANKS = """ranks AS (SELECT row_number() OVER (ORDER BY encode(suffix), uid, off) - 1 AS rank, uid, off, suffix FROM (
+  SELECT n_nationkey::BIGINT + 1 AS uid, unnest(range(length(n_name))) AS off, substr(n_name, unnest(range(length(n_name))) + 1) AS suffix FROM nation))"""
+
+
+@_query(f"WITH {_RANKS} SELECT rank, uid, off, hex(encode(suffix)) AS suffix_hex FROM ranks")
+def suffix_rank(spark, sf_dir):
+    return suffix_index.ranked(_nations(spark, sf_dir)).withColumn("suffix_hex", F.hex("suffix")).drop("suffix")
+
+
+@_query(f"WITH {_RANKS}, pairs AS (SELECT rank, suffix, lag(suffix) OVER (ORDER BY rank) AS before FROM ranks) SELECT rank, len(list_filter(range(1, length(suffix) + 1), lambda n: before IS NOT NULL AND starts_with(before, substr(suffix, 1, n))))::BIGINT AS lcp FROM pairs")
+def suffix_lcp(spark, sf_dir):
+    return suffix_index.lcp(suffix_index.ranked(_nations(spark, sf_dir)))
+
+
+_TOKENS = r"toks AS (SELECT doc_id + 1 AS uid, CASE WHEN trim(text, e' \t\n\r\f\v') = '' THEN [] ELSE regexp_split_to_array(trim(text, e' \t\n\r\f\v'), '\s+') END AS t FROM documents)"
+
+
+@_query(f"WITH {_TOKENS}, at AS (SELECT uid, t, unnest(range(len(t) - 1)) AS i FROM toks WHERE len(t) > 1) SELECT uid, i AS token_pos FROM at WHERE t[i + 1] = 'of' AND t[i + 2] = 'the'")
+def token_positions(spark, sf_dir):
+    return tokens.token_positions(tokens.whitespace_tokens(_docs(spark, sf_dir)), ["of", "the"])
+
+
+@_query(f"WITH {_TOKENS} SELECT uid, len(t) AS n_words FROM toks")
+def document_word_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("uid", word_count(F.col("text")).alias("n_words"))
+
+
+@_query("SELECT item_id, 6::BIGINT AS n_bytes, upper(format('{:02x}{:02x}', item_id % 256, (item_id // 256) % 256)) || '01000002' AS packed_hex FROM benchmark")
+def pack_token_ids(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", pack_tokens(F.array(F.col("item_id"), F.lit(1), F.lit(512)), 2).alias("p"))
+    return ids.select("item_id", F.octet_length("p").cast("long").alias("n_bytes"), F.hex("p").alias("packed_hex"))
+
+
+@_query("SELECT item_id, len(string_split_regex(trim(text), '\\s+'))::BIGINT AS n_words FROM benchmark")
+def query_word_count(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", word_count(F.col("text")).alias("n_words"))
+
+
+@_query(_hits(DOCS, _values(LINES)) + COUNTS)
+def needle_file(spark, sf_dir):
+    path = fresh_path(spark, "query-file")
+    spark.createDataFrame([("\n".join(LINES),)], "value string").coalesce(1).write.text(path)
+    return search.count(_docs(spark, sf_dir), read_needles(spark, path))
+
+
+@_query(_hits(DOCS, _values(["onenble", "ééé"])) + "SELECT query_id AS queryID, query, uid AS docID, text AS document FROM found")
+def results_round_trip(spark, sf_dir):
+    path = fresh_path(spark, "results")
+    write_results(retrieve_hits(spark, sf_dir).toDF("queryID", "query", "docID", "document"), path)
+    return read_results(spark, path, "queryID int, query string, docID long, document string")
+
+
+@_query("SELECT item_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS query FROM benchmark")
+def strip_queries(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", strip(F.col("text")).alias("query"))
+
+
+@_query("SELECT 0 AS id, 1 AS first, 2 AS second")
+def base64_tokens(spark, sf_dir):
+    return spark.createDataFrame([(0, *decode_base64_tokens("AQACAA=="))], "id int, first int, second int")
