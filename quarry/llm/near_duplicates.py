@@ -36,6 +36,8 @@ from quarry.llm.components import components
 from quarry.llm.textkernel import chunks, mix, shingle_hashes, span_hashes, words
 
 GROUPS, WIDTH, PERCENT = 256, 5, 75
+#: Groups of the points that decide whether two whole sets are brought together.
+FINE = 4096
 #: Documents sampled for the order, and how many must have a shingle that is frequent.
 ORDER_SAMPLE, ORDER_LEAST = 4096, 4
 #: Parts over which a frequent key is spread.
@@ -91,15 +93,19 @@ class Sets:
         cell = self.rows * GROUPS + (self.hashes >> np.uint64(56)).astype(np.int64)
         return np.bincount(cell, minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
 
+    def fine_point(self, i: int) -> bytes:
+        counts = np.bincount((self.hashes[self.edges[i] : self.edges[i + 1]] >> np.uint64(52)).astype(np.int64), minlength=FINE)
+        return packed(counts[None])[0]
+
 
 def packed(points: np.ndarray) -> list[bytes]:
     """Points as bytes, one byte for a count where all are below 256, else four."""
     return [(x.astype(np.uint8) if x.max() < 256 else x.astype("<u4")).tobytes() for x in points]
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    rows = [np.frombuffer(x, np.uint8 if len(x) == GROUPS else "<u4") for x in column.to_pylist()]
-    return np.array(rows, np.int32).reshape(-1, GROUPS)
+def unpacked(column: pa.Array, groups: int = GROUPS) -> np.ndarray:
+    rows = [np.frombuffer(x, np.uint8 if len(x) == groups else "<u4") for x in column.to_pylist()]
+    return np.array(rows, np.int32).reshape(-1, groups)
 
 
 class RTree:
@@ -176,7 +182,7 @@ def _bits(classes: DataFrame) -> np.ndarray:
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, n, shingles) of the wanted classes, from the texts."""
+    """(c, n, point, shingles) of the wanted classes, from the texts; the point has FINE groups."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(wanted)))
 
     def run(batches):
@@ -189,19 +195,21 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 rows = [i for i, k in zip(hit.tolist(), ids[hit].tolist()) if not (k in done or done.add(k))]
                 if rows:
                     shingles = [sets.hashes[sets.edges[i] : sets.edges[i + 1]].tobytes() for i in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets.sizes[rows]), pa.array(shingles, pa.binary())], ["c", "n", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets.sizes[rows]), pa.array([sets.fine_point(i) for i in rows], pa.binary()), pa.array(shingles, pa.binary())], ["c", "n", "point", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "c long, n long, shingles binary")
+    found = docs.select("text").mapInArrow(run, "c long, n long, point binary, shingles binary")
     return found.join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int, groups: int = GROUPS) -> DataFrame:
     """The pairs (a, b) whose summed smaller counts reach the needed overlap."""
 
     def run(batches):
         for batch in batches:
-            x, y = unpacked(batch.column("pa")), unpacked(batch.column("pb"))
-            bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            bound = np.zeros(batch.num_rows, np.int64)
+            for lo in range(0, batch.num_rows, 256):
+                x, y = (unpacked(batch.column(k).slice(lo, 256), groups) for k in ("pa", "pb"))
+                bound[lo : lo + 256] = np.minimum(x, y).sum(axis=1)
             keep = (100 + percent) * bound >= percent * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -215,8 +223,10 @@ def _checked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     """The candidate pairs that reach the similarity; sets are made anew from the texts of their classes."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     sets = cut(_class_sets(docs, wanted, width))
-    found = cut(_verified(pairs, sets, percent))
-    release(docs.sparkSession, wanted, sets)
+    near = cut(_bounded(pairs, sets.select("c", "n", "point"), percent, FINE))
+    release(docs.sparkSession)
+    found = cut(_verified(near, sets, percent))
+    release(docs.sparkSession, wanted, sets, near)
     return found
 
 
