@@ -265,7 +265,7 @@ def suffix_lcp(spark, sf_dir):
 _TOKENS = r"toks AS (SELECT doc_id + 1 AS uid, CASE WHEN trim(text, e' \t\n\r\f\v') = '' THEN [] ELSE regexp_split_to_array(trim(text, e' \t\n\r\f\v'), '\s+') END AS t FROM documents)"
 
 
-@_query(f"WITH {_TOKENS}, at AS (SELECT uid, t, unnest(range(len(t) - 1)) AS i FROM toks WHERE len(t) > 1) SELECT uid, i AS token_pos FROM at WHERE t[i + 1] = 'of' AND t[i + 2] = 'the'")
+@_query(f"WITH {_TOKENS}, places AS (SELECT uid, t, unnest(range(len(t) - 1)) AS i FROM toks WHERE len(t) > 1) SELECT uid, i AS token_pos FROM places WHERE t[i + 1] = 'of' AND t[i + 2] = 'the'")
 def token_positions(spark, sf_dir):
     return tokens.token_positions(tokens.whitespace_tokens(_docs(spark, sf_dir)), ["of", "the"])
 
