@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("pii", redact_personal_data), ("packing", pack)]
 
-#: No stage but the second can be told in SQL; tests/llm holds all of them against brute force.
+#: Toxicity, near duplicates, personal data and packing can't be told in SQL; tests/llm holds their operators against brute force.
 ORACLE_SQL = None
 
 
