@@ -20,7 +20,9 @@ smallest class is the pivot, and each class is first verified against the pivot
 it meets under most keys, which joins families of near copies by stars instead of
 all pairs. Only keys under which several of these stars meet get a tree (one for
 all keys with the same members), and only pairs of different stars come out of
-it, so no link that joins two components is lost. Trees of many points are built
+it, so no link that joins two components is lost. A first turn verifies of each
+tree only the likeliest pairs that would join its stars; the second turn all
+pairs of stars still apart. Trees of many points are built
 by pairs of blocks of bounded size.
 """
 
@@ -28,14 +30,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, documents, partitions, release
 from quarry.llm.components import components
 from quarry.llm.textkernel import chunks, mix, shingle_hashes, span_hashes, words
 
-GROUPS, WIDTH, PERCENT = 256, 5, 75
+GROUPS, WIDTH, PERCENT = 1024, 5, 75
 #: Groups of the points that decide whether two whole sets are brought together.
 FINE = 4096
 #: Documents sampled for the order, and how many must have a shingle that is frequent.
@@ -44,9 +46,7 @@ ORDER_SAMPLE, ORDER_LEAST = 4096, 4
 SALTS = 32
 #: Points of a block of a tree, points of a leaf, and children of a node.
 BLOCK, LEAF = 1024, 8
-#: Rounds that join stars by so many pairs for two stars, while the squares of the groups' sizes exceed so many times the rows.
-ROUNDS, DELEGATES, DENSE = 3, 3, 16
-#: Bits of the filter of classes whose sets are wanted (a fixed size, so safe to broadcast).
+#: Bits of the filter of documents whose sets are wanted (a fixed size, so safe to broadcast).
 FILTER_BITS = 1 << 24
 
 
@@ -90,7 +90,7 @@ class Sets:
         return self.hashes[order], self.rows[order], common[order]
 
     def points(self) -> np.ndarray:
-        cell = self.rows * GROUPS + (self.hashes >> np.uint64(56)).astype(np.int64)
+        cell = self.rows * GROUPS + (self.hashes >> np.uint64(54)).astype(np.int64)
         return np.bincount(cell, minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
 
     def fine_point(self, i: int) -> bytes:
@@ -122,20 +122,21 @@ class RTree:
             self.upper.append(np.maximum.reduceat(self.upper[-1], starts, axis=0))
             self.least.append(np.minimum.reduceat(self.least[-1], starts))
 
-    def pairs(self, percent: int, other: RTree | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places (i, j) of all pairs whose summed smaller counts reach the needed overlap; i before j within one tree."""
+    def pairs(self, percent: int, other: RTree | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (i, j) of all pairs whose summed smaller counts reach the needed overlap, and those sums; i before j within one tree."""
         me, you = self, other or self
         depth = max(len(me.least), len(you.least))
         i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for level in reversed(range(depth)):
             la, lb = min(level, len(me.least) - 1), min(level, len(you.least) - 1)
-            keep = []
+            keep, sums = [], []
             for lo in range(0, len(i), 4096):
                 a, b = i[lo : lo + 4096], j[lo : lo + 4096]
                 bound = np.minimum(me.upper[la][a], you.upper[lb][b]).sum(axis=1, dtype=np.int64)
+                sums.append(bound)
                 keep.append((100 + percent) * bound >= percent * (me.least[la][a] + you.least[lb][b]))
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-            i, j = i[keep], j[keep]
+            i, j, sums = i[keep], j[keep], np.concatenate(sums or [i])[keep]
             if level:
                 if la == level:
                     i, j = self._children(i, j, len(me.least[level - 1]))
@@ -146,8 +147,8 @@ class RTree:
                     i, j = i[ahead], j[ahead]
         if other is None:
             apart = i < j
-            i, j = i[apart], j[apart]
-        return me.order[i], you.order[j]
+            i, j, sums = i[apart], j[apart], sums[apart]
+        return me.order[i], you.order[j], sums
 
     def _children(self, i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         kids = (i[:, None] * self.fan + np.arange(self.fan)).ravel()
@@ -172,32 +173,38 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
-def _bits(classes: DataFrame) -> np.ndarray:
-    """A filter of fixed size with the bit of each class set; at most FILTER_BITS / 64 rows reach the driver."""
-    slot = F.pmod(F.col("c"), F.lit(FILTER_BITS))
-    words_ = classes.select(F.floor(slot / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _bits(docs: DataFrame) -> np.ndarray:
+    """A filter of fixed size with the bit of each doc_id set; at most FILTER_BITS / 64 rows reach the driver."""
+    slot = F.pmod(F.col("doc_id"), F.lit(FILTER_BITS))
+    words_ = docs.where("doc_id IS NOT NULL").select(F.floor(slot / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words_.column("w").to_numpy()] = words_.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint8)
+
 
+def _class_sets(docs: DataFrame, each: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(c, n, point, shingles) of the wanted classes, from the text of one document of each; the point has FINE groups.
 
-def _class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, n, point, shingles) of the wanted classes, from the texts; the point has FINE groups."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(wanted)))
+    Documents without an id always pass the filter, so their classes are found too.
+    """
+    chosen = each.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(chosen))
 
     def run(batches):
-        has, done = np.unpackbits(bits.value).astype(bool), set()
+        has, done = np.unpackbits(bits.value, bitorder="little").astype(bool), set()
         for batch in batches:
-            for c in chunks(batch.column("text"), lower=True):
+            ids = batch.column("doc_id")
+            known = has[ids.fill_null(0).to_numpy() % FILTER_BITS] | ids.is_null().to_numpy(zero_copy_only=False)
+            texts = batch.column("text").filter(pa.array(known))
+            for c in chunks(texts, lower=True) if len(texts) else ():
                 sets = Sets(c, width)
-                ids = sets.classes()
-                hit = np.flatnonzero(has[ids % FILTER_BITS] & (sets.sizes > 0))
-                rows = [i for i, k in zip(hit.tolist(), ids[hit].tolist()) if not (k in done or done.add(k))]
+                own = sets.classes()
+                rows = [i for i, k in enumerate(own.tolist()) if sets.sizes[i] and not (k in done or done.add(k))]
                 if rows:
                     shingles = [sets.hashes[sets.edges[i] : sets.edges[i + 1]].tobytes() for i in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets.sizes[rows]), pa.array([sets.fine_point(i) for i in rows], pa.binary()), pa.array(shingles, pa.binary())], ["c", "n", "point", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(sets.sizes[rows]), pa.array([sets.fine_point(i) for i in rows], pa.binary()), pa.array(shingles, pa.binary())], ["c", "n", "point", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "c long, n long, point binary, shingles binary")
+    found = docs.select("doc_id", "text").mapInArrow(run, "c long, n long, point binary, shingles binary")
     return found.join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
@@ -219,10 +226,10 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int, groups: int = GR
     return rows.select("a", "b", "pa", "na", "pb", "nb").mapInArrow(run, "a long, b long")
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _checked(docs: DataFrame, each: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The candidate pairs that reach the similarity; sets are made anew from the texts of their classes."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    sets = cut(_class_sets(docs, wanted, width))
+    sets = cut(_class_sets(docs, each, wanted, width))
     near = cut(_bounded(pairs, sets.select("c", "n", "point"), percent, FINE))
     release(docs.sparkSession)
     found = cut(_verified(near, sets, percent))
@@ -316,8 +323,29 @@ def _dealt(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return placed.mapInArrow(meet, "key long, common boolean, c long, pivot long")
 
 
-def _tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different stars from a tree of each (key, i, j); rows have c, star, block, n, point."""
+def _forest(a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Places of the likeliest pairs that join all stars which the pairs (a, b) of stars join, without a circle."""
+    parent, kept = {}, []
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    order = np.lexsort((b, a, -likeness))
+    for at, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
+def _tree_pairs(groups: DataFrame, percent: int, forest: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) of different stars from a tree of each (key, i, j); rows have c, star, block, n, point.
+
+    With ``forest`` only so many of a tree's pairs as would join its stars, the likeliest first.
+    """
 
     def run(batches):
         for t in _runs(batches, ["key", "i", "j"]):
@@ -331,18 +359,27 @@ def _tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
             a = start[two & (i[start] == j[start])]
             reach = [(100 + percent) * np.minimum(points[x], points[x + 1]).sum(axis=1) >= percent * (n[x] + n[x + 1]) for x in np.array_split(a, len(a) // 4096 + 1)]
             a = a[np.concatenate(reach)]
-            found = [(a, a + 1)]
+            parts = [(a, a + 1)]
             if (two & (i[start] != j[start])).any() or not two.all():
                 for s, e in zip(start, stop):
                     if i[s] != j[s]:
                         left, right = s + np.flatnonzero(block[s:e] == i[s]), s + np.flatnonzero(block[s:e] == j[s])
-                        if len(left) and len(right):
-                            a, b = RTree(points[left], n[left]).pairs(percent, RTree(points[right], n[right]))
-                            found.append((left[a], right[b]))
+                        if not len(left) or not len(right):
+                            continue
+                        a, b, overlap = RTree(points[left], n[left]).pairs(percent, RTree(points[right], n[right]))
+                        a, b = left[a], right[b]
                     elif e - s > 2:
-                        a, b = RTree(points[s:e], n[s:e]).pairs(percent)
-                        found.append((s + a, s + b))
-            a, b = (np.concatenate(x) for x in zip(*found))
+                        a, b, overlap = RTree(points[s:e], n[s:e]).pairs(percent)
+                        a, b = s + a, s + b
+                    else:
+                        continue
+                    apart = star[a] != star[b]
+                    a, b, overlap = a[apart], b[apart], overlap[apart]
+                    if forest:
+                        some = _forest(star[a], star[b], overlap / (n[a] + n[b]))
+                        a, b = a[some], b[some]
+                    parts.append((a, b))
+            a, b = (np.concatenate(x) for x in zip(*parts))
             keep = star[a] != star[b]
             a, b = c[a[keep]], c[b[keep]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -364,29 +401,26 @@ def _links(docs: DataFrame, each: DataFrame, width: int, percent: int) -> DataFr
     plain = met.where("NOT common").select("c", F.col("pivot").alias("p"))
     meetings = plain.union(spread.select("c", F.col("root").alias("p"))).where("p < c").groupBy("c", "p").count()
     best = meetings.groupBy("c").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("p"))
-    stars = _checked(docs, cut(_bounded(best.select(F.col("p").alias("a"), F.col("c").alias("b")), points, percent)), width, percent)
-    for turn in range(ROUNDS + 1):
+    stars = _checked(docs, each, cut(_bounded(best.select(F.col("p").alias("a"), F.col("c").alias("b")), points, percent)), width, percent)
+    # the likeliest pairs join most stars, then every pair of the stars that are left is a candidate
+    for forest in (True, False):
         joined = components(stars)
         rows = cut(met.select("key", "c").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("star", F.coalesce("root", "c")).select("key", "c", "star"))
         members = [F.sum(F.xxhash64("c", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"m{k}") for k in (1, 2, 3)]
         several = rows.groupBy("key").agg(F.min("star").alias("s0"), F.max("star").alias("s1"), F.count(F.lit(1)).alias("m"), F.min("c").alias("a"), F.max("c").alias("b"), *members).where("s0 < s1")
-        couples = several.where("m = 2").select("a", "b").distinct()
-        groups = cut(several.where("m > 2").groupBy("m", "a", "b", "m1", "m2", "m3").agg(F.min("key").alias("key")).select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-        if turn == ROUNDS or groups.agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0)) <= DENSE * F.lit(rows.count())).first()[0]:
-            break
-        # large families in several stars: verify the pairs that stand for two stars under most keys
-        held = rows.groupBy("key", "star").agg(F.min("c").alias("c"))
-        lead = held.groupBy("key").agg(F.min(F.struct("star", "c")).alias("lead"))
-        met_stars = held.join(lead, "key").where("star <> lead.star").groupBy(F.col("lead.star").alias("sa"), F.col("star").alias("sb"), F.col("lead.c").alias("a"), F.col("c").alias("b")).count()
-        ranked = met_stars.withColumn("k", F.row_number().over(Window.partitionBy("sa", "sb").orderBy(F.desc("count"), "a", "b"))).where(f"k <= {DELEGATES}")
-        stars = cut(stars.union(_checked(docs, cut(_bounded(ranked.select("a", "b"), points, percent)), width, percent)))
-    some = rows.join(groups, "key").join(points, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    some = some.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "star", "n", "point")
-    placed = some.repartition(max(partitions(spark), 24), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
-    pairs = cut(_tree_pairs(placed, percent).union(_bounded(couples, points, percent)).distinct())
-    release(spark, points, met, groups)
-    return components(stars.union(_checked(docs, pairs, width, percent)))
+        groups = cut(several.groupBy("m", "a", "b", "m1", "m2", "m3").agg(F.min("key").alias("key")).select("key", "m", "a", "b", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+        couples = groups.where("m = 2").select("a", "b")
+        some = rows.join(groups.where("m > 2").select("key", "blocks"), "key").join(points, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        some = some.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "star", "n", "point")
+        placed = some.repartition(max(partitions(spark), 24), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
+        pairs = _tree_pairs(placed, percent, forest)
+        # two classes that meet alone are checked in the first turn, and need no second
+        pairs = cut(pairs.union(_bounded(couples, points, percent)).distinct() if forest else pairs)
+        stars = cut(stars.union(_checked(docs, each, pairs, width, percent)))
+        release(spark, rows, groups, pairs)
+    release(spark, points, met)
+    return components(stars)
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
