@@ -104,7 +104,11 @@ def packed(points: np.ndarray) -> list[bytes]:
 
 
 def unpacked(column: pa.Array, groups: int = GROUPS) -> np.ndarray:
-    rows = [np.frombuffer(x, np.uint8 if len(x) == groups else "<u4") for x in column.to_pylist()]
+    """Points of bytes; one byte for a count where all rows have that, else four."""
+    raw = column.to_pylist()
+    if all(len(x) == groups for x in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, groups)
+    rows = [np.frombuffer(x, np.uint8 if len(x) == groups else "<u4") for x in raw]
     return np.array(rows, np.int32).reshape(-1, groups)
 
 
@@ -113,7 +117,7 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = LEAF):
         # near points side by side: by size, then by the counts of coarse groups
-        coarse = points.reshape(len(points), 8, -1).sum(axis=2)
+        coarse = points.reshape(len(points), 8, -1).sum(axis=2, dtype=np.int64)
         self.order = np.lexsort((*coarse.T[::-1], np.floor(np.log2(np.maximum(sizes, 1)) * 4)))
         self.fan = fan
         self.upper, self.least = [points[self.order]], [sizes[self.order]]
@@ -216,7 +220,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int, groups: int = GR
             bound = np.zeros(batch.num_rows, np.int64)
             for lo in range(0, batch.num_rows, 256):
                 x, y = (unpacked(batch.column(k).slice(lo, 256), groups) for k in ("pa", "pb"))
-                bound[lo : lo + 256] = np.minimum(x, y).sum(axis=1)
+                bound[lo : lo + 256] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             keep = (100 + percent) * bound >= percent * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -357,7 +361,7 @@ def _tree_pairs(groups: DataFrame, percent: int, forest: bool = False) -> DataFr
             stop = np.append(start[1:], len(key))
             two = (stop - start) == 2
             a = start[two & (i[start] == j[start])]
-            reach = [(100 + percent) * np.minimum(points[x], points[x + 1]).sum(axis=1) >= percent * (n[x] + n[x + 1]) for x in np.array_split(a, len(a) // 4096 + 1)]
+            reach = [(100 + percent) * np.minimum(points[x], points[x + 1]).sum(axis=1, dtype=np.int64) >= percent * (n[x] + n[x + 1]) for x in np.array_split(a, len(a) // 4096 + 1)]
             a = a[np.concatenate(reach)]
             parts = [(a, a + 1)]
             if (two & (i[start] != j[start])).any() or not two.all():
