@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, documents, partitions
 from quarry.llm.piece_cache import encoder
-from quarry.llm.textkernel import chunks
+from quarry.llm.textkernel import BATCH_BYTES, chunks
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def encode_pieces(docs: DataFrame, path: str, tokens: int, end_id: int, id_col:
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), BATCH_BYTES):
                 ids, bounds = enc.encode(c)
                 rows = ([], [], [], [], [])
                 keys = batch.column("doc_id").slice(c.lo, c.rows).to_pylist()

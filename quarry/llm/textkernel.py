@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 PAD = 8
-CHUNK_BYTES = 4 << 20
+#: Bytes of a chunk whose arrays stay in the processor's cache, and of one whose distinct pieces are worth gathering.
+CHUNK_BYTES, BATCH_BYTES = 256 << 10, 4 << 20
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
 _LOWER = np.arange(256, dtype=np.uint8)

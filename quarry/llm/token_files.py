@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, fresh_path, partitions
 from quarry.llm.piece_cache import encoder
-from quarry.llm.textkernel import chunks
+from quarry.llm.textkernel import BATCH_BYTES, chunks
 
 SEQUENCE, SEQUENCES_PER_BATCH = 2048, 256
 
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, drop
         enc, context, writer = encoder(path, drops_space), TaskContext.get(), None
         wide = enc.ids.dtype == np.uint32
         for batch in batches:
-            for c in chunks(batch.column("text"), lower=drops_space):
+            for c in chunks(batch.column("text"), BATCH_BYTES, lower=drops_space):
                 writer = writer or ShardWriter(folder, context.partitionId(), context.taskAttemptId(), width, wide)
                 ids, bounds = enc.encode(c)
                 counts = np.diff(bounds) + 1
