@@ -126,8 +126,12 @@ class RTree:
             self.upper.append(np.maximum.reduceat(self.upper[-1], starts, axis=0))
             self.least.append(np.minimum.reduceat(self.least[-1], starts))
 
-    def pairs(self, percent: int, other: RTree | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places (i, j) of all pairs whose summed smaller counts reach the needed overlap, and those sums; i before j within one tree."""
+    def pairs(self, percent: int, other: RTree | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (i, j) of all pairs whose summed smaller counts reach the needed overlap; i before j within one tree."""
+        return self.bounded_pairs(percent, other)[:2]
+
+    def bounded_pairs(self, percent: int, other: RTree | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs with the sums of their smaller counts."""
         me, you = self, other or self
         depth = max(len(me.least), len(you.least))
         i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -370,10 +374,10 @@ def _tree_pairs(groups: DataFrame, percent: int, forest: bool = False) -> DataFr
                         left, right = s + np.flatnonzero(block[s:e] == i[s]), s + np.flatnonzero(block[s:e] == j[s])
                         if not len(left) or not len(right):
                             continue
-                        a, b, overlap = RTree(points[left], n[left]).pairs(percent, RTree(points[right], n[right]))
+                        a, b, overlap = RTree(points[left], n[left]).bounded_pairs(percent, RTree(points[right], n[right]))
                         a, b = left[a], right[b]
                     elif e - s > 2:
-                        a, b, overlap = RTree(points[s:e], n[s:e]).pairs(percent)
+                        a, b, overlap = RTree(points[s:e], n[s:e]).bounded_pairs(percent)
                         a, b = s + a, s + b
                     else:
                         continue
