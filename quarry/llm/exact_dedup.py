@@ -1,11 +1,12 @@
 """Exact duplicates by a content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the rows on their normalised bytes; within a
-bucket an external sort puts equal contents side by side, and each row is
-compared in full with its neighbour. A bucket boundary may fall inside a run of
-copies (the last part of a splitter is a hash of the id), so a content that a
-third of all rows share is spread over a third of the buckets; the at most two
-runs at the ends of each bucket are stitched afterwards.
+Sampled splitters range-partition the rows on the first bytes of their normalised
+text, its digest and a hash of the id; within a bucket an external sort in the
+same order puts equal contents side by side, and each row is compared in full
+with its neighbour. A bucket boundary may fall inside a run of copies, so a
+content that a third of all rows share is spread over a third of the buckets; as
+the orders agree, such a run is the first or last of each bucket, and these at
+most two runs are stitched afterwards.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from quarry.llm.common import cut, documents, partitions
 SAMPLES_PER_BUCKET, PREFIX_BYTES = 24, 12
 
 
+def _head(text: Column) -> Column:
+    return F.rpad(F.hex(F.substring(text.cast("binary"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
+
+
 def _sort_key(text: Column, sha: Column, tie: Column) -> Column:
-    head = F.rpad(F.hex(F.substring(text.cast("binary"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-    return F.concat(head, sha, F.lpad(F.hex(tie), 16, "0"))
+    return F.concat(_head(text), sha, F.lpad(F.hex(tie), 16, "0"))
 
 
 def exact_duplicates(
@@ -63,10 +67,11 @@ def exact_duplicates(
         bucket = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(splitters)) & (F.get(table, at + s - 1) <= F.col("key")), at + s).otherwise(at))
     else:
         bucket = F.lit(0)
-    placed = keyed.select("id", "t", "sha", bucket.alias("b"))
+    placed = keyed.select("id", "t", "sha", _head(F.col("t")).alias("head"), bucket.alias("b"))
 
     best = F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last()
-    order = Window.partitionBy("b").orderBy(F.col("t"), best)
+    # the order of the splitters: a run that crosses one is the first or last of its bucket
+    order = Window.partitionBy("b").orderBy("head", "sha", "t", best)
     before = F.lag("t").over(order)
     runs = (
         placed.withColumn("new", F.when(before.isNull() | (before != F.col("t")), 1).otherwise(0))

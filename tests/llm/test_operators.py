@@ -43,6 +43,15 @@ def test_exact_duplicates_of_all_bucket_counts(spark, docs):
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
 
 
+def test_exact_duplicates_of_a_hot_text_among_like_openings(spark):
+    texts = [t for i in range(300) for t in ("common opening m", f"common opening a{i}", f"common opening z{i}")]
+    for keep, pick in (("max", max), ("min", min)):
+        got = rows(exact_dedup.exact_duplicates(frame(spark, texts), keep=keep, buckets=40))
+        hot = [r for r in got if texts[r["doc_id"]] == texts[0]]
+        assert len(got) == 900 and {(r["keep_id"], r["group_size"]) for r in hot} == {(pick(range(0, 900, 3)), 300)}
+        assert sum(r["kept"] for r in got) == 601
+
+
 @pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_pieces_give_the_library_ids(name, drops):
     enc = PieceEncoder(public_tokenizers.path(name), drops)
