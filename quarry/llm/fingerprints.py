@@ -2,10 +2,9 @@
 
 A k-mer of characters is an anchor when the smallest hash among its inner
 s-mers is that of its first or last one; whether it is depends on the k-mer
-alone, so an edit moves no anchors but those it touches. A fingerprint keeps the
-anchors with the smallest hashes, each with its place. Two fingerprints are
-alike by the share of anchors, judged by the smallest of both together, that
-both have and that match on the best common shift.
+alone, so an edit moves no anchors but those it touches. A fingerprint keeps all
+anchors in the order of the text, each with its place. Two fingerprints are
+alike by the share of their anchors that match on the best common shift.
 """
 
 from __future__ import annotations
@@ -21,11 +20,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import documents, partitions
 from quarry.llm.textkernel import mix
 
-K, S, ANCHORS = 12, 5, 96
+K, S = 12, 5
 #: For texts of fewer than SHORT characters.
 SHORT, SHORT_K, SHORT_S = 64, 4, 2
-#: Places are kept in units of so many characters, and may differ by one unit when they match.
-PLACE = 4
 
 
 def _window_hashes(code: np.ndarray, width: int) -> np.ndarray:
@@ -56,33 +53,41 @@ def syncmers(code: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
 
 
 def fingerprint(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest anchor hashes, ascending, and the unit of each one's place.
+    """Hashes of all anchors in the order of the text, and the place of each.
 
-    A repeated anchor counts as often as it occurs: its later occurrences have
-    hashes of their own, by their number. A text shorter than a k-mer, or without
-    an anchor, has one: its whole content.
+    A text shorter than a k-mer, or without an anchor, has one: its whole content.
     """
     k, s = (SHORT_K, SHORT_S) if len(code) < SHORT else (K, S)
     if len(code) >= k:
         place, h = syncmers(code, k, s)
         if len(h):
-            order = np.argsort(h, kind="stable")
-            h, place = h[order], place[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            turn = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-            again = turn > 0
-            h[again] = mix(h[again].astype(np.uint64) ^ (turn[again].astype(np.uint64) << np.uint64(32))) >> np.uint64(32)
-            h, at = np.unique(h, return_index=True)
-            return h[:ANCHORS], (place[at[:ANCHORS]] // PLACE).astype(np.int64)
+            return h, place
     if not len(code):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     whole = int.from_bytes(hashlib.blake2b(code.astype("<u4").tobytes(), digest_size=4).digest(), "little")
     return np.array([whole], np.uint32), np.zeros(1, np.int64)
 
 
+_HEX = np.frombuffer("".join(f"{i:02x}" for i in range(256)).encode(), np.uint8).reshape(256, 2)
+
+
+def _digits(x: np.ndarray) -> np.ndarray:
+    """Eight hexadecimal digits of each number, as bytes."""
+    return _HEX[x.astype(">u4").view(np.uint8).reshape(-1, 4)].reshape(-1, 8)
+
+
 def render(print_: tuple[np.ndarray, np.ndarray]) -> str:
     """hash.place in hexadecimal, joined by spaces."""
-    return " ".join(f"{h:08x}.{p:x}" for h, p in zip(print_[0].tolist(), print_[1].tolist()))
+    h, place = print_
+    n = len(h)
+    if not n:
+        return ""
+    out = np.empty((n, 18), np.uint8)
+    out[:, :8], out[:, 8], out[:, 9:17], out[:, 17] = _digits(h), ord("."), _digits(place), ord(" ")
+    keep = np.ones((n, 18), bool)
+    for i in range(1, 8):  # no leading zeros of places
+        keep[:, 8 + 8 - i] = place >= 16**i
+    return out[keep][:-1].tobytes().decode()
 
 
 def parse(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,25 +95,23 @@ def parse(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(h, 16) for h, _ in pairs], np.uint32), np.array([int(p, 16) for _, p in pairs], np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """0 to 1: the part of both texts' anchors that match on the best common shift; 1 for two empty ones.
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """Hash and number of its occurrence, in one."""
+    order = np.argsort(h, kind="stable")
+    first = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    turn = np.empty(len(h), np.uint64)
+    turn[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    return (h.astype(np.uint64) << np.uint64(32)) | turn
 
-    It is the Dice measure, from the Jaccard estimate over the smallest hashes of both.
-    """
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """0 to 1: the part of both texts' anchors that match on the best common shift (Dice); 1 for two empty ones."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    union = np.union1d(a[0], b[0])
-    # beyond the last hash that a cut fingerprint kept, what it lacks isn't known
-    last = min((x[0][-1] for x in (a, b) if len(x[0]) == ANCHORS), default=union[-1])
-    union = union[union <= last]
-    seen = both <= last
-    if not seen.any():
+    _, i, j = np.intersect1d(_numbered(a[0]), _numbered(b[0]), assume_unique=True, return_indices=True)
+    if not len(i):
         return 0.0
-    shift = np.sort(b[1][j[seen]] - a[1][i[seen]])
-    within = np.searchsorted(shift, shift + 1, side="right") - np.searchsorted(shift, shift - 1, side="left")
-    jaccard = float(within.max()) / len(union)
-    return 2 * jaccard / (1 + jaccard)
+    return 2 * float(np.unique(b[1][j] - a[1][i], return_counts=True)[1].max()) / (len(a[0]) + len(b[0]))
 
 
 def codes(text: str) -> np.ndarray:

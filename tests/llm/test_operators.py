@@ -170,6 +170,20 @@ def test_fingerprints(spark, docs):
     assert got[9]["fingerprint"] == got[10]["fingerprint"] and got[7]["near_edited"] > 0.5
 
 
+def _print_of(words):
+    return fingerprints.fingerprint(fingerprints.codes(" ".join(words)))
+
+
+def test_fingerprints_keep_all_anchors_of_long_texts():
+    rng = np.random.default_rng(6)
+    a, b, shared = ([f"q{x}" for x in rng.integers(0, 100_000, n)] for n in (19_800, 19_800, 200))
+    one, two = _print_of(a[:9000] + shared + a[9000:]), _print_of(b[:3000] + shared + b[3000:])
+    assert fingerprints.likeness(one, two) > 0.005 and fingerprints.likeness(_print_of(a), _print_of(b)) < 0.005
+    assert len(one[0]) > len(" ".join(a)) / 5 and set(_print_of(a)[0]) != set(_print_of(a[:700] + ["edit"] + a[701:])[0])
+    text = fingerprints.render(one)
+    assert text == " ".join(f"{h:08x}.{p:x}" for h, p in zip(*one)) and all((x == y).all() for x, y in zip(one, fingerprints.parse(text)))
+
+
 def test_language_model_base_and_null_rows(spark, docs):
     got = {r["doc_id"]: r for r in rows(language_model.score_documents(docs))}
     assert got[0]["n_tokens"] == got[1]["n_tokens"] == 1 and got[None]["held_out"] is None
