@@ -4,12 +4,14 @@ A k-mer of characters is an anchor when the smallest hash among its inner
 s-mers is that of its first or last one; whether it is depends on the k-mer
 alone, so an edit moves no anchors but those it touches. A fingerprint keeps all
 anchors in the order of the text, each with its place. Two fingerprints are
-alike by the share of their anchors that match on the best common shift.
+alike by the share of their anchors in the longest chain that both have in the
+same order, so an insertion costs the anchors it touches and no more.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from quarry.llm.textkernel import mix
 K, S = 12, 5
 #: For texts of fewer than SHORT characters.
 SHORT, SHORT_K, SHORT_S = 64, 4, 2
+#: Up to so many pairs of places for each anchor, chains are found from the pairs, beyond it from bits; both are exact.
+PAIRS_EACH = 4
 
 
 def _window_hashes(code: np.ndarray, width: int) -> np.ndarray:
@@ -95,23 +99,57 @@ def parse(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(h, 16) for h, _ in pairs], np.uint32), np.array([int(p, 16) for _, p in pairs], np.int64)
 
 
-def _numbered(h: np.ndarray) -> np.ndarray:
-    """Hash and number of its occurrence, in one."""
-    order = np.argsort(h, kind="stable")
-    first = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    turn = np.empty(len(h), np.uint64)
-    turn[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    return (h.astype(np.uint64) << np.uint64(32)) | turn
+def _common_run(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def chained(a: np.ndarray, b: np.ndarray, pairs: int = PAIRS_EACH) -> int:
+    """The most elements of both sequences that match in order: their longest common subsequence, exactly."""
+    first = _common_run(a, b)
+    a, b = a[first:], b[first:]
+    last = _common_run(a[::-1], b[::-1])
+    a, b = a[: len(a) - last], b[: len(b) - last]
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return first + last
+    # what only one of them has is in no match
+    a, b = (np.searchsorted(both, x[np.isin(x, both)]) for x in (a, b))
+    of_a, of_b = np.bincount(a, minlength=len(both)), np.bincount(b, minlength=len(both))
+    if (of_a * of_b).sum() <= pairs * (len(a) + len(b)):
+        # the longest rising sequence of the places in b, those of one element of a from the last to the first
+        by = np.argsort(b, kind="stable")[::-1]
+        of = b[by][::-1]
+        low, n = len(b) - np.searchsorted(of, a, side="right"), of_b[a]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        tails: list[int] = []
+        for x in by[at].tolist():
+            if not tails or x > tails[-1]:
+                tails.append(x)
+            else:
+                tails[bisect_left(tails, x)] = x
+        return first + last + len(tails)
+    # many repeats: the bits of a row of the table at once
+    if len(a) > len(b):
+        a, b = b, a
+    where = [0] * len(both)
+    for i, x in enumerate(a.tolist()):
+        where[x] |= 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b.tolist():
+        match = row & where[x]
+        row = ((row + match) | (row - match)) & full
+    return first + last + len(a) - row.bit_count()
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """0 to 1: the part of both texts' anchors that match on the best common shift (Dice); 1 for two empty ones."""
+    """0 to 1: the part of both texts' anchors that match in order (Dice); 1 for two empty ones."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    _, i, j = np.intersect1d(_numbered(a[0]), _numbered(b[0]), assume_unique=True, return_indices=True)
-    if not len(i):
-        return 0.0
-    return 2 * float(np.unique(b[1][j] - a[1][i], return_counts=True)[1].max()) / (len(a[0]) + len(b[0]))
+    return 2 * chained(a[0], b[0]) / (len(a[0]) + len(b[0]))
 
 
 def codes(text: str) -> np.ndarray:

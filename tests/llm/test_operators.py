@@ -184,6 +184,26 @@ def test_fingerprints_keep_all_anchors_of_long_texts():
     assert text == " ".join(f"{h:08x}.{p:x}" for h, p in zip(*one)) and all((x == y).all() for x, y in zip(one, fingerprints.parse(text)))
 
 
+def test_insertions_cost_the_anchors_they_touch():
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 1500)]
+    for n, least in ((1, 0.99), (10, 0.97), (30, 0.93)):
+        longer = list(base)
+        for i in rng.integers(0, 1500, n):
+            longer.insert(i, "inserted")
+        assert fingerprints.likeness(_print_of(base), _print_of(longer)) > least
+    for limit in (0, 4, 1000):  # both methods, against the table of all places
+        for _ in range(60):
+            a, b = (rng.integers(0, int(rng.integers(1, 30)), int(rng.integers(0, 30))).astype(np.uint32) for _ in range(2))
+            row = [0] * (len(b) + 1)
+            for x in a:
+                new = [0]
+                for j, y in enumerate(b):
+                    new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+                row = new
+            assert fingerprints.chained(a, b, limit) == row[-1]
+
+
 def test_language_model_base_and_null_rows(spark, docs):
     got = {r["doc_id"]: r for r in rows(language_model.score_documents(docs))}
     assert got[0]["n_tokens"] == got[1]["n_tokens"] == 1 and got[None]["held_out"] is None
