@@ -18,7 +18,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     Alternates large-star and small-star steps, each one aggregation and one join
     on node ids, until nothing changes; the lineage is cut each time. Every step
     keeps the components and moves links to smaller nodes, so the work of a node
-    with many links is summed before it is shuffled.
+    with many links is summed before it is shuffled. More than ``most`` rounds raise
+    an error, for their result could split components.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = cut(edges)
@@ -37,5 +38,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not converge in {most} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("root"))
     return stars.select(F.col("u").alias("node"), "root").union(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from quarry.llm import byte_bpe, exact_dedup, fingerprints, language_model, near_duplicates, packing, pii, quality, token_files, toxicity
+from quarry.llm import byte_bpe, components, exact_dedup, fingerprints, language_model, near_duplicates, packing, pii, quality, token_files, toxicity
 from quarry.llm.common import fresh_path
 from quarry.llm.piece_cache import PieceEncoder
 from quarry.llm.textkernel import chunks
@@ -135,6 +135,13 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(got[i]["n_shingles"] == len(s) for i, s in enumerate(sets))
 
 
+def test_components_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)], "a long, b long")
+    assert {r["root"] for r in rows(components.components(path))} == {0}
+    with pytest.raises(RuntimeError):
+        components.components(path, most=1)
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(1)
     points = rng.poisson(0.4, (150, near_duplicates.GROUPS))
