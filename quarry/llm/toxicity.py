@@ -147,8 +147,8 @@ def _sample_features(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``examples`` labelled rows outside the held-out fold."""
     sample = labelled_sample(docs, labels, label, examples, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", "y")
-    # copies, exact or near, must not make features of their own words
-    apart = sample.withColumn("head", F.substring("text", 1, 80)).withColumn("tail", F.right("text", F.lit(80))).dropDuplicates(["head"]).dropDuplicates(["tail"]).select("id", "text", "y")
+    # equal texts count once, as the one with the smallest id
+    apart = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("id").alias("id"), F.min_by("y", "id").alias("y"))
     total, positive = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     model = Model(np.zeros(0, np.uint64), [], np.zeros(0), BlockMaxIndex(np.zeros((0, 0))), np.zeros(0), np.zeros(0, np.int64), positive / total if total else 0.0)
     if not total or not 0 < positive < total:

@@ -240,6 +240,16 @@ def test_classifiers_learn_and_take_odd_rows(spark):
     assert toxicity.classify(docs, toxicity.fit(docs, empty)).count() == len(texts)
 
 
+def test_toxicity_learns_from_texts_with_a_common_frame(spark):
+    rng = np.random.default_rng(8)
+    head, tail = "the common header of a hot source " * 4, " and its common footer, the same everywhere" * 3
+    texts = [head + " ".join(f"word{x}" for x in rng.integers(0, 50, 40)) + (" zzbad qqbad" if i % 4 == 0 else "") + tail for i in range(200)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = rows(toxicity.classify(docs, toxicity.fit(docs, labels)))
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(4)
     v = rng.random((500, 20)) * (rng.random((500, 20)) < 0.2)
