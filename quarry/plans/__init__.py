@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import pack_tokens, strip, valid_body, word_count
 from quarry.operators import corpus as corpora
-from quarry.operators import search, suffix_index, tokens
+from quarry.operators import search, suffix_index, suffix_order, tokens
 from quarry.session import fresh_path
 from quarry.sources import decode_base64_tokens, flat_corpus, named, needles, number_rows, read_needles, read_results, write_results
 
@@ -262,6 +262,17 @@ def suffix_lcp(spark, sf_dir):
     return suffix_index.lcp(suffix_index.ranked(_nations(spark, sf_dir)))
 
 
+@_query()
+def corpus_suffix_rank(spark, sf_dir):
+    """All suffixes of the documents; no SQL, for whole suffixes of a corpus are too many bytes to sort."""
+    return suffix_order.rank_corpus(_docs(spark, sf_dir)).drop("before")
+
+
+@_query()
+def corpus_suffix_lcp(spark, sf_dir):
+    return suffix_order.lcp_corpus(_docs(spark, sf_dir))
+
+
 _TOKENS = r"toks AS (SELECT doc_id + 1 AS uid, CASE WHEN trim(text, e' \t\n\r\f\v') = '' THEN [] ELSE regexp_split_to_array(trim(text, e' \t\n\r\f\v'), '\s+') END AS t FROM documents)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.api import RequestError, Service
 from quarry.functions import succ, valid_body, word_count
 from quarry.operators import corpus as corpora
-from quarry.operators import search, suffix_index, tokens
+from quarry.operators import search, suffix_index, suffix_order, tokens
 from quarry.sources import needles, parse_request, read_corpus, read_results, write_results
 
 TEXTS = ["aaaa", "The quick brown fox was very quick.", "é ééé x.(y)\n\\E end", "", None, "onononon", "aaaa", "x" * 200 + "quick" + "y" * 200]
@@ -79,6 +79,17 @@ def test_rank_and_lcp_follow_naive_order(spark):
     assert [r.lcp for r in suffix_index.lcp(suffix_index.ranked(small)).orderBy("rank").collect()] == shared
 
 
+def test_rank_and_lcp_of_a_corpus_follow_naive_order(spark):
+    long = "the same opening, longer than any key, " * 4
+    texts = [*TEXTS, long + "a é", long + "a è", long + "a é", "é" * 70, "ab" * 150, long[:32], "z" + long]
+    corpus = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "uid long, text string")
+    want = sorted((t[i:].encode(), u + 1, len(t[:i].encode())) for u, t in enumerate(texts) for i in range(len(t or "")))
+    shared = [0] + [next((k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(want, want[1:])]
+    assert [(r.rank, r.uid, r.off) for r in suffix_order.rank_corpus(corpus).orderBy("rank").collect()] == [(i, u, o) for i, (_, u, o) in enumerate(want)]
+    assert [(r.rank, r.lcp) for r in suffix_order.lcp_corpus(corpus).orderBy("rank").collect()] == list(enumerate(shared))
+    assert suffix_order.rank_corpus(corpus.limit(0)).count() == 0
+
+
 def test_tokens_are_aligned(spark):
     t = spark.createDataFrame([(1, [1, 2, 1, 2, 1]), (2, [258, 1])], "uid long, tokens array<int>")
     assert sorted(r.token_pos for r in tokens.token_positions(t, [1, 2, 1]).collect()) == [0, 2]
