@@ -11,19 +11,23 @@ Random points of so many dimensions fill every box, so one tree over all points
 prunes little. Points are therefore dealt to trees so that any two sets which can
 reach the similarity meet: a set of n shingles goes to the n - ceil(t n) + 1 of
 them that come first in an order common to all, and two similar sets share one
-of those. Shingles frequent in a bounded sample come last in that order, which
-keeps passages that many documents share out of the way; the order changes the
-cost alone, never the result.
+of those, which in the smaller set is even among the first
+n - ceil(2 t n / (1 + t)) + 1. Shingles frequent in a bounded sample come last in
+that order, which keeps passages that many documents share out of the way; the
+order changes the cost alone, never the result. The points under a key are cut
+into trees where the sizes leave a gap that no pair can bridge.
 
-Documents with equal sets are one class from the start. Under each key the
+Documents with equal sets are one class from the start. In each tree the
 smallest class is the pivot, and each class is first verified against the pivot
-it meets under most keys, which joins families of near copies by stars instead of
-all pairs. Only keys under which several of these stars meet get a tree (one for
-all keys with the same members), and only pairs of different stars come out of
-it, so no link that joins two components is lost. A first turn verifies of each
-tree only the likeliest pairs that would join its stars; the second turn all
-pairs of stars still apart. Trees of many points are built
-by pairs of blocks of bounded size.
+it meets in most trees, which joins families of near copies by stars instead of
+all pairs. Then every tree in which several of these stars meet is searched (one
+of all with the same members; a tree of two points is one test of the bound), and
+only pairs of different stars come out of it, so no link that joins two
+components is lost. A first turn verifies of each tree only the likeliest pairs
+that would join its stars; a second turn goes once more through the trees that
+had other pairs and whose stars are still apart. Trees of many points are built
+by pairs of blocks of bounded size, of one band of sizes each; only bands that
+can hold a pair meet.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ from quarry.llm.common import cut, documents, partitions, release
 from quarry.llm.components import components
 from quarry.llm.textkernel import chunks, mix, shingle_hashes, span_hashes, words
 
-GROUPS, WIDTH, PERCENT = 1024, 5, 75
+GROUPS, WIDTH, PERCENT = 512, 5, 75
 #: Groups of the points that decide whether two whole sets are brought together.
 FINE = 4096
-#: Documents sampled for the order, and how many must have a shingle that is frequent.
-ORDER_SAMPLE, ORDER_LEAST = 4096, 4
+#: Documents sampled for the order, how many must have a shingle that is frequent, and the most such shingles.
+ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 4096, 4, 1 << 20
 #: Parts over which a frequent key is spread.
 SALTS = 32
 #: Points of a block of a tree, points of a leaf, and children of a node.
@@ -75,8 +79,8 @@ class Sets:
         out[self.sizes == 0] = 0
         return out.view(np.int64)
 
-    def prefixes(self, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The shingles under which each set is dealt, with the row and whether it is a frequent one."""
+    def prefixes(self, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The shingles under which each set is dealt, with the row, whether it is a frequent one, and whether the set can be the smaller of a pair under it."""
         common = np.zeros(len(self.hashes), bool)
         if len(frequent):
             at = np.searchsorted(frequent, self.hashes)
@@ -86,11 +90,13 @@ class Sets:
         place = np.arange(len(order)) - self.edges[self.rows]
         wanted = self.sizes + (-percent * self.sizes // 100) + 1  # n - ceil(t n) + 1
         keep = place < wanted[self.rows]
-        order = order[keep]
-        return self.hashes[order], self.rows[order], common[order]
+        order, place = order[keep], place[keep]
+        smaller = self.sizes + (-2 * percent * self.sizes // (100 + percent)) + 1
+        row = self.rows[order]
+        return self.hashes[order], row, common[order], place < smaller[row]
 
     def points(self) -> np.ndarray:
-        cell = self.rows * GROUPS + (self.hashes >> np.uint64(54)).astype(np.int64)
+        cell = self.rows * GROUPS + (self.hashes >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
         return np.bincount(cell, minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
 
     def fine_point(self, i: int) -> bytes:
@@ -177,7 +183,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
     chosen = sample.select(F.col("doc_id").alias("chosen")).distinct()
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen"], "left_semi").select("text")
-    found = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {ORDER_LEAST}").select("h").toArrow()
+    found = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {ORDER_LEAST}").orderBy(F.desc("n"), "h").limit(ORDER_MOST).select("h").toArrow()
     return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
@@ -290,10 +296,28 @@ def _runs(batches, keys: list[str]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _trees(key: np.ndarray, n: np.ndarray, smaller: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key and size: places of those that may have a partner under their key, and a number for each tree.
+
+    Of a pair, the smaller set must have the key where it counts for the smaller one, and the sizes must agree.
+    """
+    at = np.arange(len(key))
+    follows = np.zeros(len(key), bool)
+    follows[:-1] = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+    last = np.maximum.accumulate(np.where(smaller, at, -1))  # the last one at or before a row that can be the smaller
+    before = np.concatenate([[-1], last[:-1]]) if len(key) else last
+    led = (before >= 0) & (key[before] == key) & (100 * n[before] >= percent * n)
+    kept = np.flatnonzero((smaller & follows) | led)
+    k, m = key[kept], n[kept]
+    cut_here = np.ones(len(kept), bool)
+    cut_here[1:] = (k[1:] != k[:-1]) | (100 * m[:-1] < percent * m[1:])
+    return kept, np.cumsum(cut_here) - 1
+
+
 def _dealt(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, salt, c, pivot) of classes that meet others under a key; pivot is the smallest class there."""
+    """(key, common, c, pivot) of classes that meet others in a tree; pivot is the smallest class there."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(docs, width))  # bounded by ORDER_SAMPLE
+    frequent = spark.sparkContext.broadcast(_frequent(docs, width))  # at most ORDER_MOST
 
     def emit(batches):
         done = np.zeros(0, np.int64)  # a class is dealt once from each partition
@@ -305,29 +329,40 @@ def _dealt(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 fresh[np.unique(ids, return_index=True)[1]] = True
                 fresh &= ~np.isin(ids, done)
                 done = np.concatenate([done, ids[fresh]])
-                keys, row, common = sets.prefixes(frequent.value, percent)
+                keys, row, common, smaller = sets.prefixes(frequent.value, percent)
                 keep = fresh[row]
-                keys, own, common = keys[keep], ids[row[keep]], common[keep]
-                salt = np.where(common, own % SALTS, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(common), pa.array(own)], ["key", "salt", "common", "c"])
+                keys, row, common, smaller = keys[keep], row[keep], common[keep], smaller[keep]
+                own = ids[row]
+                salt = np.where(common, own % SALTS, -1).astype(np.int8)  # -1: not a frequent one
+                n = (sets.sizes[row] * np.where(smaller, 1, -1)).astype(np.int32)  # below 0: not as the smaller of a pair
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(n), pa.array(own)], ["key", "salt", "n", "c"])
 
     def meet(batches):
         for t in _runs(batches, ["key", "salt"]):
-            key, salt, c = (t.column(k).to_numpy() for k in ("key", "salt", "c"))
-            common = t.column("common").to_numpy()
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-            once = new.copy()
-            once[1:] |= c[1:] != c[:-1]
-            key, salt, c, common, new = key[once], salt[once], c[once], common[once], new[once]
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(key)))
-            pivot = np.repeat(c[start], size)
-            keep = (np.repeat(size, size) > 1) | common  # a spread key may meet itself elsewhere
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, common, c, pivot)], ["key", "common", "c", "pivot"])
-
-    rows = docs.select("text").mapInArrow(emit, "key long, salt int, common boolean, c long")
-    placed = rows.repartition(max(partitions(spark), 24), "key", "salt").sortWithinPartitions("key", "salt", "c")
+            key, salt, n, c = (t.column(k).to_numpy() for k in ("key", "salt", "n", "c"))
+            smaller, n = n > 0, np.abs(n)
+            order = np.lexsort((c, n, salt, key))
+            key, salt, n, c, smaller = (x[order] for x in (key, salt, n, c, smaller))
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (c[1:] != c[:-1])
+            key, salt, n, c, smaller = (x[once] for x in (key, salt, n, c, smaller))
+            plain = np.flatnonzero(salt < 0)
+            kept, tree = _trees(key[plain], n[plain], smaller[plain], percent)
+            at = plain[kept]
+            if len(at):
+                pivot = np.minimum.reduceat(c[at], np.flatnonzero(np.diff(tree, prepend=-1)))[tree]
+                least = np.minimum.reduceat(n[at], np.flatnonzero(np.diff(tree, prepend=-1)))[tree]
+                name = mix(key[at].view(np.uint64) ^ (least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.zeros(len(at), bool)), pa.array(c[at]), pa.array(pivot)], ["key", "common", "c", "pivot"])
+            at = np.flatnonzero(salt >= 0)  # a spread key may meet itself in another part
+            if len(at):
+                new = np.ones(len(at), bool)
+                new[1:] = (key[at][1:] != key[at][:-1]) | (salt[at][1:] != salt[at][:-1])
+                pivot = np.minimum.reduceat(c[at], np.flatnonzero(new))[np.cumsum(new) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.ones(len(at), bool)), pa.array(c[at]), pa.array(pivot)], ["key", "common", "c", "pivot"])
+
+    rows = docs.select("text").mapInArrow(emit, "key long, salt byte, n int, c long")
+    placed = rows.repartition(max(partitions(spark), 24), "key", "salt").sortWithinPartitions("key", "salt")
     return placed.mapInArrow(meet, "key long, common boolean, c long, pivot long")
 
 
@@ -352,7 +387,8 @@ def _forest(a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> np.ndarray:
 def _tree_pairs(groups: DataFrame, percent: int, forest: bool = False) -> DataFrame:
     """Candidate pairs (a, b) of different stars from a tree of each (key, i, j); rows have c, star, block, n, point.
 
-    With ``forest`` only so many of a tree's pairs as would join its stars, the likeliest first.
+    With ``forest`` only so many of a tree's pairs as would join its stars, the
+    likeliest first; ``again`` is then the key of a tree that has others.
     """
 
     def run(batches):
@@ -367,7 +403,7 @@ def _tree_pairs(groups: DataFrame, percent: int, forest: bool = False) -> DataFr
             a = start[two & (i[start] == j[start])]
             reach = [(100 + percent) * np.minimum(points[x], points[x + 1]).sum(axis=1, dtype=np.int64) >= percent * (n[x] + n[x + 1]) for x in np.array_split(a, len(a) // 4096 + 1)]
             a = a[np.concatenate(reach)]
-            parts = [(a, a + 1)]
+            parts, again = [(a, a + 1)], [np.zeros(len(a), bool)]
             if (two & (i[start] != j[start])).any() or not two.all():
                 for s, e in zip(start, stop):
                     if i[s] != j[s]:
@@ -383,17 +419,20 @@ def _tree_pairs(groups: DataFrame, percent: int, forest: bool = False) -> DataFr
                         continue
                     apart = star[a] != star[b]
                     a, b, overlap = a[apart], b[apart], overlap[apart]
+                    more = False
                     if forest:
                         some = _forest(star[a], star[b], overlap / (n[a] + n[b]))
+                        more = len(some) < len(a)
                         a, b = a[some], b[some]
                     parts.append((a, b))
+                    again.append(np.full(len(a), more))
             a, b = (np.concatenate(x) for x in zip(*parts))
             keep = star[a] != star[b]
-            a, b = c[a[keep]], c[b[keep]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            a, b, more = a[keep], b[keep], np.concatenate(again)[keep]
+            found = np.unique(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b]), np.where(more, key[a], 0), more], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2], mask=found[:, 3] == 0)], ["a", "b", "again"])
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return groups.mapInArrow(run, "a long, b long, again long")
 
 
 def _links(docs: DataFrame, each: DataFrame, width: int, percent: int) -> DataFrame:
@@ -411,47 +450,81 @@ def _links(docs: DataFrame, each: DataFrame, width: int, percent: int) -> DataFr
     best = meetings.groupBy("c").agg(F.max_by("p", F.struct("count", -F.col("p"))).alias("p"))
     stars = _checked(docs, each, cut(_bounded(best.select(F.col("p").alias("a"), F.col("c").alias("b")), points, percent)), width, percent)
     # the likeliest pairs join most stars, then every pair of the stars that are left is a candidate
+    again = None
     for forest in (True, False):
         joined = components(stars)
-        rows = cut(met.select("key", "c").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("star", F.coalesce("root", "c")).select("key", "c", "star"))
+        rows = met.select("key", "c").join(again, "key", "left_semi") if again is not None else met.select("key", "c")
+        rows = cut(rows.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("star", F.coalesce("root", "c")).select("key", "c", "star"))
         members = [F.sum(F.xxhash64("c", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"m{k}") for k in (1, 2, 3)]
         several = rows.groupBy("key").agg(F.min("star").alias("s0"), F.max("star").alias("s1"), F.count(F.lit(1)).alias("m"), F.min("c").alias("a"), F.max("c").alias("b"), *members).where("s0 < s1")
-        groups = cut(several.groupBy("m", "a", "b", "m1", "m2", "m3").agg(F.min("key").alias("key")).select("key", "m", "a", "b", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-        couples = groups.where("m = 2").select("a", "b")
-        some = rows.join(groups.where("m > 2").select("key", "blocks"), "key").join(points, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        some = some.withColumn("o", other).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "star", "n", "point")
-        placed = some.repartition(max(partitions(spark), 24), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
-        pairs = _tree_pairs(placed, percent, forest)
+        groups = cut(several.groupBy("m", "a", "b", "m1", "m2", "m3").agg(F.min("key").alias("key")).select("key", "m", "a", "b"))
+        couples = _bounded(groups.where("m = 2").select("a", "b"), points, percent)
+        some = rows.join(groups.where("m > 2").select("key", "m"), "key").join(points, "c")
+        pairs = _tree_pairs(_blocks(some, percent), percent, forest)
         # two classes that meet alone are checked in the first turn, and need no second
-        pairs = cut(pairs.union(_bounded(couples, points, percent)).distinct() if forest else pairs)
-        stars = cut(stars.union(_checked(docs, each, pairs, width, percent)))
+        pairs = cut(pairs.unionByName(couples, allowMissingColumns=True) if forest else pairs)
+        stars = cut(stars.union(_checked(docs, each, pairs.select("a", "b").distinct(), width, percent)))
+        # keys with the same members have gone by the smallest of them, and do so again
+        again = cut(pairs.where("again IS NOT NULL").select(F.col("again").alias("key")).distinct()) if forest else None
         release(spark, rows, groups, pairs)
     release(spark, points, met)
     return components(stars)
 
 
-def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_id.
+def _blocks(some: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, m, c, star, n, point) dealt to tasks by (key, i, j): whole small trees, pairs of blocks of large ones.
 
-    A null text is empty: such rows, and those of white space alone, have no
-    shingles and are linked with nothing; fewer words than ``width`` give their
-    whole sequence as one. Rows with equal sets have one class_id. component_id is
-    the smallest id in reach (ids that are null don't count). An empty table gives
-    no rows; other columns are not read.
+    A large tree's points are in bands of sizes, each a factor below 100 / percent
+    wide, and a band is in blocks of about BLOCK points; a block meets those of its
+    own band and of the next ones as far as a pair can reach. Blocks are counted
+    for each key and band, so a hot key is split by its measured size.
     """
+    spark = some.sparkSession
+    step = float(np.log(100 / percent))
+    some = some.withColumn("band", F.when(F.col("m") > BLOCK, F.floor(F.log(F.col("n").cast("double")) / step)).otherwise(0).cast("int"))
+    large = some.where(f"m > {BLOCK}")
+    sizes = large.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    above = sizes.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("up"))
+    below = sizes.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("down"))
+    dealt = sizes.join(above, ["key", "band"], "left").join(below, ["key", "band"], "left").fillna(0, ["up", "down"])
+    # a block is band * 2^16 + its number; its own band's blocks, those of the band above and of the one below
+    names = lambda band, n: F.transform(F.filter(F.sequence(F.lit(0), n), lambda x: x < n), lambda x: band * 65536 + x)
+    band = F.col("band")
+    others = F.concat(names(band, F.col("blocks")), names(band + 1, F.col("up")), names(band - 1, F.col("down")))
+    spread = large.join(dealt, ["key", "band"]).withColumn("block", band * 65536 + F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("o", F.explode(others))
+    columns = ["key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "star", "n", "point"]
+    small = some.where(f"m <= {BLOCK}").withColumn("block", F.lit(0)).withColumn("o", F.lit(0))
+    rows = small.select(*columns).unionByName(spread.select(*columns))
+    return rows.repartition(max(partitions(spark), 24), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
+
+
+def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, n_shingles, c, root) of each row; h is a hash of the text, root common to a component (null without shingles)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column("text"), lower=True):
                 sets = Sets(c, width)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), pa.array(sets.sizes), pa.array(sets.classes()), pa.array(packed(sets.points()), pa.binary())], ["doc_id", "n_shingles", "c", "point"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), batch.column("h").slice(c.lo, c.rows), pa.array(sets.sizes), pa.array(sets.classes()), pa.array(packed(sets.points()), pa.binary())], ["doc_id", "h", "n_shingles", "c", "point"])
 
-    each = cut(rows.mapInArrow(run, "doc_id long, n_shingles long, c long, point binary"))
+    each = cut(rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, "doc_id long, h long, n_shingles long, c long, point binary"))
     linked = cut(_links(rows, each, width, percent))
-    own = each.drop("point").join(linked.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    own = each.drop("point").join(linked.withColumnRenamed("node", "c"), "c", "left")
+    return own.withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "c")))
+
+
+def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_id.
+
+    A null text is empty: such rows, and those of white space alone, have no
+    shingles and are linked with nothing; fewer words than ``width`` give their
+    whole sequence as one. Rows with equal sets have one class_id. component_id is
+    the smallest id in reach (ids that are null don't count). An empty table gives
+    no rows; other columns are not read.
+    """
+    own = _rooted(docs, width, percent, id_col, text_col)
+    least = own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return own.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("c").alias("class_id"))
 
 
