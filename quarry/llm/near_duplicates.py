@@ -529,9 +529,17 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, all columns as they are; rows with null ids stay."""
-    found = similar_components(docs, width, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs[id_col] == found["__id"], "left_anti")
+    """The rows of ``docs`` that stay, one for each component, all columns as they are.
+
+    It is the row with the smallest id; of several with that id, the one whose
+    text has the smallest hash, and rows alike in id and text stay together. Rows
+    with null ids or without shingles stay.
+    """
+    own = _rooted(docs, width, percent, id_col, text_col).where("root IS NOT NULL AND doc_id IS NOT NULL")
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    gone = own.join(first, "root").where("doc_id <> first.doc_id OR h <> first.h").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    h = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__id")) & (h == F.col("__h")), "left_anti")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

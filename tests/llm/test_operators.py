@@ -135,6 +135,46 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(got[i]["n_shingles"] == len(s) for i, s in enumerate(sets))
 
 
+def _brute_components(texts):
+    sets, root = _sets(texts), list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_duplicates_under_hot_keys(spark, monkeypatch, block):
+    """A passage that all share, sizes on both sides of the limit, and families that link only through some members."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "ORDER_LEAST", 10**9 if block == 4 else 4)  # no shingle counts as frequent
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(120):
+        own = [f"o{x}" for x in rng.integers(0, 30, int(rng.integers(0, 25)))]
+        texts.append(" ".join(passage[: int(rng.integers(15, 41))] + own))
+    got = {r["doc_id"]: r["component_id"] for r in rows(near_duplicates.similar_components(frame(spark, texts)))}
+    assert [got[i] for i in range(len(texts))] == _brute_components(texts)
+
+
+def test_near_duplicates_drop_no_other_text_of_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    table = spark.createDataFrame([(1, a), (5, a + " x"), (5, b), (5, b + " y"), (None, a), (7, None), (7, "")], "doc_id long, text string")
+    left = sorted((r["doc_id"], r["text"] or "") for r in rows(near_duplicates.drop_near_duplicates(table)) if r["doc_id"])
+    assert (1, a) in left and (5, a + " x") not in left and len([x for x in left if x[0] == 5]) == 1 and left[-2:] == [(7, ""), (7, "")]
+    assert near_duplicates.drop_near_duplicates(table).where("doc_id IS NULL").count() == 1
+    assert near_duplicates.similar_components(frame(spark, [])).count() == 0
+
+
 def test_components_are_whole_or_an_error(spark):
     path = spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)], "a long, b long")
     assert {r["root"] for r in rows(components.components(path))} == {0}
