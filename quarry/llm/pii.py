@@ -73,7 +73,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """
     out = [(a, b, 0) for a, b in email_spans(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 20) and all(len(p.lstrip("0")) <= 3 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             out.append((m.start(), m.end(), 1))
     if _LONG_NUMBER.search(text):
         for m in _CARD.finditer(text):
