@@ -1,20 +1,16 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field is trained from a small labelled
-table that ``labelled_table`` makes from templates, and tags the words of every
-text; Viterbi decoding runs in numpy over batches of word windows of equal
-length. Words without a digit, ``@`` or ``[at]``-like sign can't be personal
-data by the field's features, so a chain is cut where several of them follow
-each other; every word that isn't so cut is decoded. What the field finds is
-added to the base spans where it doesn't overlap them.
+The patterns give the base spans. The field (``pii_field``) is trained from a
+small labelled table and tags every word of every text; what it finds is added
+where it doesn't overlap a base span: spaced or disguised addresses, numbers in
+other forms, and a fifth kind, ``secret`` (keys and tokens), behind the four of
+the patterns.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
+from quarry.llm.pii_field import KINDS, Field, trained_field
+from quarry.llm.textkernel import BATCH_BYTES, chunks
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds that the patterns find.
+BASE_KINDS = KINDS[:4]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,234 +88,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in out]
 
 
-# --- the field ---------------------------------------------------------------
-
-TAGS = ("O", *KINDS)
-_WORD = re.compile(r"\S+")
-_OBFUSCATED = ("(at)", "[at]", "{at}", "<at>")
-_PART = re.compile(r"[^\s,;:!?\"'()\[\]{}<>*$%&#|=]+(?:\([a-z]+\)[^\s,;]*|\[[a-z]+\][^\s,;]*)*|\([0-9]{3}\)")
-
-
-def shape(word: str) -> str:
-    """Letters to x or X, digits to 9, runs of the same shortened to two; other signs stay."""
-    out = []
-    for c in word[:40]:
-        s = "9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
-        if len(out) < 2 or out[-1] != s or out[-2] != s:
-            out.append(s)
-    return "".join(out)
-
-
-def word_features(words: list[str], i: int) -> list[str]:
-    """Features of a word: its shape, lengths, checks and the shapes beside it."""
-    w = words[i]
-    d = sum("0" <= c <= "9" for c in w)
-    out = [
-        "s=" + shape(w),
-        f"d={min(d, 20)}",
-        f"dots={min(w.count('.'), 4)}",
-        f"at={'@' in w or any(o in w.lower() for o in _OBFUSCATED)}",
-        f"plus={w.startswith('+')}",
-        f"any={d > 0}",
-        "b=" + ("" if i == 0 else shape(words[i - 1])[:6]),
-        "n=" + ("" if i + 1 == len(words) else shape(words[i + 1])[:6]),
-    ]
-    if i:
-        out.append("before=" + words[i - 1].lower().strip(".:")[:12])
-    if d >= 12 and luhn(_digits(w)):
-        out.append("luhn")
-    return out
-
-
-def labelled_table() -> list[tuple[list[str], list[int]]]:
-    """Sentences of words with tags, from templates: the small labelled table."""
-    rng = np.random.default_rng(7)
-    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    names, hosts = ["anna", "j.doe", "sales", "b_smith", "info22"], ["example.com", "mail.example.org", "host.net"]
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-
-    def card() -> str:
-        body = pick("45") + n(14)
-        return next(body + str(d) for d in range(10) if luhn(body + str(d)))
-
-    def octets() -> str:
-        return ".".join(str(int(rng.integers(1, 255))) for _ in range(4))
-
-    makers = [
-        (lambda: [pick(names) + "@" + pick(hosts)], 1),
-        (lambda: [pick(names) + pick(list(_OBFUSCATED)) + pick(hosts)], 1),
-        (lambda: [octets()], 2),
-        (lambda: [card()], 3),
-        (lambda: [c[i : i + 4] for c in [card()] for i in range(0, 16, 4)], 3),
-        (lambda: ["+" + n(1), "(" + n(3) + ")", n(3) + "-" + n(4)], 4),
-        (lambda: ["+" + n(2), n(3), n(3), n(4)], 4),
-        (lambda: ["(" + n(3) + ")", n(3) + "-" + n(4)], 4),
-        (lambda: [n(3) + "-" + n(3) + "-" + n(4)], 4),
-    ]
-    plain = [["in", "19" + n(2)], ["page", n(2)], ["costs", n(2) + "." + n(2)], ["version", "v" + n(1) + "." + n(1)], ["id", n(8)], ["the", "1" + n(2), "items"], ["key", n(3) + "ab" + n(6) + "cd" + n(4)], ["a", "@", "sign"], ["chapter", n(1) + "." + n(1) + "." + n(1)], ["on", "20" + n(2) + "-" + "0" + n(1) + "-" + "1" + n(1)], ["total", n(5), "of", n(6)]]
-    fill = ["the", "an", "and", "reach", "call", "from", "at", "see", "Was", "of", "mail", "it", "was", "here."]
-    table = []
-    for (make, tag), _ in itertools.product(makers, range(8)):
-        left, right = [pick(fill) for _ in range(int(rng.integers(1, 4)))], [pick(fill) for _ in range(int(rng.integers(1, 4)))]
-        own = make()
-        table.append((left + own + right, [0] * len(left) + [tag] * len(own) + [0] * len(right)))
-    for words, _ in itertools.product(plain, range(4)):
-        left, right = [pick(fill)], [pick(fill)]
-        table.append((left + words + right, [0] * (len(words) + 2)))
-    return table
-
-
-class Field:
-    """Weights of features by tag, and of tag pairs."""
-
-    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
-        self.names, self.emit, self.move = names, emit, move
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(TAGS)))
-        out[:, 0] = 0.5  # a word of features never seen is no personal data
-        for i in range(len(words)):
-            at = [self.names[f] for f in word_features(words, i) if f in self.names]
-            if at:
-                out[i] += self.emit[at].sum(axis=0)
-        return out
-
-    def decode(self, batch: np.ndarray) -> np.ndarray:
-        """Viterbi over windows of equal length: scores (windows, words, tags) to tags (windows, words)."""
-        n, length, k = batch.shape
-        best, back = batch[:, 0], np.zeros((n, length, k), np.int8)
-        for t in range(1, length):
-            through = best[:, :, None] + self.move[None]
-            back[:, t] = through.argmax(axis=1)
-            best = through.max(axis=1) + batch[:, t]
-        tags = np.zeros((n, length), np.int8)
-        tags[:, -1] = best.argmax(axis=1)
-        for t in range(length - 1, 0, -1):
-            tags[:, t - 1] = np.take_along_axis(back[:, t], tags[:, t, None].astype(np.int64), 1)[:, 0]
-        return tags
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
-@lru_cache(maxsize=1)
-def trained_field(rounds: int = 30, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Maximum likelihood on the labelled table by full gradients (AdaGrad); the same everywhere."""
-    table = labelled_table()
-    names: dict[str, int] = {}
-    seqs = []
-    for words, tags in table:
-        seqs.append(([[names.setdefault(f, len(names)) for f in word_features(words, i)] for i in range(len(words))], tags))
-    k = len(TAGS)
-    emit, move = np.zeros((len(names), k)), np.zeros((k, k))
-    ge2, gm2 = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
-    for _ in range(rounds):
-        ge, gm = -decay * len(seqs) * emit, -decay * len(seqs) * move
-        for feats, tags in seqs:
-            e = np.array([emit[f].sum(axis=0) for f in feats])
-            e[:, 0] += 0.5
-            n = len(tags)
-            alpha, beta = np.zeros((n, k)), np.zeros((n, k))
-            alpha[0] = e[0]
-            for t in range(1, n):
-                alpha[t] = _log_sum(alpha[t - 1][:, None] + move, 0) + e[t]
-            for t in range(n - 2, -1, -1):
-                beta[t] = _log_sum(move + (e[t + 1] + beta[t + 1])[None], 1)
-            z = _log_sum(alpha[-1], 0)
-            for t in range(n):
-                g = -np.exp(alpha[t] + beta[t] - z)
-                g[tags[t]] += 1
-                ge[feats[t]] += g
-                if t:
-                    gm -= np.exp(alpha[t - 1][:, None] + move + (e[t] + beta[t])[None] - z)
-                    gm[tags[t - 1], tags[t]] += 1
-        ge2 += ge**2
-        gm2 += gm**2
-        emit += rate * ge / np.sqrt(ge2)
-        move += rate * gm / np.sqrt(gm2)
-    return Field(names, emit, move)
-
-
-_DIGITS_OR_AT = re.compile(r"[0-9@]|[(\[{<][aA][tT][)\]}>]")
-#: Words beside a candidate word that belong to its window.
-BESIDE = 2
-
-
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Chains of words around those that may be personal data, as (start, end) of each word."""
-    chains: list[list[tuple[int, int]]] = []
-    reached = 0
-    for m in _DIGITS_OR_AT.finditer(text):
-        if m.start() < reached:
-            continue
-        lo = m.start()
-        for _ in range(BESIDE + 1):  # back over the word and those before it, at most 64 characters each
-            a = max(lo - 64, 0)
-            while lo > max(a, reached) and not text[lo - 1].isspace():
-                lo -= 1
-            if lo > reached and _ < BESIDE:
-                while lo > reached and text[lo - 1].isspace():
-                    lo -= 1
-        spans, after, at = [], 0, lo
-        while after < BESIDE:
-            w = _PART.search(text, at)
-            if not w or w.start() > at + 64:
-                break
-            spans.append((w.start(), w.end()))
-            at = w.end()
-            after = 0 if _DIGITS_OR_AT.search(w[0]) else after + (w.end() > m.end())
-        reached = max(at, m.end())
-        if spans:
-            chains.append(spans)
-    return chains
-
-
-def field_spans(texts: list[str], field: Field | None = None) -> list[list[tuple[int, int, str]]]:
-    """What the field finds in each text: runs of words with the same tag, in one numpy batch by length."""
+def find_spans(texts: list[str] | pa.Array, field: Field | None = None) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
+    """(base spans, all spans) of each text; what the field adds never overlaps a base span."""
     field = field or trained_field()
-    by_length: dict[int, list[tuple[int, list[tuple[int, int]], np.ndarray]]] = {}
-    for i, text in enumerate(texts):
-        if _DIGITS_OR_AT.search(text):
-            for spans in windows(text):
-                by_length.setdefault(len(spans), []).append((i, spans, field.scores([text[a:b] for a, b in spans])))
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for held in by_length.values():
-        tags = field.decode(np.array([s for _, _, s in held]))
-        for (i, spans, _), own in zip(held, tags):
-            at = 0
-            for tag, run in itertools.groupby(own.tolist()):
-                n = len(list(run))
-                if tag:
-                    a, b = spans[at][0], spans[at + n - 1][1]
-                    while b > a and texts[i][b - 1] in ".-":
-                        b -= 1
-                    if _plausible(texts[i][a:b], tag):
-                        out[i].append((a, b, KINDS[tag - 1]))
-                at += n
-    return out
-
-
-def _plausible(found: str, tag: int) -> bool:
-    """Hard constraints on what may be added: enough digits, or an address sign with a dot after it."""
-    d = _digits(found)
-    if tag == 1:
-        return re.search(r"\w(@|[(\[{<]at[)\]}>])\w[^@]*\.\w", found, re.IGNORECASE) is not None
-    if tag == 2:
-        return found.count(".") == 3 and len(d) <= 12 and re.fullmatch(r"[0-9.]+", found) is not None and all(p and int(p) <= 255 for p in found.split("."))
-    if tag == 3:
-        return 12 <= len(d) <= 19 and luhn(d) and not re.search(r"[A-Za-z]", found)
-    return 10 <= len(d) <= 15 and not re.search(r"[A-Za-z]", found) and re.search(r"[ ().-]", found) is not None
-
-
-def find_spans(texts: list[str], field: Field | None = None) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
-    """(base spans, all spans) of each text; added spans never overlap a base span."""
+    column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
     out = []
-    for text, extra in zip(texts, field_spans(texts, field)):
-        base = base_spans(text)
-        more = [s for s in extra if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
-        out.append((base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2])))))
+    for chunk in chunks(column, BATCH_BYTES):
+        extra: dict[int, list[tuple[int, int, str]]] = {}
+        for row, *span in field.spans(chunk):
+            extra.setdefault(row, []).append(tuple(span))
+        for i, text in enumerate(pc.fill_null(column.slice(chunk.lo, chunk.rows), "").to_pylist()):
+            base = base_spans(text)
+            ends = np.array([b for _, b, _ in base], np.int64)
+            starts = np.array([a for a, _, _ in base], np.int64)
+            more = [s for s in extra.get(i, ()) if not ((starts < s[1]) & (ends > s[0])).any()]
+            out.append((base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]))) if more else base))
     return out
 
 
@@ -328,18 +114,17 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row for each row of ``docs``; n_* count the base spans, ``n_added`` what the field adds.
 
     Null texts are empty and have no spans; repeated or null ids stay as they are;
-    other columns are not read. Offsets count code points.
+    an empty table gives no rows; other columns are not read. Offsets count code
+    points.
     """
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found = find_spans(pc.fill_null(part.column("text"), "").to_pylist(), field.value)
-                counts = [[sum(s[2] == k for s in base) for base, _ in found] for k in KINDS]
-                digest = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array([_joined(a) for _, a in found]), pa.array([len(a) - len(b) for b, a in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            found = find_spans(batch.column("text"), field.value)
+            counts = [[sum(s[2] == k for s in base) for base, _ in found] for k in BASE_KINDS]
+            digest = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([_joined(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
     shape_ = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, shape_)
@@ -357,19 +142,17 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with all personal data in the text replaced; null texts stay null, other columns as they are."""
+    """``docs`` with all personal data in the text replaced; null texts stay null, other columns and repeated rows as they are."""
     schema = docs.schema
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = part.column(at).to_pylist()
-                found = find_spans([t or "" for t in texts], field.value)
-                new = pa.array([t if not spans else redact_text(t, spans) for t, (_, spans) in zip(texts, found)], batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([new if i == at else part.column(i) for i in range(part.num_columns)], schema=part.schema)
+            texts = batch.column(at).to_pylist()
+            found = find_spans(batch.column(at), field.value)
+            new = pa.array([t if not spans else redact_text(t, spans) for t, (_, spans) in zip(texts, found)], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
 
     return docs.mapInArrow(run, schema)
 
