@@ -1,18 +1,19 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Features are whole words and word starts. Those that tell the labels of a
-bounded sample of labelled rows apart (a chi-squared score) make the vocabulary;
-the labelled examples that have any of them are indexed by postings cut into
-blocks with the largest weight of each. A query visits blocks of examples from
-the highest bound down and stops when no bound can reach its nearest so far, so
-the neighbours are exact. Votes weighted by similarity, smoothed by the rate of
-the label among examples without features, give the score; the neighbours'
-ids and the query's features are the evidence.
+A text is a vector over all its words and word starts, weighted by damped counts,
+inverse document frequency, and relevance frequency (how many examples with the
+label have the feature for each one without). A bounded sample of labelled rows of both labels is indexed
+by posting lists, whose examples are in blocks with the largest weight of each
+block. A query first adds up its strongest features; the rest, mostly the
+longest lists, is bounded by block, and only examples that can still be among the
+nearest are completed, so the neighbours are exact. Their votes, weighted by
+similarity, are calibrated by votes on rows that were left out of the index; the
+neighbours' ids and what the query shares with them are the evidence.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,16 @@ from quarry.llm.common import documents, fold
 from quarry.llm.quality import labelled_sample
 from quarry.llm.textkernel import Chunk, byte_set, chunks, span_hashes, words
 
-EXAMPLES, VOCABULARY, NEIGHBOURS, BLOCK = 8000, 512, 15, 64
+EXAMPLES, NEIGHBOURS, BLOCK = 4000, 15, 64
 #: Bytes of the word starts; 0: the whole word.
 STARTS = (0, 4, 5, 6)
-#: A feature needs so many examples with it, or this part of all if that is more, this chi-squared score and this share of labelled ones.
-LEAST_EXAMPLES, LEAST_PART, LEAST_SCORE, LEAST_SHARE = 4, 1 / 500, 40.0, 0.85
-#: Weight of the rate among examples without features.
-SMOOTHING = 0.05
+#: Exponent of the similarity in a vote, and votes by the rate of the label that every text has.
+SHARPNESS, SMOOTHING = 2.0, 1e-3
+#: Parts of the sample that are left out in turn for the calibration.
+PARTS = 5
+#: The part of a query's postings that is added up before anything is bounded.
+FIRST_PART = 0.25
+EVIDENCE = 5
 
 #: Everything but ASCII letters and the bytes of other characters separates words.
 _NOT_LETTERS = ~byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -49,156 +53,231 @@ def feature_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+@dataclass
+class Counted:
+    """Distinct features of the texts of a chunk, text by text: hash, count, and where one stands."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    edges: np.ndarray
+
+    @staticmethod
+    def of(chunk: Chunk) -> Counted:
+        h, row, start, length = feature_hashes(chunk)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(h)))
+        return Counted(h[first], counts, start[order[first]], length[order[first]], np.searchsorted(row[first], np.arange(chunk.rows + 1)))
+
+
 class BlockMaxIndex:
-    """Sparse unit vectors of examples behind blocks with the largest weight of each feature."""
-
-    def __init__(self, vectors: np.ndarray, block: int = BLOCK):
-        # like examples side by side make tight bounds
-        self.order = np.lexsort(vectors.T[::-1]) if len(vectors) else np.zeros(0, np.int64)
-        self.vectors = vectors[self.order]
-        self.block = block
-        n = -(-len(vectors) // block)
-        self.most = np.array([self.vectors[i * block : (i + 1) * block].max(axis=0) for i in range(n)]).reshape(n, vectors.shape[1])
-        # postings: the blocks that have a feature at all
-        self.postings = [np.flatnonzero(self.most[:, f]) for f in range(vectors.shape[1])]
+    """Posting lists of sparse vectors, with the largest weight of each list in each block of examples."""
+
+    def __init__(self, feature: np.ndarray, example: np.ndarray, weight: np.ndarray, features: int, examples: int, block: int = BLOCK):
+        order = np.lexsort((example, feature))
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        self.first = np.searchsorted(feature[order], np.arange(features + 1))
+        self.size = np.diff(self.first)
+        self.examples, self.block = examples, block
+        self.blocks = -(-examples // block)
+        # a row of maxima for each block that a list touches
+        own = feature[order] * max(self.blocks, 1) + self.example // block
+        start = np.flatnonzero(np.diff(own, prepend=-1)) if len(own) else np.zeros(0, np.int64)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0, np.float32)
+        self.in_block = (own[start] % max(self.blocks, 1)).astype(np.int32)
+        self.first_block = np.searchsorted(own[start] // max(self.blocks, 1), np.arange(features + 1))
+        self.top = np.zeros(features)
+        some = self.size > 0
+        if some.any():
+            self.top[some] = np.maximum.reduceat(self.weight, self.first[:-1][some])
+        # the vectors themselves
+        by = np.lexsort((feature, example))
+        self.of, self.own_weight = feature[by].astype(np.int32), weight[by].astype(np.float32)
+        self.own_first = np.searchsorted(example[by], np.arange(examples + 1))
+
+    @staticmethod
+    def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+    def _sum(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        size = self.size[features]
+        at = self._ranges(self.first[features], size)
+        return np.bincount(self.example[at], weights=self.weight[at] * np.repeat(weights, size), minlength=self.examples)
 
     def nearest(self, features: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest by cosine, ties by their place in the index, among those with a cosine above 0."""
-        if not len(features) or not len(self.vectors):
+        """The k nearest by dot product, ties by the number of the example, among those that share a feature."""
+        if not len(features) or not self.examples:
             return np.zeros(0, np.int64), np.zeros(0)
-        blocks = np.unique(np.concatenate([self.postings[f] for f in features]))
-        bound = self.most[np.ix_(blocks, features)] @ weights
-        found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        for i in np.argsort(-bound, kind="stable"):
-            if len(found) == k and bound[i] < found[-1] - 1e-12:
-                break
-            lo = blocks[i] * self.block
-            cos = self.vectors[lo : lo + self.block][:, features] @ weights
-            at = np.concatenate([found_at, lo + np.arange(len(cos))])
-            cos = np.concatenate([found, cos])
-            best = np.lexsort((at, -np.round(cos, 12)))[:k]
-            best = best[cos[best] > 0]
-            found_at, found = at[best], cos[best]
-        return self.order[found_at], found
+        order = np.argsort(-weights * self.top[features], kind="stable")
+        features, weights = features[order], weights[order]
+        size = np.cumsum(self.size[features])
+        split = int(np.searchsorted(size, FIRST_PART * size[-1])) + 1
+        total = self._sum(features[:split], weights[:split])
+        if split < len(features):
+            rest, own = features[split:], weights[split:]
+            enough = np.partition(total, -k)[-k] if k < self.examples else -1.0
+            n = self.first_block[rest + 1] - self.first_block[rest]
+            at = self._ranges(self.first_block[rest], n)
+            bound = np.bincount(self.in_block[at], weights=self.most[at] * np.repeat(own, n), minlength=self.blocks)
+            might = np.flatnonzero(total + np.repeat(bound, self.block)[: self.examples] >= enough - 1e-9)
+            if 2 * len(might) < self.examples and size[-1] > 4 * len(might) * 64:
+                dense = np.zeros(int(max(rest.max(), self.of.max())) + 1)
+                dense[rest] = own
+                count = self.own_first[might + 1] - self.own_first[might]
+                places = self._ranges(self.own_first[might], count)
+                part = np.bincount(np.repeat(np.arange(len(might)), count), weights=self.own_weight[places] * dense[self.of[places]], minlength=len(might))
+                found = total[might] + part
+            else:
+                found = (total + self._sum(rest, own))[might]
+        else:
+            might, found = np.arange(self.examples), total
+        if k < len(found):
+            least = np.partition(found, -k)[-k] - 1e-9
+            some = found >= least
+            might, found = might[some], found[some]
+        best = np.lexsort((might, -np.round(found, 9)))[:k]
+        best = best[found[best] > 0]
+        return might[best], found[best]
 
 
 @dataclass
 class Model:
-    hashes: np.ndarray
-    names: list[str]
-    idf: np.ndarray
-    index: BlockMaxIndex
-    labels: np.ndarray
-    ids: np.ndarray
-    rest: float
-
-    def rows(self, chunk: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Features and unit TF-IDF weights of each text of a lower-cased chunk."""
-        h, row, _, _ = feature_hashes(chunk)
-        some = self._maybe[(h >> np.uint64(44)).astype(np.int64)]
-        h, row = h[some], row[some]
-        at = np.searchsorted(self.hashes, h)
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    unknown: float = 0.0
+    index: BlockMaxIndex = field(default_factory=lambda: BlockMaxIndex(*(np.zeros(0, np.int64),) * 3, 0, 0))
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rate: float = 0.0
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and weights of the known features of a unit vector, and which of the given they are."""
+        at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        at, row = at[hit], row[hit]
-        order = np.argsort(row, kind="stable")
-        edges = np.searchsorted(row[order], np.arange(chunk.rows + 1))
-        out = []
-        for i in range(chunk.rows):
-            f, n = np.unique(at[order[edges[i] : edges[i + 1]]], return_counts=True)
-            w = (1 + np.log(n)) * self.idf[f] if len(f) else np.zeros(0)
-            out.append((f, w / np.linalg.norm(w) if len(f) else w))
-        return out
-
-    @property
-    def _maybe(self) -> np.ndarray:
-        table = self.__dict__.get("_table")
-        if table is None:
-            table = np.zeros(1 << 20, bool)
-            table[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.__dict__["_table"] = table
-        return table
-
-    def score(self, features: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        w = 1 + np.log(counts)
+        w = w * np.where(known, self.weight[at], self.unknown) if len(self.hashes) else w
+        norm = np.sqrt((w * w).sum())
+        pick = np.flatnonzero(known)
+        return at[pick], w[pick] / (norm or 1.0), pick
+
+    def vote(self, features: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """The share of the label among the nearest, weighted by similarity, and the nearest."""
         at, cos = self.index.nearest(features, weights, NEIGHBOURS)
-        w = cos**2
-        return float(((w * self.labels[at]).sum() + SMOOTHING * self.rest) / (w.sum() + SMOOTHING)), at
-
+        w = cos**SHARPNESS
+        return float(((w * self.labels[at]).sum() + SMOOTHING * self.rate) / (w.sum() + SMOOTHING)), at
 
-def _sample_features(sample: DataFrame) -> DataFrame:
-    """feature, name, examples with it, and their labels' sum; summed by partition first."""
+    def calibrated(self, vote: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * vote + self.shift)))
 
-    def run(batches):
-        for batch in batches:
-            y = batch.column("y").to_numpy()
-            for c in chunks(batch.column("text"), lower=True):
-                h, row, s, n = feature_hashes(c)
-                key = np.stack([h, row.astype(np.uint64)], 1)
-                _, first = np.unique(key, axis=0, return_index=True)
-                h, row, s, n = h[first], row[first], s[first], n[first]
-                u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-                raw = c.buf.tobytes()
-                names = [raw[a : a + k].decode("utf-8", "ignore") for a, k in zip(s[at].tolist(), n[at].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(names), pa.array(np.bincount(inverse).astype(np.int64)), pa.array(np.bincount(inverse, weights=y[c.lo : c.hi][row]))], ["h", "name", "n", "positive"])
-
-    return sample.select("text", "y").mapInArrow(run, "h long, name string, n long, positive double").groupBy("h").agg(F.min("name").alias("name"), F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    def scores(self, chunk: Chunk, evidence: bool = True) -> tuple[np.ndarray, list[list[str]], list[list[int]]]:
+        """Calibrated scores of the texts of a lower-cased chunk, the strongest terms shared with the nearest example, and the nearest ids."""
+        q = Counted.of(chunk)
+        votes, terms, near = np.full(chunk.rows, self.rate), [[] for _ in range(chunk.rows)], [[] for _ in range(chunk.rows)]
+        for i in range(chunk.rows):
+            lo, hi = q.edges[i], q.edges[i + 1]
+            features, weights, pick = self.vector(q.hashes[lo:hi], q.counts[lo:hi])
+            votes[i], at = self.vote(features, weights)
+            if evidence and len(at):
+                near[i] = self.ids[at[:EVIDENCE]].tolist()
+                a, b = self.index.own_first[at[0] : at[0] + 2]
+                own = self.index.of[a:b]
+                place = np.minimum(np.searchsorted(own, features), len(own) - 1)
+                shared = np.where(own[place] == features, weights * self.index.own_weight[a:b][place], 0)
+                for j in lo + pick[np.argsort(-shared, kind="stable")[:EVIDENCE]][: int((shared > 0).sum())]:
+                    terms[i].append(chunk.buf[q.start[j] : q.start[j] + q.length[j]].tobytes().decode("utf-8", "ignore"))
+        return self.calibrated(votes), terms, near
+
+
+def _index(example: np.ndarray, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> Model:
+    """Weights and index of examples given as (example, feature, count)."""
+    n = len(labels)
+    names, feature = np.unique(hashes, return_inverse=True)
+    df = np.bincount(feature, minlength=len(names)).astype(np.float64)
+    with_label = np.bincount(feature, weights=labels[example], minlength=len(names))
+    idf = np.log((1 + n) / (1 + df)) + 0.01
+    # relevance frequency: how many examples with the label have the feature for each one without
+    weight = idf * np.log2(2 + with_label / np.maximum(df - with_label, 1))
+    w = (1 + np.log(counts)) * weight[feature]
+    norm = np.sqrt(np.bincount(example, weights=w * w, minlength=n))
+    w /= np.maximum(norm[example], 1e-12)
+    return Model(names, weight, float(np.log(1 + n) + 0.01), BlockMaxIndex(feature, example, w, len(names), n), labels, ids, float(labels.mean()) if n else 0.0)
+
+
+def _calibration(votes: np.ndarray, labels: np.ndarray, rounds: int = 50, prior: float = 0.01) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of the label by the vote, by Newton steps."""
+    x = np.stack([votes, np.ones(len(votes))], 1)
+    beta = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-x @ beta))
+        gradient = x.T @ (labels - p) - prior * beta
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior * np.eye(2), gradient)
+        beta += np.clip(step, -2, 2)
+    return float(beta[0]), float(beta[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``examples`` labelled rows outside the held-out fold."""
+    """Fit on at most ``examples`` labelled rows outside the held-out fold.
+
+    Equal texts count once, as the row with the smallest id. Each of PARTS parts
+    is left out of an index in turn and scored by it, which gives the votes that
+    the calibration is made from.
+    """
     sample = labelled_sample(docs, labels, label, examples, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text", "y")
-    # equal texts count once, as the one with the smallest id
     apart = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("id").alias("id"), F.min_by("y", "id").alias("y"))
-    total, positive = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    model = Model(np.zeros(0, np.uint64), [], np.zeros(0), BlockMaxIndex(np.zeros((0, 0))), np.zeros(0), np.zeros(0, np.int64), positive / total if total else 0.0)
-    if not total or not 0 < positive < total:
-        return model
-    a, b = F.col("positive"), F.col("n") - F.col("positive")
-    c, d = F.lit(positive) - a, F.lit(total - positive) - b
-    chi = total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    best = _sample_features(apart).where(f"n >= {max(LEAST_EXAMPLES, total * LEAST_PART)} AND n < {total}").withColumn("chi", chi).where(F.col("chi") >= LEAST_SCORE).where(a >= LEAST_SHARE * (a + b)).orderBy(F.desc("chi"), "h").limit(VOCABULARY).collect()
-    if not best:
-        return model
-    best = sorted(best, key=lambda r: np.int64(r["h"]).astype(np.uint64))
-    model.hashes = np.array([r["h"] for r in best], np.int64).astype(np.uint64)
-    model.names = [r["name"] for r in best]
-    model.idf = np.log((1 + total) / (1 + np.array([r["n"] for r in best], np.float64)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column("text"), lower=True):
-                got = shared.value.rows(c)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(c.lo, c.rows), pa.array([f.tolist() for f, _ in got], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in got], pa.list_(pa.float64())), batch.column("y").slice(c.lo, c.rows)], ["id", "f", "w", "y"])
-
-    got = sorted(sample.mapInArrow(run, "id long, f array<int>, w array<double>, y double").collect())  # bounded by ``examples``
-    some = [r for r in got if r["f"]]
-    vectors = np.zeros((len(some), len(best)))
-    for i, r in enumerate(some):
-        vectors[i, r["f"]] = r["w"]
-    none = [r["y"] for r in got if not r["f"]]
-    return Model(model.hashes, model.names, model.idf, BlockMaxIndex(vectors), np.array([r["y"] for r in some]), np.array([r["id"] for r in some], np.int64), float(np.mean(none)) if none else 0.0)
+                q = Counted.of(c)
+                pairs = list(zip(q.edges[:-1].tolist(), q.edges[1:].tolist()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(c.lo, c.rows), batch.column("y").slice(c.lo, c.rows), pa.array([q.hashes[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([q.counts[a:b].astype("<u4").tobytes() for a, b in pairs], pa.binary())], ["id", "y", "h", "n"])
+
+    # the features of at most ``examples`` texts
+    got = apart.select("id", "text", "y").mapInArrow(run, "id long, y double, h binary, n binary").toArrow().sort_by("id")
+    y, ids = got.column("y").to_numpy(), got.column("id").to_numpy()
+    if not len(y) or not 0 < y.sum() < len(y):
+        rate = float(y.mean()) if len(y) else 0.0
+        return Model(rate=rate, slope=0.0, shift=float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
+    h = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("h")]
+    n = [np.frombuffer(x.as_py(), "<u4") for x in got.column("n")]
+    example = np.repeat(np.arange(len(y)), [len(x) for x in h])
+    edges = np.searchsorted(example, np.arange(len(y) + 1))
+    h, n = np.concatenate(h), np.concatenate(n).astype(np.int64)
+    part, votes = np.arange(len(y)) % PARTS, np.zeros(len(y))
+    for p in range(PARTS):
+        inside = np.flatnonzero(part != p)
+        number = np.cumsum(part != p) - 1
+        pick = part[example] != p
+        model = _index(number[example[pick]], h[pick], n[pick], y[inside], ids[inside])
+        for i in np.flatnonzero(part == p):
+            a, b = edges[i], edges[i + 1]
+            votes[i] = model.vote(*model.vector(h[a:b], n[a:b])[:2])[0]
+    model = _index(example, h, n, y, ids)
+    model.slope, model.shift = _calibration(votes, y)
+    return model
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole texts: doc_id, held_out, score, predicted, and as evidence terms and neighbours.
 
-    Null and empty texts, and texts with no feature, get the rate of the label
-    among examples without features; held_out is null for a null id; repeated rows
-    are scored alike. Other columns are not read.
+    Null and empty texts, and texts that share no feature with any example, get the
+    calibrated rate of the label; held_out is null for a null id; repeated rows are
+    scored alike; an empty table gives no rows. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``examples`` and VOCABULARY
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``examples``
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             for c in chunks(batch.column("text"), lower=True):
-                score, terms, near = [], [], []
-                for f, w in m.rows(c):
-                    s, at = m.score(f, w) if len(f) else (m.rest, f)
-                    score.append(min(max(s, 0.0), 1.0))
-                    terms.append([m.names[i] for i in f[np.argsort(-w, kind="stable")][:5]])
-                    near.append(m.ids[at[:5]].tolist() if len(f) else [])
+                score, terms, near = shared.value.scores(c)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), pa.array(score, pa.float64()), pa.array(terms, pa.list_(pa.string())), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "terms", "neighbours"])
 
     scored = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, terms array<string>, neighbours array<long>")
@@ -206,15 +285,18 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score below the threshold, all columns as they are."""
+    """The rows of ``docs`` with a score below the threshold, all columns as they are.
+
+    Null and empty texts have the calibrated rate of the label and stay as long as
+    that is below the threshold; repeated rows stay or go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            keep = [m.score(f, w)[0] < threshold if len(f) else m.rest < threshold for c in chunks(texts.cast(pa.string()), lower=True) for f, w in m.rows(c)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep = [shared.value.scores(c, False)[0] < threshold for c in chunks(texts.cast(pa.string()), lower=True)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

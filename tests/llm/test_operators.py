@@ -335,12 +335,63 @@ def test_toxicity_learns_from_texts_with_a_common_frame(spark):
     assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got)
 
 
-def test_block_max_index_is_exact():
+def test_block_max_index_is_exact(monkeypatch):
+    """Against all products, whatever part is added up first; ties by the number of the example."""
     rng = np.random.default_rng(4)
-    v = rng.random((500, 20)) * (rng.random((500, 20)) < 0.2)
+    v = rng.random((500, 60)) * (rng.random((500, 60)) < np.linspace(0.02, 0.6, 60))
     v[:, 0] += 0.01
+    v[100:120] = v[99]
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    index = toxicity.BlockMaxIndex(v, 16)
-    for q in v[:40]:
-        f = np.flatnonzero(q)
-        assert np.allclose(index.nearest(f, q[f], 10)[1], np.sort(v @ q)[::-1][:10])
+    example, feature = np.nonzero(v)
+    index = toxicity.BlockMaxIndex(feature, example, v[example, feature], 60, 500, 16)
+    for part in (0.0, 0.25, 2.0):
+        monkeypatch.setattr(toxicity, "FIRST_PART", part)
+        for q in v[90:130]:
+            f = np.flatnonzero(q)
+            at, cos = index.nearest(f, q[f], 10)
+            want = np.lexsort((np.arange(500), -np.round(v.astype(np.float32).astype(np.float64) @ q, 9)))[:10]
+            assert at.tolist() == want.tolist() and np.allclose(cos, (v @ q)[want], atol=1e-6)
+
+
+def test_toxicity_votes_against_all_products(spark):
+    """Scores of the query from dense vectors of all features, worked out one text at a time."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"{'zz' if x < 3 and i % 3 == 0 else 'w'}ord{x}" for x in rng.integers(0, 40, 25)) for i in range(60)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def counted(text):
+        q = toxicity.Counted.of(next(iter(chunks(pa.array([text]), lower=True))))
+        return dict(zip(q.hashes.tolist(), q.counts.tolist()))
+
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    vectors, y = {i: counted(texts[i]) for i in kept}, {i: float(i % 3 == 0) for i in kept}
+    names = {h for v in vectors.values() for h in v}
+    weight = {}
+    for h in names:
+        df, a = sum(h in v for v in vectors.values()), sum(y[i] for i, v in vectors.items() if h in v)
+        weight[h] = (np.log((1 + len(kept)) / (1 + df)) + 0.01) * np.log2(2 + a / max(df - a, 1))
+
+    def unit(v):
+        w = {h: (1 + np.log(n)) * weight.get(h, np.log(1 + len(kept)) + 0.01) for h, n in v.items()}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        return {h: x / norm for h, x in w.items()}
+
+    units = {i: unit(v) for i, v in vectors.items()}
+    for r in rows(toxicity.classify(docs, model)):
+        own = unit(counted(texts[r["doc_id"]]))
+        cos = {i: sum(x * own.get(h, 0) for h, x in u.items()) for i, u in units.items()}
+        best = sorted(kept, key=lambda i: (-round(cos[i], 6), i))[: toxicity.NEIGHBOURS]
+        top = sum(cos[i] ** 2 * y[i] for i in best) + toxicity.SMOOTHING * model.rate
+        vote = top / (sum(cos[i] ** 2 for i in best) + toxicity.SMOOTHING)
+        assert abs(r["score"] - 1 / (1 + np.exp(-(model.slope * vote + model.shift)))) < 1e-3
+        assert abs(cos[r["neighbours"][0]] - cos[best[0]]) < 1e-5 and r["terms"]
+
+
+def test_votes_are_calibrated():
+    rng = np.random.default_rng(3)
+    votes = rng.random(20_000)
+    labels = (rng.random(20_000) < 1 / (1 + np.exp(-(6 * votes - 2)))).astype(float)
+    slope, shift = toxicity._calibration(votes, labels)
+    assert abs(slope - 6) < 0.3 and abs(shift + 2) < 0.2
