@@ -311,6 +311,85 @@ def test_language_model_base_and_null_rows(spark, docs):
         assert got[i]["train_tokens"] == n and abs(got[i]["base_score"] - want) < 1e-6 * max(1, abs(want)) and got[i]["score"] < 0
 
 
+def _seatings(c):
+    """Weights of all seatings of c customers by number of tables, one customer after the other."""
+
+    def go(tables, left, weight, out):
+        if not left:
+            out[len(tables)] = out.get(len(tables), 0) + weight
+            return
+        go([*tables, 1], left - 1, weight, out)
+        for i, n in enumerate(tables):
+            go([*tables[:i], n + 1, *tables[i + 1 :]], left - 1, weight * (n - 0.7), out)
+
+    out = {}
+    go([1], c - 1, 1.0, out)
+    return out
+
+
+def test_seats_follow_the_restaurant():
+    numbers = language_model.stirling(0.7)
+    for c in range(1, 8):
+        assert np.allclose([np.exp(numbers[c, t]) for t in range(1, c + 1)], [_seatings(c)[t] for t in range(1, c + 1)])
+    rng = np.random.default_rng(0)
+    got = language_model.seat(np.full(40_000, 6), np.full(40_000, 1.3), 0.7, numbers, rng)
+    want = np.array([np.exp(numbers[6, t]) * 1.3**t for t in range(1, 7)])
+    assert np.abs(np.bincount(got, minlength=7)[1:] / 40_000 - want / want.sum()).max() < 0.01
+    for weight in (0.5, 30.0, 200.0):  # the limit meets the exact numbers
+        t = np.arange(1, 257)
+        p = np.exp(numbers[256, 1:] + t * np.log(weight) - (numbers[256, 1:] + t * np.log(weight)).max())
+        assert abs(language_model.mean_tables(np.array([256]), np.array([weight]), 0.7)[0] - (p * t).sum() / p.sum()) < 0.03 * (p * t).sum() / p.sum()
+    assert np.allclose(language_model.log_gamma(np.array([0.3, 1.0, 5.0, 100.0])), [1.0957979948180756, 0.0, np.log(24), 359.1342053695754])
+
+
+def test_gibbs_reaches_the_posterior_of_all_seatings():
+    """A restaurant of three dishes: tables of the chain against the sum over all numbers of tables."""
+    numbers, d, strength = language_model.stirling(0.7), 0.7, 1.0
+    customers, measure = np.array([5, 3, 2]), np.array([0.2, 0.5, 0.3])
+    total, mean = 0.0, np.zeros(3)
+    for t in np.ndindex(5, 3, 2):
+        t = np.array(t) + 1
+        weight = np.prod([strength + d * i for i in range(t.sum())]) * np.prod([np.exp(numbers[c, k]) * m**k for c, k, m in zip(customers, t, measure)])
+        total, mean = total + weight, mean + weight * t
+    rng, t, seen = np.random.default_rng(1), np.ones(3), np.zeros(3)
+    for sweep in range(30_000):
+        x = rng.gamma(strength / d + t.sum())
+        t = language_model.seat(customers, d * x * measure, d, numbers, rng)
+        seen += t
+    assert np.abs(seen / 30_000 - mean / total).max() < 0.03
+
+
+def test_probabilities_of_every_restaurant_sum_to_one(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) if x < 60) for _ in range(80)] + [None, ""]
+    model, table = language_model.train(frame(spark, texts).select("text"), classes=20, head=30, pairs=50)
+    gains = {r["k"]: r["value"] for r in table.where("kind = 2").collect()}
+    side, step = model.side, language_model.STEP
+    dishes = np.arange(side - 1)
+    twos = sorted({k % step for k in gains if k % step})
+    assert twos and abs(model.root[:-1].sum() - 1) < 1e-9
+
+    def one(u):
+        p = model.backoff(u * side + dishes, np.zeros(len(dishes), np.int64))
+        return p * 10.0 ** np.array([gains.get((u * side + int(w)) * step, 0.0) for w in dishes])
+
+    for u in range(side):
+        assert abs(one(u).sum() - 1) < 1e-6
+    for two in twos:
+        u = (two - 1) % language_model.CONTEXT_WORDS + 1
+        p = model.back_two[two] * one(u) * 10.0 ** np.array([gains.get((u * side + int(w)) * step + two, 0.0) for w in dishes])
+        assert abs(p.sum() - 1) < 1e-6
+    rare = np.array([r["value"] for r in table.where("kind = 1").collect() if int(np.int64(r["k"]).astype(np.uint64)) not in set(model.words[model.classes > 0].tolist())])
+    assert abs(model.rare(np.append(rare, 0)).sum() - 1) < 1e-6
+
+
+def test_language_model_of_repeated_ids_and_no_rows(spark):
+    table = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "x"), (2, "a b a b a b")], "doc_id long, text string")
+    got = rows(language_model.score_documents(table))
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(1, 2), (1, 4), (1, 4), (2, 7)] and all(r["score"] < 0 for r in got)
+    assert rows(language_model.score_documents(frame(spark, []))) == []
+
+
 def test_classifiers_learn_and_take_odd_rows(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join(f"word{x}" for x in rng.integers(0, 50, 40)) + (" zzbad qqbad" if i % 4 == 0 else "") for i in range(200)] + [None, ""]
