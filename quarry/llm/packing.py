@@ -27,6 +27,10 @@ from quarry.llm.piece_cache import encoder
 from quarry.llm.textkernel import BATCH_BYTES, chunks
 
 
+#: Tokens of a sequence, and documents in one where that makes no more sequences.
+TOKENS, DOCUMENTS = 2048, 64
+
+
 @dataclass(frozen=True)
 class Capacity:
     """What a sequence holds; None: no limit beyond what the tokens imply."""
@@ -99,6 +103,12 @@ def vector_best_fit(counts: dict[int, int], capacity: Capacity, score: str = "no
     return Plan(*(table[:, i] for i in range(6)), sequences=total)
 
 
+def fewest(counts: dict[int, int], capacities: tuple[Capacity, ...], scores: tuple[str, ...] = ("norm", "dot")) -> Plan:
+    """The plan with the fewest sequences over all capacities and scores; of equals the first."""
+    plans = [vector_best_fit(counts, c, s) for c in capacities for s in scores]
+    return min(plans, key=lambda p: p.sequences)
+
+
 def encode_pieces(docs: DataFrame, path: str, tokens: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts, append the end id and cut those longer than ``tokens``; the first piece may be shorter."""
 
@@ -121,11 +131,11 @@ def encode_pieces(docs: DataFrame, path: str, tokens: int, end_id: int, id_col:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place(pieces: DataFrame, capacity: Capacity, score: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01)) -> DataFrame:
+def place(pieces: DataFrame, capacities: tuple[Capacity, ...], scores: tuple[str, ...] = ("norm", "dot")) -> DataFrame:
     """Add sequence_id and offset to pieces with a ``length``; ``pieces`` should be cheap to read twice."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # bounded by capacity.tokens
-    plan = vector_best_fit(counts, capacity, score, weights)
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # bounded by the tokens of a sequence
+    plan = fewest(counts, capacities, scores)
     salts = partitions(spark)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,15 +159,20 @@ def place(pieces: DataFrame, capacity: Capacity, score: str = "norm", weights: t
     return ranked.select(*columns, "rank").mapInArrow(run, f"{shape}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: Capacity | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacities: tuple[Capacity, ...] | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and pack all documents; one row for each piece.
 
+    The plan is the one with the fewest sequences over ``capacities`` and both
+    scores; all must hold as many tokens. By default a sequence has at most
+    DOCUMENTS documents and the attention cost of one full piece, unless only more
+    documents in one make fewer sequences.
+
     A null text counts as empty and is packed as its end id alone; an empty table
     gives no rows; rows with equal or null ids are packed each on its own; other
-    columns are not read. Pieces are checkpointed so that no text is encoded twice.
+    columns are not read. Pieces are written once, so that no text is encoded twice.
     """
-    capacity = capacity or Capacity()
-    return place(cut(encode_pieces(docs, path, capacity.tokens, end_id, id_col, text_col)), capacity)
+    capacities = capacities or (Capacity(TOKENS, DOCUMENTS, TOKENS**2), Capacity(TOKENS, None, TOKENS**2))
+    return place(cut(encode_pieces(docs, path, capacities[0].tokens, end_id, id_col, text_col)), capacities)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

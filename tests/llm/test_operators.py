@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 from quarry.llm import byte_bpe, components, exact_dedup, fingerprints, language_model, near_duplicates, packing, pii, pii_field, quality, token_files, toxicity
 from quarry.llm.common import fresh_path
@@ -82,6 +84,41 @@ def test_packing_holds_every_capacity(spark, docs):
     assert got.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_packing_query_against_the_library(spark, tmp_path):
+    """Every column of the query: pieces, starts, lengths, checksums, and sequences without gaps, nearly as few as the tokens ask."""
+    rng = np.random.default_rng(11)
+    texts = [*TEXTS, *(" ".join(f"w{x}" for x in rng.integers(0, 900, int(rng.integers(1, 1500)))) for _ in range(60)), *(["tiny"] * 300), "same", "same"]
+    table = pa.table({"doc_id": pa.array([*range(len(texts) - 1), len(texts) - 2]), "text": pa.array(texts), "n_chars": pa.array([len(t or "") for t in texts])})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    got = pd.DataFrame(rows(packing.op4_best_fit_packing(spark, str(tmp_path))))
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in zip(table["doc_id"].to_pylist(), texts):
+        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        want += [(i, p, a, b - a, zlib.crc32(ids[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:]))]
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
+    sizes = got.groupby("sequence_id").length.agg(["sum", "count"])
+    room = []  # plain best fit of falling lengths, one at a time
+    for n in sorted(got.length, reverse=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+        room.append((min(fits) if fits else 2048) - n)
+    assert sizes["sum"].max() <= 2048 and len(sizes) <= len(room) and sizes["count"].max() <= packing.DOCUMENTS
+
+
+def test_packing_takes_the_fewest_sequences():
+    tight, loose = packing.Capacity(2048, 4, 2048**2), packing.Capacity(2048, None, 2048**2)
+    assert packing.fewest({1: 4096}, (tight, loose)).sequences == 2 and packing.fewest({512: 8}, (tight, loose)).sequences == 2
+    assert packing.fewest({1: 4096}, (tight,)).sequences == 1024 and packing.fewest({}, (tight,)).sequences == 0
+    narrow = packing.Capacity(2048, None, 2_000_000)  # attention binds before tokens do
+    assert packing.fewest({1000: 6}, (narrow,)).sequences == 3 and packing.fewest({1000: 6}, (packing.Capacity(2048, None, 1_500_000),)).sequences == 6
+
+
 def test_token_files_round_trip(spark, docs):
     folder, path = fresh_path(spark, "t"), public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_token_files(docs, folder, path, 1, drops_space=True, width=64, shards=3)
