@@ -16,15 +16,16 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, partitions
 from quarry.llm.textkernel import mix
 
+#: Characters of a k-mer and of its inner s-mers, for texts of all lengths.
 K, S = 12, 5
-#: For texts of fewer than SHORT characters.
-SHORT, SHORT_K, SHORT_S = 64, 4, 2
+#: Bytes of text in a bucket, and the most buckets (a bucket is streamed, so their size is no matter of memory).
+BUCKET_BYTES, BUCKETS, SAMPLES_PER_BUCKET = 16 << 20, 1 << 14, 24
 #: Up to so many pairs of places for each anchor, chains are found from the pairs, beyond it from bits; both are exact.
 PAIRS_EACH = 4
 
@@ -56,12 +57,11 @@ def syncmers(code: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     return place, (h >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fingerprint(code: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all anchors in the order of the text, and the place of each.
 
     A text shorter than a k-mer, or without an anchor, has one: its whole content.
     """
-    k, s = (SHORT_K, SHORT_S) if len(code) < SHORT else (K, S)
     if len(code) >= k:
         place, h = syncmers(code, k, s)
         if len(h):
@@ -162,50 +162,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows in buckets by falling ids, and at each bucket's end the row that comes next (``bucket``, ``ends``).
+def _order_key(key: Column, text: Column) -> Column:
+    """A string that sorts rows by falling ids, null ids last, and rows with equal ids by a hash of the text."""
+    signed = F.lit(-(1 << 63))
+    wide = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.concat(F.coalesce(wide(F.bitwise_not(key.bitwiseXOR(signed))), F.lit("G" * 16)), wide(F.xxhash64(text).bitwiseXOR(signed)))
 
-    Splitters come from quantiles of the ids; the first row of each bucket, a
-    bounded few, is copied to the bucket before it, and the last bucket gets the
-    very first row.
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
+    """Rows in buckets by falling ids, and at each bucket's end the row that comes next (``bucket``, ``key``, ``ends``); and their number.
+
+    Splitters come from a sample of the order's keys, so many ids alike are split
+    by their texts; only rows alike in both stay together. The first row of each
+    bucket is copied to the bucket before it, and the last bucket gets the very
+    first row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    buckets = 2 * partitions(spark)
-    wanted = [i / buckets for i in range(1, buckets)]
-    splits = sorted(set(docs.select(F.col(f"`{id_col}`").cast("long").alias("q")).where("q IS NOT NULL").approxQuantile("q", wanted, 0.25 / buckets)), reverse=True)
-    splits = [int(s) for s in splits]
-    table = F.array(*[F.lit(s) for s in splits]).cast("array<bigint>")
-    # falling ids: a row's bucket is the number of splitters above it; null ids come last
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(splits))).otherwise(F.size(F.filter(table, lambda s: s > F.col("doc_id"))))
-    placed = rows.withColumn("bucket", bucket)
-    heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one for each bucket
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    keyed = rows.withColumn("key", _order_key(F.col("doc_id"), F.col("text")))
+    buckets = max(1, min(max(2 * partitions(spark), -(-size // bucket_bytes)), BUCKETS, n // 8))
+    splitters = []
+    if buckets > 1:
+        # bounded: about SAMPLES_PER_BUCKET strings of 32 characters for each bucket
+        sample = sorted(r["key"] for r in rows.sample(min(1.0, buckets * SAMPLES_PER_BUCKET / n), 23).select(_order_key(F.col("doc_id"), F.col("text")).alias("key")).collect())
+        splitters = [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
+    if splitters:
+        table = F.split(F.lit(",".join(splitters)), ",")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splitters).bit_length()))])
+        # binary search: the number of splitters at or below the key
+        bucket = F.aggregate(steps, F.lit(0), lambda at, x: F.when((at + x <= len(splitters)) & (F.get(table, at + x - 1) <= F.col("key")), at + x).otherwise(at))
+    else:
+        bucket = F.lit(0)
+    placed = keyed.withColumn("bucket", bucket)
+    heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(F.min("key").alias("head")).collect()}  # one for each bucket
     order = sorted(heads)
     if not order:
-        return placed.withColumn("ends", F.lit(False))
+        return placed.withColumn("ends", F.lit(False)), 1
     # the bucket that each head follows, the first one the last
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    pairs = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])])
-    is_head = F.lit(False)
-    known = [h for h in heads.values() if h is not None]
-    if known:
-        is_head = F.col("doc_id").isin(known)
-    if None in heads.values():
-        is_head = is_head | F.col("doc_id").isNull()
-    first = Window.partitionBy("bucket").orderBy("text")
-    ends = placed.where(is_head).withColumn("i", F.row_number().over(first)).where("i = 1").drop("i")
-    ends = ends.withColumn("bucket", F.element_at(pairs, F.col("bucket"))).withColumn("ends", F.lit(True))
-    return placed.withColumn("ends", F.lit(False)).unionByName(ends)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    table = spark.createDataFrame([(heads[b], order[i - 1]) for i, b in enumerate(order)], "head string, follows int")
+    first = Window.partitionBy("follows").orderBy("text")
+    ends = placed.join(F.broadcast(table), F.col("key") == F.col("head")).withColumn("i", F.row_number().over(first)).where("i = 1")
+    ends = ends.select("doc_id", "text", "key", F.col("follows").alias("bucket"), F.lit(True).alias("ends"))
+    return placed.withColumn("ends", F.lit(False)).unionByName(ends), buckets
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Fingerprint whole texts and their edited texts; one row for each row of ``docs``.
 
-    Null texts are empty; their fingerprint is empty and like only other empty
-    ones. Rows with equal ids follow each other by text, null ids come last. A
-    single row is its own next. Other columns are not read.
+    ``k`` and ``s`` set how many anchors a text has, about 2 / (k - s + 1) of its
+    characters. Null texts are empty; their fingerprint is empty and like only
+    other empty ones. Rows with equal ids follow each other by a hash of the text,
+    null ids come last. A single row is its own next; an empty table gives no rows.
+    Other columns are not read.
     """
-    spark = docs.sparkSession
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
@@ -215,28 +225,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def finish(following: str, code_next: tuple) -> None:
             key, text, own = held
             new = edited(text, following)
-            of_new = fingerprint(codes(new))
+            of_new = fingerprint(codes(new), k, s)
             out.append((key, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), render(own), render(of_new), likeness(own, of_new), likeness(own, code_next)))
 
         def flush():
             cols = list(zip(*out))
             out.clear()
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 for key, text, ends in zip(part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "").to_pylist(), part.column("ends").to_pylist()):
-                    own = fingerprint(codes(text))
+                    own = fingerprint(codes(text), k, s)
                     if held:
                         finish(text, own)
                     held = None if ends else (key, text, own)
                 if out:
                     yield flush()
 
-    placed = with_next(docs, id_col, text_col)
-    sorted_ = placed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "ends", F.col("doc_id").desc_nulls_last(), "text")
+    placed, buckets = with_next(docs, id_col, text_col, bucket_bytes)
+    # by ranges of buckets, so that no task has many of them and others none
+    sorted_ = placed.repartitionByRange(buckets, "bucket").sortWithinPartitions("bucket", "ends", "key", "text")
     return sorted_.select("doc_id", "text", "ends").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

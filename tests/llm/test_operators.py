@@ -299,6 +299,45 @@ def test_fingerprints(spark, docs):
     assert got[9]["fingerprint"] == got[10]["fingerprint"] and got[7]["near_edited"] > 0.5
 
 
+def test_syncmers_by_their_definition():
+    """Every k-mer whose smallest inner s-mer is its first or last, ties included; the same rule for all lengths."""
+    rng = np.random.default_rng(4)
+    for n in [*range(0, 40), 63, 64, 65, 300]:
+        code = rng.integers(97, 100 if n % 2 else 120, n).astype(np.uint64)
+        h, place = fingerprints.fingerprint(code)
+        inner = fingerprints._window_hashes(code, fingerprints.S).tolist() if n >= fingerprints.K else []
+        want = []
+        for i in range(n - fingerprints.K + 1):
+            own = inner[i : i + fingerprints.K - fingerprints.S + 1]
+            if min(own) in (own[0], own[-1]):
+                want.append(i)
+        assert place.tolist() == (want or [0] * min(n, 1))
+        same = {}
+        for i, x in zip(place.tolist(), h.tolist()):  # equal k-mers have equal hashes, others don't
+            assert same.setdefault(tuple(code[i : i + fingerprints.K] if want else code), x) == x
+        assert len(set(same.values())) == len(same)
+    base = rng.integers(97, 123, 64).astype(np.uint64)
+    assert fingerprints.likeness(fingerprints.fingerprint(base[:63]), fingerprints.fingerprint(base)) > 0.9
+
+
+@pytest.mark.parametrize("bucket_bytes", [200, 1 << 20])
+def test_fingerprints_of_repeated_and_odd_ids(spark, bucket_bytes):
+    rng = np.random.default_rng(8)
+    made = [(int(rng.integers(-5, 5)) if i % 3 else 7, " ".join(f"w{x}" for x in rng.integers(0, 50, 12))) for i in range(90)] + [(None, "x"), (None, None), (2**62, "top"), (-(2**62), "")]
+    got = rows(fingerprints.fingerprints(spark.createDataFrame(made, "doc_id long, text string"), bucket_bytes=bucket_bytes))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((i is None, i or 0, len(t or "")) for i, t in made)
+    # each edited text ends in the start of a row that the order allows next
+    ids = sorted({i for i, _ in made if i is not None}, reverse=True) + [None]
+    by_id = {i: [t or "" for j, t in made if j == i] for i in ids}
+    for r in got:
+        following = by_id[r["doc_id"]] + by_id[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        own = [t for t in by_id[r["doc_id"]] if len(t) == r["n_chars"]]
+        assert r["edited_sha256"] in {hashlib.sha256(fingerprints.edited(t, f).encode()).hexdigest() for t in own for f in following}
+    assert rows(fingerprints.fingerprints(frame(spark, []))) == []
+    one = rows(fingerprints.fingerprints(frame(spark, ["only this text, its own next one"])))
+    assert one[0]["near_next"] == 1.0
+
+
 def _print_of(words):
     return fingerprints.fingerprint(fingerprints.codes(" ".join(words)))
 
