@@ -1,12 +1,13 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes counts of hashed byte trigrams over its whole length, damped and
-weighted by inverse document frequency, and shares that tell its style (repeated
-words and lines, capitals, signs); a truncated singular value decomposition
-of a bounded sample of labelled texts maps it to a short unit vector. The
-labelled vectors are broadcast (their number is the bounded parameter
-``examples``), and blocks of documents get exact cosine products with all of
-them; the nearest vote with weights by similarity.
+A text becomes counts of terms over its whole length, weighted by inverse document
+frequency and scaled to a unit vector. Terms are hashed byte trigrams, with damped
+counts, and repeats: a word that stood one, two, three or four words before, and a
+line that stood one before. A truncated singular value decomposition of a bounded
+sample of labelled texts maps the terms to a short unit vector. The labelled
+vectors are broadcast (their number is the bounded parameter ``examples``), and
+blocks of documents get exact cosine products with all of them; the nearest vote
+with weights by similarity.
 """
 
 from __future__ import annotations
@@ -19,60 +20,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, fold
-from quarry.llm.textkernel import PAD, Chunk, byte_set, chunks, span_hashes, words
+from quarry.llm.textkernel import PAD, WORD_SEPARATORS, Chunk, byte_set, chunks, span_hashes, words
 
 FEATURES, DIMENSIONS, EXAMPLES, NEIGHBOURS = 2048, 48, 4000, 15
 #: Exponent of the similarity in a vote, and weight of the prior.
 SHARPNESS, PRIOR_WEIGHT = 8.0, 0.05
 BLOCK = 256
-#: Weight of the style beside a unit vector of trigrams, and words between repeats that count.
-STYLE_WEIGHT, LAGS = 1.5, (1, 2, 3, 4)
-STYLES = len(LAGS) + 4
+#: Words between repeats that count; lines count next to each other.
+LAGS = (1, 2, 3, 4)
+TERMS = FEATURES + len(LAGS) + 1
 
-_CAPITAL, _SIGN, _DIGIT = byte_set((0x41, 0x5A)), byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)), byte_set((0x30, 0x39))
 _NEWLINE = byte_set((0x0A, 0x0A))
 
 
-def _repeats(chunk: Chunk, separators: np.ndarray | None, lags: tuple[int, ...]) -> list[np.ndarray]:
-    """For each lag the share of each text's words (or lines) that equal the one so many before."""
-    starts, lengths, bounds = words(chunk, separators) if separators is not None else words(chunk)
+def _repeats(chunk: Chunk, separators: np.ndarray, lags: tuple[int, ...]) -> list[np.ndarray]:
+    """For each lag how many of each text's words (or lines) equal the one so many before."""
+    starts, lengths, bounds = words(chunk, separators)
     h = span_hashes(chunk.buf, starts, lengths)
     row = np.repeat(np.arange(chunk.rows), np.diff(bounds))
-    n = np.maximum(np.diff(bounds), 1)
-    return [np.bincount(row[k:][(h[k:] == h[:-k]) & (row[k:] == row[:-k])], minlength=chunk.rows) / n for k in lags]
+    return [np.bincount(row[k:][(h[k:] == h[:-k]) & (row[k:] == row[:-k])], minlength=chunk.rows) for k in lags]
 
 
-def style(chunk: Chunk) -> np.ndarray:
-    """Shares (rows, STYLES) between 0 and 1."""
-    n = np.maximum(np.diff(chunk.offsets), 1)
-    b = chunk.buf[: len(chunk.buf) - PAD]
-    shares = []
-    for table in (_CAPITAL, _SIGN, _DIGIT):
-        total = np.concatenate([[0], np.cumsum(table[b])])
-        shares.append((total[chunk.offsets[1:]] - total[chunk.offsets[:-1]]) / n)
-    return np.stack([*_repeats(chunk, None, LAGS), *_repeats(chunk, _NEWLINE, (1,)), *shares], axis=1).astype(np.float32)
-
-
-def trigram_counts(chunk: Chunk) -> np.ndarray:
-    """Damped counts (rows, FEATURES) of hashed byte trigrams, none for a text of one or two bytes, and the style."""
+def term_counts(chunk: Chunk) -> np.ndarray:
+    """Counts (rows, TERMS): damped ones of hashed byte trigrams, none for a text of one or two bytes, then repeats."""
     n = len(chunk.buf) - PAD
     b = chunk.buf[: n + 2].astype(np.uint32)
     h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     cell = (h >> np.uint32(21)).astype(np.int64)
-    out = np.zeros((chunk.rows, FEATURES), np.float32)
+    out = np.zeros((chunk.rows, TERMS), np.float32)
     for i in range(chunk.rows):
         a, z = chunk.offsets[i], max(chunk.offsets[i + 1] - 2, chunk.offsets[i])
         if z > a:
-            out[i] = np.bincount(cell[a:z], minlength=FEATURES)
-    return np.concatenate([np.log1p(out, out=out), style(chunk)], axis=1)
+            out[i, :FEATURES] = np.bincount(cell[a:z], minlength=FEATURES)
+    np.log1p(out, out=out)
+    out[:, FEATURES:] = np.stack([*_repeats(chunk, WORD_SEPARATORS, LAGS), *_repeats(chunk, _NEWLINE, (1,))], axis=1)
+    return out
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors with the weighted style beside them."""
-    x = counts[:, :FEATURES] * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return np.concatenate([x, counts[:, FEATURES:] * np.float32(STYLE_WEIGHT)], axis=1)
+    """Unit TF-IDF vectors."""
+    x = counts * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 @dataclass
@@ -100,10 +89,14 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, examples: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text`` and ``y`` of at most ``examples`` labelled rows whose fold isn't 0, dealt by a hash of the id."""
+    """``id``, ``text`` and ``y`` of at most ``examples`` labelled rows whose fold isn't 0, dealt by a hash of the id.
+
+    Of several texts with one id the first in their order stands for it.
+    """
     chosen = labels.where(F.col(label).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("double")).alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(examples)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), rows["id"] == chosen["__id"]).select("id", "text", "y")  # bounded by ``examples``
+    found = rows.join(F.broadcast(chosen), rows["id"] == chosen["__id"])  # bounded by ``examples``
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -112,22 +105,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column("text"), 1 << 20):
-                rows = [r.tobytes() for r in trigram_counts(c).astype(np.float16)]
+                rows = [r.tobytes() for r in term_counts(c)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(c.lo, c.rows), pa.array(rows, pa.binary()), batch.column("y").slice(c.lo, c.rows)], ["id", "x", "y"])
 
     sample = labelled_sample(docs, labels, label, examples, id_col, text_col).select(F.col("id").cast("long"), "text", "y")
-    got = sorted(sample.mapInArrow(run, "id long, x binary, y double").limit(examples).collect())
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(-1, FEATURES + STYLES)
+    got = sorted(sample.mapInArrow(run, "id long, x binary, y double").collect())  # bounded by ``examples``
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(-1, TERMS)
     y = np.array([r["y"] for r in got], np.float64)
     n = len(y)
-    idf = np.log((1 + n) / (1 + (x[:, :FEATURES] > 0).sum(axis=0))).astype(np.float32) + 0.1
+    idf = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     prior = float(y.mean()) if n else 0.5
     if not n:
-        return Model(idf, np.zeros((FEATURES + STYLES, 1), np.float32), np.zeros((0, 1), np.float32), y, prior)
+        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, prior)
     counts, x = x, weighted(x, idf)
-    rank = min(DIMENSIONS, n, FEATURES)
+    rank = min(DIMENSIONS, n, TERMS)
     rng = np.random.default_rng(11)
-    q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(rank + 16, n, FEATURES)), dtype=np.float32))[0]
+    q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(rank + 16, n, TERMS)), dtype=np.float32))[0]
     for _ in range(4):  # subspace iterations of the randomised decomposition
         q = np.linalg.qr(x @ (x.T @ q))[0]
     _, _, vt = np.linalg.svd(q.T @ x, full_matrices=False)
@@ -148,7 +141,7 @@ def classify(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc
         m = shared.value
         for batch in batches:
             for c in chunks(batch.column("text"), 1 << 20):
-                counts = trigram_counts(c)
+                counts = term_counts(c)
                 score = np.concatenate([m.score(counts[i : i + BLOCK]) for i in range(0, c.rows, BLOCK)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.rows), pa.array(np.clip(score, 0, 1))], ["doc_id", "score"])
 

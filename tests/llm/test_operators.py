@@ -480,6 +480,38 @@ def test_classifiers_learn_and_take_odd_rows(spark):
     assert toxicity.classify(docs, toxicity.fit(docs, empty)).count() == len(texts)
 
 
+def test_quality_votes_against_all_cosines(spark):
+    """Terms counted one by one, all cosines in one product, ties among the nearest included."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 60, 30)) if i % 3 else " ".join([f"w{i % 7}"] * 30) + "\nX\nX" for i in range(90)] + [None, "", "ab"]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)] + [(4, 1), (5, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+
+    def vector(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint32)
+        own = np.zeros(quality.TERMS)
+        for i in range(len(raw) - 2):
+            h = (int(raw[i]) * 0x9E3779B1 + int(raw[i + 1]) * 0x85EBCA77 + int(raw[i + 2]) * 0xC2B2AE3D) % 2**32
+            own[(((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32) >> 21] += 1
+        own = np.log1p(own)
+        w, lines = (text or "").split(), (text or "").split("\n")
+        for j, k in enumerate(quality.LAGS):
+            own[quality.FEATURES + j] = sum(a == b for a, b in zip(w, w[k:]))
+        own[-1] = sum(a == b and a != "" for a, b in zip(lines, lines[1:]))
+        own *= model.idf
+        v = own / max(np.linalg.norm(own), 1e-9) @ model.project
+        return v / np.linalg.norm(v) if np.linalg.norm(v) else v
+
+    for r in rows(quality.classify(docs, model, 0.3)):
+        cos = model.vectors.astype(float) @ vector(texts[r["doc_id"]])
+        best = np.argsort(-cos, kind="stable")[: quality.NEIGHBOURS]
+        w = np.clip(cos[best], 0, 1) ** quality.SHARPNESS
+        want = ((w * model.labels[best]).sum() + quality.PRIOR_WEIGHT * model.prior) / (w.sum() + quality.PRIOR_WEIGHT)
+        assert abs(r["score"] - want) < 0.02 and r["predicted"] == int(r["score"] >= 0.3)
+    assert quality.classify(frame(spark, []), model, 0.3).count() == 0
+
+
 def test_toxicity_learns_from_texts_with_a_common_frame(spark):
     rng = np.random.default_rng(8)
     head, tail = "the common header of a hot source " * 4, " and its common footer, the same everywhere" * 3
