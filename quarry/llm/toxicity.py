@@ -4,9 +4,9 @@ A text is a vector over all its words and word starts, weighted by damped counts
 inverse document frequency, and relevance frequency (how many examples with the
 label have the feature for each one without). A bounded sample of labelled rows of both labels is indexed
 by posting lists, whose examples are in blocks with the largest weight of each
-block. A query first adds up its strongest features; the rest, mostly the
-longest lists, is bounded by block, and only examples that can still be among the
-nearest are completed, so the neighbours are exact. Their votes, weighted by
+block. A query first adds up the postings of its rarer features; the longest lists
+are bounded by block, and only blocks that can still hold one of the nearest are
+completed, so the neighbours are exact. Their votes, weighted by
 similarity, are calibrated by votes on rows that were left out of the index; the
 neighbours' ids and what the query shares with them are the evidence.
 """
@@ -24,15 +24,15 @@ from quarry.llm.common import documents, fold
 from quarry.llm.quality import labelled_sample
 from quarry.llm.textkernel import Chunk, byte_set, chunks, span_hashes, words
 
-EXAMPLES, NEIGHBOURS, BLOCK = 4000, 15, 64
+EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
 #: Bytes of the word starts; 0: the whole word.
 STARTS = (0, 4, 5, 6)
 #: Exponent of the similarity in a vote, and votes by the rate of the label that every text has.
 SHARPNESS, SMOOTHING = 2.0, 1e-3
 #: Parts of the sample that are left out in turn for the calibration.
 PARTS = 5
-#: The part of a query's postings that is added up before anything is bounded.
-FIRST_PART = 0.25
+#: A feature's list is long if more than one example in so many has it.
+LONG = 20
 EVIDENCE = 5
 
 #: Everything but ASCII letters and the bytes of other characters separates words.
@@ -76,73 +76,79 @@ class Counted:
 
 
 class BlockMaxIndex:
-    """Posting lists of sparse vectors, with the largest weight of each list in each block of examples."""
+    """Posting lists of sparse vectors, with the largest weight of each long list in each block of examples.
+
+    Lists that more than one example in LONG has are kept by block as dense rows, all
+    others as postings.
+    """
 
     def __init__(self, feature: np.ndarray, example: np.ndarray, weight: np.ndarray, features: int, examples: int, block: int = BLOCK):
-        order = np.lexsort((example, feature))
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
-        self.first = np.searchsorted(feature[order], np.arange(features + 1))
-        self.size = np.diff(self.first)
-        self.examples, self.block = examples, block
-        self.blocks = -(-examples // block)
-        # a row of maxima for each block that a list touches
-        own = feature[order] * max(self.blocks, 1) + self.example // block
-        start = np.flatnonzero(np.diff(own, prepend=-1)) if len(own) else np.zeros(0, np.int64)
-        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0, np.float32)
-        self.in_block = (own[start] % max(self.blocks, 1)).astype(np.int32)
-        self.first_block = np.searchsorted(own[start] // max(self.blocks, 1), np.arange(features + 1))
-        self.top = np.zeros(features)
-        some = self.size > 0
-        if some.any():
-            self.top[some] = np.maximum.reduceat(self.weight, self.first[:-1][some])
-        # the vectors themselves
-        by = np.lexsort((feature, example))
+        self.examples, self.block, self.blocks = examples, block, -(-examples // block)
+        # the vectors themselves, by example and feature
+        by = np.argsort(example.astype(np.int64) * max(features, 1) + feature, kind="stable")
         self.of, self.own_weight = feature[by].astype(np.int32), weight[by].astype(np.float32)
         self.own_first = np.searchsorted(example[by], np.arange(examples + 1))
-
-    @staticmethod
-    def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-    def _sum(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        df = np.bincount(feature, minlength=features)
+        self.example_at = self._like_together(df)
+        place_of = np.argsort(self.example_at)
+        # long lists: a dense row for each place, and the largest weights of each block
+        long = np.flatnonzero(df * LONG > examples)
+        self.column = np.full(features, -1, np.int32)
+        self.column[long] = np.arange(len(long))
+        dense = self.column[feature] >= 0
+        self.rows = np.zeros((examples, len(long)), np.float32)
+        self.rows[place_of[example[dense]], self.column[feature[dense]]] = weight[dense]
+        starts = np.arange(0, examples, block)
+        self.most = np.maximum.reduceat(self.rows, starts, axis=0) if examples else np.zeros((0, len(long)), np.float32)
+        # all others: postings by feature
+        short = np.flatnonzero(~dense)
+        short = short[np.argsort(feature[short], kind="stable")]
+        self.place, self.weight = place_of[example[short]].astype(np.int32), weight[short].astype(np.float32)
+        self.size = np.where(self.column < 0, df, 0)
+        self.first = np.cumsum(self.size) - self.size
+
+    def _like_together(self, df: np.ndarray) -> np.ndarray:
+        """The examples by their strongest feature among those that many have: what is alike shares blocks."""
+        w = np.where(df[self.of] >= max(2, self.examples // 20), self.own_weight, 0)
+        row = np.repeat(np.arange(self.examples), np.diff(self.own_first))
+        by = np.lexsort((-w, row))
+        strongest = np.full(self.examples, -1, np.int64)
+        have = np.diff(self.own_first) > 0
+        strongest[have] = self.of[by[self.own_first[:-1][have]]]
+        return np.lexsort((np.arange(self.examples), strongest))
+
+    def nearest(self, row: np.ndarray, features: np.ndarray, weights: np.ndarray, rows: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``rows`` queries, given as (row, feature, weight), the k nearest by dot product among those that share a feature.
+
+        Ties go by the number of the example.
+        """
+        if not self.examples:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * rows
         size = self.size[features]
-        at = self._ranges(self.first[features], size)
-        return np.bincount(self.example[at], weights=self.weight[at] * np.repeat(weights, size), minlength=self.examples)
-
-    def nearest(self, features: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest by dot product, ties by the number of the example, among those that share a feature."""
-        if not len(features) or not self.examples:
-            return np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-weights * self.top[features], kind="stable")
-        features, weights = features[order], weights[order]
-        size = np.cumsum(self.size[features])
-        split = int(np.searchsorted(size, FIRST_PART * size[-1])) + 1
-        total = self._sum(features[:split], weights[:split])
-        if split < len(features):
-            rest, own = features[split:], weights[split:]
-            enough = np.partition(total, -k)[-k] if k < self.examples else -1.0
-            n = self.first_block[rest + 1] - self.first_block[rest]
-            at = self._ranges(self.first_block[rest], n)
-            bound = np.bincount(self.in_block[at], weights=self.most[at] * np.repeat(own, n), minlength=self.blocks)
-            might = np.flatnonzero(total + np.repeat(bound, self.block)[: self.examples] >= enough - 1e-9)
-            if 2 * len(might) < self.examples and size[-1] > 4 * len(might) * 64:
-                dense = np.zeros(int(max(rest.max(), self.of.max())) + 1)
-                dense[rest] = own
-                count = self.own_first[might + 1] - self.own_first[might]
-                places = self._ranges(self.own_first[might], count)
-                part = np.bincount(np.repeat(np.arange(len(might)), count), weights=self.own_weight[places] * dense[self.of[places]], minlength=len(might))
-                found = total[might] + part
-            else:
-                found = (total + self._sum(rest, own))[might]
-        else:
-            might, found = np.arange(self.examples), total
-        if k < len(found):
-            least = np.partition(found, -k)[-k] - 1e-9
-            some = found >= least
-            might, found = might[some], found[some]
-        best = np.lexsort((might, -np.round(found, 9)))[:k]
-        best = best[found[best] > 0]
-        return might[best], found[best]
+        at = np.repeat(self.first[features] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        total = np.bincount(np.repeat(row * self.examples, size) + self.place[at], weights=self.weight[at] * np.repeat(weights, size), minlength=rows * self.examples).astype(np.float64).reshape(rows, self.examples)
+        column = self.column[features]
+        long = np.flatnonzero(column >= 0)
+        query = np.zeros((rows, self.rows.shape[1]), np.float32)
+        query[row[long], column[long]] = weights[long]
+        # a block is completed for the queries that it can still hold one of the nearest of
+        k_ = min(k, self.examples)
+        enough = np.partition(total, -k_, axis=1)[:, -k_]
+        best = np.maximum.reduceat(total, np.arange(0, self.examples, self.block), axis=1)
+        alive = best + query @ self.most.T >= enough[:, None] - 1e-5
+        for i in range(self.blocks):
+            who = np.flatnonzero(alive[:, i])
+            span = slice(i * self.block, (i + 1) * self.block)
+            if len(who):
+                total[who, span] += query[who] @ self.rows[span].T
+        total[np.repeat(~alive, self.block, axis=1)[:, : self.examples]] = 0
+        least = np.partition(total, -k_, axis=1)[:, -k_]
+        out = []
+        for t, x in zip(total, least):
+            found = np.flatnonzero((t >= x - 1e-6) & (t > 0))
+            found = found[np.lexsort((self.example_at[found], -np.round(t[found], 6)))][:k]
+            out.append((self.example_at[found], t[found]))
+        return out
 
 
 @dataclass
@@ -150,29 +156,33 @@ class Model:
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     unknown: float = 0.0
-    index: BlockMaxIndex = field(default_factory=lambda: BlockMaxIndex(*(np.zeros(0, np.int64),) * 3, 0, 0))
+    index: BlockMaxIndex = field(default_factory=lambda: BlockMaxIndex(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0, 0))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     rate: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers and weights of the known features of a unit vector, and which of the given they are."""
+    def vectors(self, row: np.ndarray, hashes: np.ndarray, counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and weights of the known features of unit vectors, and which of the given they are."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        w = 1 + np.log(counts)
-        w = w * np.where(known, self.weight[at], self.unknown) if len(self.hashes) else w
-        norm = np.sqrt((w * w).sum())
+        known = self.hashes[at] == hashes
+        w = (1 + np.log(counts)) * np.where(known, self.weight[at], self.unknown)
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=rows))
         pick = np.flatnonzero(known)
-        return at[pick], w[pick] / (norm or 1.0), pick
+        return at[pick], w[pick] / norm[row[pick]], pick
 
-    def vote(self, features: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
-        """The share of the label among the nearest, weighted by similarity, and the nearest."""
-        at, cos = self.index.nearest(features, weights, NEIGHBOURS)
-        w = cos**SHARPNESS
-        return float(((w * self.labels[at]).sum() + SMOOTHING * self.rate) / (w.sum() + SMOOTHING)), at
+    def votes(self, row: np.ndarray, features: np.ndarray, weights: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The share of the label among the nearest of each query, weighted by similarity, and the nearest."""
+        near = self.index.nearest(row, features, weights, rows, NEIGHBOURS)
+        votes = np.empty(rows)
+        for i, (at, cos) in enumerate(near):
+            w = cos**SHARPNESS
+            votes[i] = ((w * self.labels[at]).sum() + SMOOTHING * self.rate) / (w.sum() + SMOOTHING)
+        return votes, [at for at, _ in near]
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * vote + self.shift)))
@@ -180,18 +190,20 @@ class Model:
     def scores(self, chunk: Chunk, evidence: bool = True) -> tuple[np.ndarray, list[list[str]], list[list[int]]]:
         """Calibrated scores of the texts of a lower-cased chunk, the strongest terms shared with the nearest example, and the nearest ids."""
         q = Counted.of(chunk)
-        votes, terms, near = np.full(chunk.rows, self.rate), [[] for _ in range(chunk.rows)], [[] for _ in range(chunk.rows)]
-        for i in range(chunk.rows):
-            lo, hi = q.edges[i], q.edges[i + 1]
-            features, weights, pick = self.vector(q.hashes[lo:hi], q.counts[lo:hi])
-            votes[i], at = self.vote(features, weights)
-            if evidence and len(at):
-                near[i] = self.ids[at[:EVIDENCE]].tolist()
+        row = np.repeat(np.arange(chunk.rows), np.diff(q.edges))
+        features, weights, pick = self.vectors(row, q.hashes, q.counts, chunk.rows)
+        row = row[pick]
+        votes, nearest = self.votes(row, features, weights, chunk.rows)
+        terms, near = [[] for _ in nearest], [self.ids[at[:EVIDENCE]].tolist() for at in nearest]
+        edges = np.searchsorted(row, np.arange(chunk.rows + 1))
+        for i, at in enumerate(nearest if evidence else ()):
+            if len(at):
                 a, b = self.index.own_first[at[0] : at[0] + 2]
+                lo, hi = edges[i], edges[i + 1]
                 own = self.index.of[a:b]
-                place = np.minimum(np.searchsorted(own, features), len(own) - 1)
-                shared = np.where(own[place] == features, weights * self.index.own_weight[a:b][place], 0)
-                for j in lo + pick[np.argsort(-shared, kind="stable")[:EVIDENCE]][: int((shared > 0).sum())]:
+                place = np.minimum(np.searchsorted(own, features[lo:hi]), len(own) - 1)
+                shared = np.where(own[place] == features[lo:hi], weights[lo:hi] * self.index.own_weight[a:b][place], 0)
+                for j in pick[lo:hi][np.argsort(-shared, kind="stable")[:EVIDENCE]][: int((shared > 0).sum())]:
                     terms[i].append(chunk.buf[q.start[j] : q.start[j] + q.length[j]].tobytes().decode("utf-8", "ignore"))
         return self.calibrated(votes), terms, near
 
@@ -257,9 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
         number = np.cumsum(part != p) - 1
         pick = part[example] != p
         model = _index(number[example[pick]], h[pick], n[pick], y[inside], ids[inside])
-        for i in np.flatnonzero(part == p):
-            a, b = edges[i], edges[i + 1]
-            votes[i] = model.vote(*model.vector(h[a:b], n[a:b])[:2])[0]
+        for out in np.array_split(np.flatnonzero(part == p), -(-len(y) // 256)):
+            mine = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in out]) if len(out) else np.zeros(0, np.int64)
+            row = np.searchsorted(out, example[mine])
+            features, weights, pick = model.vectors(row, h[mine], n[mine], len(out))
+            votes[out] = model.votes(row[pick], features, weights, len(out))[0]
     model = _index(example, h, n, y, ids)
     model.slope, model.shift = _calibration(votes, y)
     return model

@@ -523,21 +523,24 @@ def test_toxicity_learns_from_texts_with_a_common_frame(spark):
 
 
 def test_block_max_index_is_exact(monkeypatch):
-    """Against all products, whatever part is added up first; ties by the number of the example."""
+    """Against all products, with long and short lists and pruned blocks; ties by the number of the example."""
     rng = np.random.default_rng(4)
     v = rng.random((500, 60)) * (rng.random((500, 60)) < np.linspace(0.02, 0.6, 60))
     v[:, 0] += 0.01
     v[100:120] = v[99]
+    v[250:] *= np.arange(60) < 30  # half of them have nothing of the other lists
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     example, feature = np.nonzero(v)
-    index = toxicity.BlockMaxIndex(feature, example, v[example, feature], 60, 500, 16)
-    for part in (0.0, 0.25, 2.0):
-        monkeypatch.setattr(toxicity, "FIRST_PART", part)
-        for q in v[90:130]:
-            f = np.flatnonzero(q)
-            at, cos = index.nearest(f, q[f], 10)
-            want = np.lexsort((np.arange(500), -np.round(v.astype(np.float32).astype(np.float64) @ q, 9)))[:10]
-            assert at.tolist() == want.tolist() and np.allclose(cos, (v @ q)[want], atol=1e-6)
+    q = v[90:130]
+    row, asked = np.nonzero(q)
+    for long in (1, 5, 1000):
+        monkeypatch.setattr(toxicity, "LONG", long)
+        index = toxicity.BlockMaxIndex(feature, example, v[example, feature], 60, 500, 16)
+        for (at, cos), x in zip(index.nearest(row, asked, q[row, asked], 40, 10), q):
+            every = v @ x
+            assert np.allclose(cos, np.sort(every)[::-1][:10], atol=1e-5) and np.allclose(every[at], cos, atol=1e-5)
+    at = toxicity.BlockMaxIndex(feature, example, v[example, feature], 60, 500, 16).nearest(*np.nonzero(v[99:100]), v[99][v[99] > 0], 1, 10)[0][0]
+    assert at.tolist() == list(range(99, 109))
 
 
 def test_toxicity_votes_against_all_products(spark):
