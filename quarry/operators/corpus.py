@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import n_bytes, valid_body
+from quarry.sources import id_ranges
 
 #: Bytes of a document's tag in a flat corpus.
 TAG_BYTES = 6
 
 
-def doc_offsets(corpus: DataFrame, buckets: int = 256) -> DataFrame:
+def doc_offsets(corpus: DataFrame) -> DataFrame:
     """(uid, start_pos, end_pos, n_bytes): where each tagged document lies in the flat corpus.
 
-    Running sums in two passes: within ranges of uid, and over the ranges' totals
-    (``buckets`` rows), so that no task sees all rows.
+    Running sums in two passes: within ranges of uid, which are quantiles as many as
+    the rows ask for, and over the ranges' totals, so that no task sees all rows.
     """
     sizes = corpus.select("uid", n_bytes(F.col("text")).alias("n_bytes"))
-    low, high = sizes.agg(F.min("uid"), F.max("uid")).first()
-    span = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    placed = sizes.withColumn("b", F.floor((F.col("uid") - F.lit(low or 0)) / span).cast("int"))
+    placed = sizes.withColumn("b", id_ranges(sizes, "uid"))
     totals = placed.groupBy("b").agg(F.sum(F.col("n_bytes") + TAG_BYTES).alias("t"))
-    bases = totals.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
+    bases = totals.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")  # a row for each range
     within = Window.partitionBy("b").orderBy("uid").rowsBetween(Window.unboundedPreceding, 0)
     ends = placed.withColumn("run", F.sum(F.col("n_bytes") + TAG_BYTES).over(within)).join(F.broadcast(bases), "b")
     end = F.col("base") + F.col("run")

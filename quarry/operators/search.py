@@ -1,20 +1,32 @@
 """Exact, byte-wise, overlapping search by a parallel scan.
 
-Needles are a short list by nature, and are broadcast only up to NEEDLE_LIMIT of
-them; a longer list is dealt to the executors in salted parts of bounded size.
-Every operator evaluates all needles in one job.
+A few needles are tested by the JVM as the corpus streams past them; more, and all
+places of hits, are found by one automaton over all needles, in time linear in the
+text and its hits. Needles are a short list by nature; they are broadcast in parts
+of at most NEEDLE_BYTES, each of which is one more pass over the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import count_overlapping, look_ahead, n_bytes
+from quarry.functions import count_overlapping, n_bytes
+from quarry.sources import with_next
 
-NEEDLE_LIMIT = 100_000
+#: Bytes of needles that are broadcast at once, and needles up to which the JVM tests each by itself.
+NEEDLE_BYTES, FEW = 8 << 20, 12
 #: Hits shown with context for a query, and bytes of context on each side.
 CONTEXT_HITS, CONTEXT_BYTES = 64, 128
+#: Rows that a worker hands on at once.
+BATCH = 1 << 15
 
 
 def _checked(needles: DataFrame) -> DataFrame:
@@ -30,23 +42,109 @@ def _spread(corpus: DataFrame) -> DataFrame:
     return corpus.repartition(want) if have < want else corpus
 
 
+def _parts(needles: DataFrame) -> Iterator[list[tuple]]:
+    """(query_id, query) in parts of at most NEEDLE_BYTES (or one needle); the driver holds one part at a time."""
+    part, size = [], 0
+    for r in _checked(needles).select("query_id", "query").toLocalIterator():
+        n = len(r["query"].encode())
+        if part and size + n > NEEDLE_BYTES:
+            yield part
+            part, size = [], 0
+        part.append((r["query_id"], r["query"]))
+        size += n
+    if part:
+        yield part
+
+
+class _Automaton:
+    """All needles of a part; equal ones share a place."""
+
+    def __init__(self, part: list[tuple]):
+        self.ids: dict[str, list] = {}
+        for i, q in part:
+            self.ids.setdefault(q, []).append(i)
+        self.needles = list(self.ids)
+        self.machine = ahocorasick.Automaton()
+        for k, q in enumerate(self.needles):
+            self.machine.add_word(q, k)
+        self.machine.make_automaton()
+
+    def found(self, text: str) -> set[int]:
+        return {k for _, k in self.machine.iter(text)}
+
+    def hits(self, text: str) -> dict[int, np.ndarray]:
+        """Byte offsets of all occurrences of each needle, ascending."""
+        got = list(self.machine.iter(text))
+        if not got:
+            return {}
+        ends, kind = np.array(got, np.int64).T
+        starts = ends + 1 - np.array([len(q) for q in self.needles])[kind]
+        if not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            starts = np.concatenate([[0], np.cumsum(width)])[starts]
+        order = np.lexsort((starts, kind))
+        kind, starts = kind[order], starts[order]
+        cut = np.flatnonzero(np.diff(kind)) + 1
+        return dict(zip(kind[np.concatenate([[0], cut])].tolist(), np.split(starts, cut)))
+
+
+def _types(needles: DataFrame) -> tuple[str, pa.DataType]:
+    kind = dict(needles.dtypes)["query_id"]
+    return kind, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+
+def _scan(corpus: DataFrame, needles: DataFrame, columns: str, rows: Callable[[_Automaton, int, str], Iterator[tuple]], types: list[pa.DataType], extra: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, *columns) that ``rows`` gives for each text of the corpus (uid, text, *extra), in batches of bounded size."""
+    spark, (kind, arrow) = corpus.sparkSession, _types(needles)
+    names = ["query_id", *(c.split()[0] for c in columns.split(", "))]
+    shape = f"query_id {kind}, {columns}"
+    out = None
+    for part in _parts(needles):
+        shared = spark.sparkContext.broadcast(part)  # at most NEEDLE_BYTES, or one needle
+
+        def run(batches, shared=shared):
+            machine, held = _Automaton(shared.value), []
+
+            def flush():
+                cols = list(zip(*held))
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [arrow, *types])], names)
+
+            for batch in batches:
+                cols = [batch.column("uid").to_pylist(), pc.fill_null(batch.column("text"), "").to_pylist(), *(batch.column(c).to_pylist() for c in extra)]
+                for row in zip(*cols):
+                    for k, *made in rows(machine, *row):
+                        for i in machine.ids[machine.needles[k]]:
+                            held.append((i, *made))
+                            if len(held) >= BATCH:
+                                yield flush()
+            if held:
+                yield flush()
+
+        one = _spread(corpus).select("uid", "text", *extra).mapInArrow(run, shape)
+        out = one if out is None else out.unionAll(one)
+    return corpus.sparkSession.createDataFrame([], shape) if out is None else out
+
+
 def matches(corpus: DataFrame, needles: DataFrame) -> DataFrame:
     """(query_id, query, uid, text) of each document that holds a needle.
 
-    The theta join on ``contains`` streams the corpus past the broadcast needles;
-    more than NEEDLE_LIMIT needles are joined in parts of that size.
+    Up to FEW needles of together at most NEEDLE_BYTES meet the corpus in a
+    broadcast join on ``contains``; more of them in one automaton, a pass over the
+    corpus for each part.
     """
     needles = _checked(needles)
-    n = needles.count()
-    if n <= NEEDLE_LIMIT:
-        return _spread(corpus).join(F.broadcast(needles), F.contains("text", "query")).select("query_id", "query", "uid", "text")
-    parts = -(-n // NEEDLE_LIMIT)
-    out = None
-    for k in range(parts):
-        part = needles.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)
-        one = _spread(corpus).join(F.broadcast(part), F.contains("text", "query")).select("query_id", "query", "uid", "text")
-        out = one if out is None else out.unionAll(one)
-    return out
+    n, size = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
+    if n <= FEW and size <= NEEDLE_BYTES:
+        return _spread(corpus).join(F.broadcast(needles.select("query_id", "query")), F.contains("text", "query")).select("query_id", "query", "uid", "text")
+    found = _scan(corpus, needles, "query string, uid long, text string", lambda m, uid, text: ((k, m.needles[k], uid, text) for k in m.found(text)), [pa.string(), pa.int64(), pa.string()])
+    return found.select("query_id", "query", "uid", "text")
+
+
+def pairs(corpus: DataFrame, needles: DataFrame) -> DataFrame:
+    """(query_id, uid) of each document that holds a needle, by one automaton; no text leaves the scan."""
+    return _scan(corpus, needles, "uid long", lambda m, uid, text: ((k, uid) for k in m.found(text)), [pa.int64()])
 
 
 def count(corpus: DataFrame, needles: DataFrame) -> DataFrame:
@@ -68,18 +166,15 @@ def document_frequency(corpus: DataFrame, needles: DataFrame) -> DataFrame:
     return needles.join(found, "query_id", "left").select("query_id", "query", F.coalesce("n", F.lit(0)).cast("long").alias("documents"))
 
 
-def positions(corpus: DataFrame, needles: DataFrame, keep_text: bool = False) -> DataFrame:
-    """(query_id, query, uid, pos) of every occurrence; pos is its byte offset in the body, from 0.
+def positions(corpus: DataFrame, needles: DataFrame) -> DataFrame:
+    """(query_id, query, uid, pos) of every occurrence; pos is its byte offset in the body, from 0."""
 
-    The text is cut wherever the needle starts; the running length of the parts is
-    the offset, so the cost is that of the text and not of its square.
-    """
-    parts = F.split("text", look_ahead(F.col("query")))
-    ends = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(p))))
-    starts = F.slice(ends, 1, F.size(ends) - 1)
-    hits = F.filter(starts, lambda p, i: (i > 0) | F.col("text").startswith(F.col("query")))
-    keep = ["text"] if keep_text else []
-    return matches(corpus, needles).select("query_id", "query", "uid", *keep, F.explode(hits).alias("pos"))
+    def rows(m, uid, text):
+        for k, at in m.hits(text).items():
+            for p in at.tolist():
+                yield k, m.needles[k], uid, p
+
+    return _scan(corpus, needles, "query string, uid long, pos long", rows, [pa.string(), pa.int64(), pa.int64()])
 
 
 def contains(corpus: DataFrame, needle: str) -> DataFrame:
@@ -87,43 +182,92 @@ def contains(corpus: DataFrame, needle: str) -> DataFrame:
     return corpus.where(F.contains("text", F.lit(needle))) if needle else corpus.where(F.lit(False))
 
 
-def _window(text: Column, query: Column, pos: Column, width: int) -> tuple[Column, Column]:
-    body = text.cast("binary")
-    start = F.greatest(pos - width, F.lit(0))
-    after = pos + F.octet_length(query)
-    cut = lambda a, n: F.substring(body, (a + 1).cast("int"), n.cast("int"))
-    return cut(start, pos - start), cut(after, F.lit(width))
-
-
 def kwic(corpus: DataFrame, needles: DataFrame, width: int = CONTEXT_BYTES) -> DataFrame:
     """(query_id, query, uid, pos, before, after): bytes on each side, cut at the ends of the document."""
-    before, after = _window(F.col("text"), F.col("query"), F.col("pos"), width)
-    return positions(corpus, needles, keep_text=True).select("query_id", "query", "uid", "pos", before.alias("before"), after.alias("after"))
+
+    def rows(m, uid, text):
+        body = text.encode("utf-8", "surrogatepass")
+        for k, at in m.hits(text).items():
+            n = len(m.needles[k].encode())
+            for p in at.tolist():
+                yield k, m.needles[k], uid, p, body[max(p - width, 0) : p], body[p + n : p + n + width]
+
+    return _scan(corpus, needles, "query string, uid long, pos long, before binary, after binary", rows, [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
 
-def suffix_key(text: Column, pos: Column, next_uid: Column) -> Column:
-    """What follows ``pos`` up to the body's end, then the next document's tag: the order in one flat corpus."""
-    from quarry.functions import little_endian
+#: Bytes by which suffixes are told apart at first, and ties that are then compared whole.
+FIRST_BYTES, TIES = 64, 512
 
-    tail = F.substring(text.cast("binary"), (pos + 1).cast("int"), F.octet_length(text) - pos.cast("int"))
-    tag = F.when(next_uid.isNull(), F.lit(b"")).otherwise(F.concat(F.lit(b"\xff\xff"), little_endian(next_uid, 4)))
-    return F.concat(tail, tag)
+
+def _suffix_ranks(body: bytes) -> np.ndarray:
+    """The rank of every suffix of a body, by prefix doubling."""
+    rank = np.frombuffer(body, np.uint8).astype(np.int64) + 1
+    step, n = 1, len(rank)
+    while step < n:
+        key = rank * (n + 257)
+        key[: n - step] += rank[step:]
+        distinct, rank = np.unique(key, return_inverse=True)
+        rank = rank.astype(np.int64) + 1
+        if len(distinct) == n:
+            break
+        step *= 2
+    return rank
+
+
+def first_suffixes(body: bytes, at: np.ndarray, most: int) -> list[int]:
+    """The ``most`` places of ``at`` whose suffixes come first, in their order."""
+    if len(at) > most:
+        heads = [body[p : p + FIRST_BYTES] for p in at.tolist()]
+        last = heapq.nsmallest(most, heads)[-1]
+        at = np.array([p for p, h in zip(at.tolist(), heads) if h <= last], np.int64)
+        if len(at) > most + TIES:  # many alike at first: rank all suffixes of the body once
+            rank = _suffix_ranks(body)
+            return at[np.argsort(rank[at], kind="stable")[:most]].tolist()
+    return sorted(at.tolist(), key=lambda p: body[p:])[:most]
 
 
 def kwic_top(corpus: DataFrame, needles: DataFrame, hits: int = CONTEXT_HITS, width: int = CONTEXT_BYTES, key_bytes: int | None = None) -> DataFrame:
     """The first ``hits`` occurrences of each needle in suffix order, with context and their place k (from 1).
 
-    The next document is the one with the next higher uid. ``key_bytes`` cuts the
-    key (ties then go by uid and pos), which bounds what is sorted.
+    Suffixes run on into the tag of the document with the next higher uid, as in
+    one flat corpus. Each document gives its own first ``hits``; each task keeps as
+    many of each needle, so what is sorted at last is bounded by tasks and needles.
+    ``key_bytes`` cuts the key (ties then go by uid and pos).
     """
-    nexts = corpus.select("uid").withColumn("next_uid", F.lead("uid").over(Window.orderBy("uid")))
-    found = positions(corpus, needles, keep_text=True).join(nexts, "uid")
-    key = suffix_key(F.col("text"), F.col("pos"), F.col("next_uid"))
-    key = F.substring(key, 1, key_bytes) if key_bytes else key
-    before, after = _window(F.col("text"), F.col("query"), F.col("pos"), width)
+    spark, (kind, arrow) = corpus.sparkSession, _types(needles)
+    names = ["query_id", "query", "uid", "pos", "key", "before", "after"]
+    shape = f"query_id {kind}, query string, uid long, pos long, key binary, before binary, after binary"
+    follows = _spread(with_next(corpus.select("uid", F.coalesce("text", F.lit("")).alias("text")), "uid"))
+    out = None
+    for part in _parts(needles):
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches, shared=shared):
+            machine, best = _Automaton(shared.value), {}
+            for batch in batches:
+                for uid, text, after_uid in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("next").to_pylist()):
+                    found = machine.hits(text)
+                    if not found:
+                        continue
+                    body = text.encode("utf-8", "surrogatepass")
+                    tag = b"" if after_uid is None else b"\xff\xff" + (after_uid & 0xFFFFFFFF).to_bytes(4, "little")
+                    flat = body + tag
+                    for k, at in found.items():
+                        n = len(machine.needles[k].encode())
+                        some = first_suffixes(flat, at, hits) if not key_bytes else sorted(at.tolist(), key=lambda p: (flat[p : p + key_bytes], p))[:hits]
+                        own = [(flat[p : p + key_bytes] if key_bytes else flat[p:], uid, p, body[max(p - width, 0) : p], body[p + n : p + n + width]) for p in some]
+                        best[k] = heapq.nsmallest(hits, [*best.get(k, ()), *own])
+            rows = [(i, machine.needles[k], uid, p, key, a, z) for k, own in best.items() for key, uid, p, a, z in own for i in machine.ids[machine.needles[k]]]
+            for lo in range(0, len(rows), 1024):
+                cols = zip(*rows[lo : lo + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [arrow, pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names)
+
+        one = follows.select("uid", "text", "next").mapInArrow(run, shape)
+        out = one if out is None else out.unionAll(one)
+    if out is None:
+        return spark.createDataFrame([], shape).drop("key").withColumn("k", F.lit(0).cast("long"))
     order = Window.partitionBy("query_id").orderBy("key", "uid", "pos")
-    rows = found.select("query_id", "query", "uid", "pos", key.alias("key"), before.alias("before"), after.alias("after"))
-    return rows.withColumn("k", F.row_number().over(order).cast("long")).where(F.col("k") <= hits).drop("key")
+    return out.withColumn("k", F.row_number().over(order).cast("long")).where(F.col("k") <= hits).drop("key")
 
 
 def responses(corpus: DataFrame, needles: DataFrame, hits: int = CONTEXT_HITS, width: int = CONTEXT_BYTES) -> DataFrame:
@@ -150,12 +294,12 @@ def retrieve(corpus: DataFrame, needles: DataFrame, distinct: bool = False, limi
 
 def contaminated(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """The items (query_id, query) that occur in the corpus."""
-    return items.join(matches(corpus, items).select("query_id").distinct(), "query_id", "left_semi")
+    return items.join(pairs(corpus, items).select("query_id").distinct(), "query_id", "left_semi")
 
 
 def clean(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """The items that don't occur in the corpus."""
-    return items.join(matches(corpus, items).select("query_id").distinct(), "query_id", "left_anti")
+    return items.join(pairs(corpus, items).select("query_id").distinct(), "query_id", "left_anti")
 
 
 def highlight(rows: DataFrame) -> DataFrame:
@@ -164,4 +308,4 @@ def highlight(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.concat(F.lit("..."), text("before"), F.lit("<b>"), "query", F.lit("</b>"), text("after"), F.lit("...")))
 
 
-__all__ = ["clean", "contains", "contaminated", "count", "count_of", "document_frequency", "highlight", "kwic", "kwic_top", "matches", "n_bytes", "positions", "responses", "retrieve"]
+__all__ = ["clean", "contains", "contaminated", "count", "count_of", "document_frequency", "highlight", "kwic", "kwic_top", "matches", "n_bytes", "pairs", "positions", "responses", "retrieve"]

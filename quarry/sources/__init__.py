@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import strip
@@ -57,6 +57,33 @@ def number_rows(df: DataFrame, order: list[str], name: str = "uid", start: int =
     return placed.join(F.broadcast(table), "__p").withColumn(name, F.col("__base") + within).drop("__p", "__i", "__base")
 
 
+#: Rows of a range of ids.
+RANGE_ROWS = 1 << 18
+
+
+def id_ranges(df: DataFrame, by: str, least: int = 8) -> Column:
+    """The number of the range that an id falls in: quantiles of the ids, as many as the rows ask for."""
+    spark = df.sparkSession
+    n = max(least, min(-(-df.count() // RANGE_ROWS), 1 << 14), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    splits = sorted({int(x) for x in df.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias(by)).approxQuantile(by, [i / n for i in range(1, n)], 0.25 / n)})
+    if not splits:
+        return F.lit(0)
+    table = F.array(*[F.lit(x) for x in splits]).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))])
+    # binary search: the number of splits at or below the id
+    at = F.aggregate(steps, F.lit(0), lambda at, x: F.when((at + x <= len(splits)) & (F.get(table, at + x - 1) <= F.col(by)), at + x).otherwise(at))
+    return F.coalesce(at, F.lit(0))
+
+
+def with_next(df: DataFrame, by: str) -> DataFrame:
+    """``df`` and ``next``, the next higher id (null for the last): by ranges of ids, and over the ranges' first ids."""
+    placed = df.withColumn("__r", id_ranges(df, by))
+    firsts = placed.groupBy("__r").agg(F.min(by).alias("first"))  # a row for each range
+    later = firsts.select((F.col("__r")).alias("__r"), F.lead("first").over(Window.orderBy("__r")).alias("__later"))
+    within = F.lead(by).over(Window.partitionBy("__r").orderBy(by))
+    return placed.withColumn("__in", within).join(F.broadcast(later), "__r").withColumn("next", F.coalesce("__in", "__later")).drop("__r", "__in", "__later")
+
+
 def needles(spark: SparkSession, queries: list[str]) -> DataFrame:
     """(query_id, query) of a list: ids are places from 0, blank entries are skipped but counted, ends stripped."""
     rows = [(i, q) for i, q in enumerate(queries)]

@@ -1,6 +1,8 @@
 import json
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,57 @@ def test_positions_counts_and_index_agree(spark, docs, tmp_path, needle):
         assert bytes(r.before) + needle.encode() + bytes(r.after) == body[max(0, r.pos - 128) : r.pos + len(needle.encode()) + 128]
 
 
+def test_many_needles_agree_with_one_at_a_time(spark, docs, monkeypatch):
+    asked = ["aa", "a", "onon", "quick", "qu", "é", "éé", " ", "\\E", "\n", "y", "The quick brown fox was very quick.", "nothing", "aa", "x", "fox"]
+    list_ = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    for limit in (search.NEEDLE_BYTES, 6):  # in one part, and in many
+        monkeypatch.setattr(search, "NEEDLE_BYTES", limit)
+        got = sorted((r.query_id, r.uid, r.pos) for r in search.positions(docs, list_).collect())
+        assert got == sorted((i, u, p) for i, q in enumerate(asked) for u, p in brute(q))
+        want = sorted({(i, u) for i, q in enumerate(asked) for u, _ in brute(q)})
+        assert sorted((r.query_id, r.uid) for r in search.pairs(docs, list_).collect()) == want
+        assert sorted((r.query_id, r.uid) for r in search.matches(docs, list_).collect()) == want
+
+
+def test_first_suffixes_with_ties(spark, docs):
+    body = b"ab" * 3000 + b"a" * 700
+    at = np.array([m.start() for m in re.finditer(b"(?=a)", body)])
+    assert search.first_suffixes(body, at, 64) == sorted(at.tolist(), key=lambda p: body[p:])[:64]
+    asked = spark.createDataFrame([(0, "a"), (1, "quick"), (2, "é")], "query_id int, query string")
+    flat = {i + 1: (t or "").encode() + (b"" if i + 1 == len(TEXTS) else b"\xff\xff" + (i + 2).to_bytes(4, "little")) for i, t in enumerate(TEXTS)}
+    for hits in (3, 64):
+        got = {(r.query_id, r.k): (r.uid, r.pos) for r in search.kwic_top(docs, asked, hits=hits).collect()}
+        for i, q in enumerate(["a", "quick", "é"]):
+            want = sorted(brute(q), key=lambda x: (flat[x[0]][x[1] :], x))[:hits]
+            assert [got[i, k + 1] for k in range(len(want))] == want and (i, len(want) + 1) not in got
+
+
+def test_a_long_text_of_half_a_million_hits_takes_seconds(spark):
+    one = spark.createDataFrame([(1, "ab" * 500_000)], "uid long, text string")
+    asked = spark.createDataFrame([(0, "ab")], "query_id int, query string")
+    began = time.time()
+    assert search.positions(one, asked).agg(F.count(F.lit(1)), F.max("pos")).first() == (500_000, 999_998)
+    assert search.kwic(one, asked).agg(F.sum(F.octet_length("before"))).first()[0] == 499_936 * 128 + sum(range(0, 128, 2))
+    # the corpus ends here, so the shortest suffix comes first
+    assert [r.pos for r in search.kwic_top(one, asked).orderBy("k").limit(2).collect()] == [999_998, 999_996]
+    assert time.time() - began < 60
+
+
+def test_next_ids_and_offsets_over_many_ranges(spark, monkeypatch):
+    import quarry.sources as sources
+
+    monkeypatch.setattr(sources, "RANGE_ROWS", 3)
+    ids = [i * i % 997 for i in range(40)] + [5000, 100_000]
+    table = spark.createDataFrame([(i, "t" * (i % 7)) for i in sorted(set(ids))], "uid long, text string")
+    order = sorted(set(ids))
+    assert {r.uid: r.next for r in sources.with_next(table, "uid").collect()} == dict(zip(order, [*order[1:], None]))
+    at = 0
+    for r in corpora.doc_offsets(table).orderBy("uid").collect():
+        assert (r.start_pos, r.end_pos) == (at, at + r.uid % 7 + 6)
+        at = r.end_pos
+    assert sources.with_next(table.limit(0), "uid").count() == 0 and corpora.doc_offsets(table.limit(0)).count() == 0
+
+
 def test_empty_needles_are_refused(spark, docs):
     with pytest.raises(ValueError):
         search.count_of(docs, "")
@@ -54,7 +107,7 @@ def test_statistics_offsets_and_validity(spark, docs):
     s = corpora.statistics(docs).first()
     sizes = [len((t or "").encode()) for t in TEXTS]
     assert (s.n_docs, s.body_bytes, s.corpus_bytes, s.valid_docs, s.max_bytes) == (8, sum(sizes), sum(sizes) + 48, 8, max(sizes))
-    offsets = sorted(tuple(r) for r in corpora.doc_offsets(docs, 3).select("uid", "start_pos", "end_pos").collect())
+    offsets = sorted(tuple(r) for r in corpora.doc_offsets(docs).select("uid", "start_pos", "end_pos").collect())
     at = 0
     for (uid, a, b), n in zip(offsets, sizes):
         assert (a, b) == (at, at + n + 6)
