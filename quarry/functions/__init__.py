@@ -53,6 +53,15 @@ def pack_tokens(ids: Column, width: int = 4) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda t: F.hex(little_endian(t.cast("long"), width))), ""))
 
 
+def unpack_tokens(packed: Column, width: int = 2) -> Column:
+    """Token ids of little-endian binary, ``width`` bytes each; an error where bytes are left over."""
+    hexed = F.hex(packed)
+    n = (F.octet_length(packed) / width).cast("int")
+    one = lambda i: F.conv(F.concat(*[F.substring(hexed, (i * width + b) * 2 + 1, F.lit(2)) for b in reversed(range(width))]), 16, 10).cast("long")
+    ids = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.octet_length(packed) % width != 0, F.raise_error(F.lit(f"a token needs {width} bytes"))).otherwise(ids)
+
+
 def succ(key: bytes) -> bytes | None:
     """The smallest byte string above all that start with ``key``; None if there is none."""
     bare = key.rstrip(b"\xff")

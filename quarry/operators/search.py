@@ -232,12 +232,14 @@ def kwic_top(corpus: DataFrame, needles: DataFrame, hits: int = CONTEXT_HITS, wi
     Suffixes run on into the tag of the document with the next higher uid, as in
     one flat corpus. Each document gives its own first ``hits``; each task keeps as
     many of each needle, so what is sorted at last is bounded by tasks and needles.
-    ``key_bytes`` cuts the key (ties then go by uid and pos).
+    ``key_bytes`` cuts the key (ties then go by uid and pos). A corpus that already
+    has ``next``, the next higher uid of the whole, keeps it.
     """
     spark, (kind, arrow) = corpus.sparkSession, _types(needles)
     names = ["query_id", "query", "uid", "pos", "key", "before", "after"]
     shape = f"query_id {kind}, query string, uid long, pos long, key binary, before binary, after binary"
-    follows = _spread(with_next(corpus.select("uid", F.coalesce("text", F.lit("")).alias("text")), "uid"))
+    texts = F.coalesce("text", F.lit("")).alias("text")
+    follows = _spread(corpus.select("uid", texts, "next") if "next" in corpus.columns else with_next(corpus.select("uid", texts), "uid"))
     out = None
     for part in _parts(needles):
         shared = spark.sparkContext.broadcast(part)

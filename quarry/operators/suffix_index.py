@@ -7,12 +7,15 @@ prefix becomes a range of keys that row groups and pages outside of are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import common_prefix, succ
+from quarry.sources import number_rows
 
-KEY_BYTES = 32
+KEY_BYTES = 16
+#: Ranges of keys that one scan is narrowed to.
+RANGES = 128
 
 
 def suffixes(corpus: DataFrame, key_bytes: int | None = KEY_BYTES) -> DataFrame:
@@ -29,10 +32,10 @@ def suffixes(corpus: DataFrame, key_bytes: int | None = KEY_BYTES) -> DataFrame:
 
 
 def build(corpus: DataFrame, path: str, key_bytes: int = KEY_BYTES, partitions: int | None = None) -> None:
-    """Write the index, sorted by key over range partitions."""
+    """Write the index, sorted by key over range partitions; sorted keys share their starts, which the delta encoding leaves out."""
     rows = suffixes(corpus, key_bytes)
     placed = rows.repartitionByRange(partitions, "key", "uid", "off") if partitions else rows.repartitionByRange("key", "uid", "off")
-    placed.sortWithinPartitions("key", "uid", "off").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(path)
+    placed.sortWithinPartitions("key", "uid", "off").write.mode("overwrite").option("parquet.block.size", 4 << 20).option("parquet.writer.version", "v2").option("compression", "zstd").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -56,40 +59,78 @@ def look_up(index: DataFrame, needle: str, corpus: DataFrame | None = None, key_
     return found.join(corpus, "uid").where(body == F.lit(raw)).select("uid", "off")
 
 
+def key_ranges(keys: list[bytes], most: int = RANGES) -> list[tuple[bytes, bytes | None]]:
+    """At most ``most`` ranges, low and the first beyond, that hold all that starts with any of the keys: neighbours are merged."""
+    found = sorted((k, succ(k)) for k in set(keys))
+    step = max(1, -(-len(found) // most))
+    groups = [found[i : i + step] for i in range(0, len(found), step)]
+    return [(g[0][0], None if any(hi is None for _, hi in g) else max(hi for _, hi in g)) for g in groups]
+
+
 def look_up_all(index: DataFrame, needles: DataFrame, corpus: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(query_id, uid, off): needles grouped by length, an equi-join on that many bytes of the key, then verified."""
-    sized = needles.withColumn("raw", F.encode("query", "UTF-8")).withColumn("m", F.least(F.octet_length("raw"), F.lit(key_bytes)))
-    lengths = [r["m"] for r in sized.select("m").distinct().collect()]  # at most ``key_bytes`` lengths
-    out = None
-    for m in sorted(lengths):
-        part = sized.where(F.col("m") == m).withColumn("seed", F.substring("raw", 1, m))
-        one = index.withColumn("seed", F.substring("key", 1, m)).join(part, "seed").select("query_id", "raw", "uid", "off")
-        out = one if out is None else out.unionAll(one)
-    if out is None:
+    """(query_id, uid, off) of every occurrence of every needle.
+
+    One scan narrowed to the ranges of keys that needles start, which the sorted
+    files' statistics skip the rest of; what is left meets the needles by an
+    equi-join on as many bytes as the shortest of them has, and longer needles are
+    verified in the bodies.
+    """
+    raw = needles.select("query_id", F.encode("query", "UTF-8").alias("raw")).where("octet_length(raw) > 0")
+    rows = raw.select(F.substring("raw", 1, key_bytes).alias("seed")).distinct().toArrow()  # a needle list, which is short by nature
+    seeds = [bytes(x.as_py()) for x in rows.column("seed")]
+    if not seeds:
         return index.select(F.lit(0).alias("query_id"), "uid", "off").limit(0)
-    short = out.where(F.octet_length("raw") <= key_bytes).select("query_id", "uid", "off")
-    long = out.where(F.octet_length("raw") > key_bytes).join(corpus, "uid")
+    narrowed = F.lit(False)
+    for low, high in key_ranges(seeds):
+        one = F.col("key") >= F.lit(low)
+        narrowed = narrowed | (one & (F.col("key") < F.lit(high)) if high else one)
+    m = min(len(x) for x in seeds)
+    part = raw.withColumn("seed", F.substring("raw", 1, m))
+    met = index.where(narrowed).withColumn("seed", F.substring("key", 1, m)).join(part, "seed").where(F.startswith("key", F.substring("raw", 1, key_bytes)))
+    short = met.where(F.octet_length("raw") <= key_bytes).select("query_id", "uid", "off")
+    if not any(len(x) == key_bytes for x in seeds):
+        return short
+    long = met.where(F.octet_length("raw") > key_bytes).join(corpus, "uid")
     hit = F.substr(F.col("text").cast("binary"), F.col("off") + 1, F.octet_length("raw")) == F.col("raw")
     return short.unionAll(long.where(hit).select("query_id", "uid", "off"))
 
 
+def count_all(index: DataFrame, needles: DataFrame, corpus: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(query_id, query, occurrences) of every needle from the index; 0 where there is none."""
+    found = look_up_all(index, needles, corpus, key_bytes).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return needles.join(found, "query_id", "left").select("query_id", "query", F.coalesce("n", F.lit(0)).cast("long").alias("occurrences"))
+
+
+def retrieve_all(index: DataFrame, needles: DataFrame, corpus: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(query_id, query, doc_id, document) for every occurrence, from the index."""
+    found = look_up_all(index, needles, corpus, key_bytes).join(needles, "query_id")
+    return found.join(corpus, "uid").select("query_id", "query", F.col("uid").alias("doc_id"), F.col("text").alias("document"))
+
+
 def full_suffixes(corpus: DataFrame) -> DataFrame:
     """(suffix, uid, off) with whole suffixes; for small corpora."""
     return suffixes(corpus, None)
 
 
 def ranked(corpus: DataFrame) -> DataFrame:
-    """(rank, uid, off, suffix) in full suffix order from 0, for a small corpus: one sorted window."""
-    order = Window.orderBy("key", "uid", "off")
-    return full_suffixes(corpus).select((F.row_number().over(order) - 1).cast("long").alias("rank"), "uid", F.col("off").cast("long").alias("off"), F.col("key").alias("suffix"))
+    """(rank, uid, off, suffix) in full suffix order from 0: range-partitioned, sorted and numbered, with whole suffixes."""
+    rows = number_rows(full_suffixes(corpus), ["key", "uid", "off"], "rank", 0)
+    return rows.select("rank", "uid", F.col("off").cast("long").alias("off"), F.col("key").alias("suffix"))
 
 
 def lcp(ranks: DataFrame) -> DataFrame:
     """(rank, lcp): bytes that each suffix shares with the one before; 0 for the first."""
-    order = Window.orderBy("rank")
-    return ranks.withColumn("before", F.lag("suffix").over(order)).select("rank", common_prefix(F.col("suffix"), F.col("before")).alias("lcp"))
+    before = ranks.select((F.col("rank") + 1).alias("rank"), F.col("suffix").alias("before"))
+    return ranks.join(before, "rank", "left").select("rank", common_prefix(F.col("suffix"), F.col("before")).alias("lcp"))
 
 
 def validate(index: DataFrame, corpus: DataFrame) -> DataFrame:
     """(rows, expected): an index holds a row for every code point of the corpus."""
     return index.agg(F.count(F.lit(1)).alias("rows")).crossJoin(corpus.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("expected")))  # two single rows
+
+
+def long_matches(index: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(groups, suffixes, largest): keys of full length that several suffixes share, and how many do."""
+    tied = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.octet_length("key") == key_bytes)
+    several = F.when(F.col("n") > 1, F.col("n"))
+    return tied.agg(F.count(several).alias("groups"), F.coalesce(F.sum(several), F.lit(0)).alias("suffixes"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))

@@ -5,14 +5,18 @@ Each query runs one operator over whole tables; SQL is for DuckDB.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import pack_tokens, strip, valid_body, word_count
+from quarry import streaming
+from quarry.functions import pack_tokens, strip, unpack_tokens, valid_body, word_count
 from quarry.operators import corpus as corpora
 from quarry.operators import search, suffix_index, suffix_order, tokens
 from quarry.session import fresh_path
-from quarry.sources import decode_base64_tokens, flat_corpus, named, needles, number_rows, read_needles, read_results, write_results
+from quarry.sources import flat_corpus, named, needles, number_rows, read_corpus, read_needles, read_results, write_results
 
 FREQUENT = ["the", "onon", "onenble", "é", "ééé", "aa", "Abraham Lincoln"]
 SHOWN = ["onenble", "ééé", "aa"]
@@ -119,9 +123,44 @@ def kwic_top64(spark, sf_dir):
     return _hex(search.kwic_top(_docs(spark, sf_dir), needles(spark, FREQUENT)))
 
 
-@_query()
+def _ascii(blob: str) -> str:
+    """SQL for the ASCII bytes of a blob as text: what a cut at its ends can't touch."""
+    return f"decode(unhex(array_to_string(list_filter(regexp_extract_all(hex({blob}), '..'), lambda x: x < '80'), '')))"
+
+
+_BEFORE, _AFTER = "encode(text)[greatest(pos - 127, 1):pos]", "encode(text)[pos + octet_length(encode(query)) + 1:pos + octet_length(encode(query)) + 128]"
+
+
+@_query(
+    _TOP.replace(CONTEXT, f"{_ascii(_BEFORE)} AS before, {_ascii(_AFTER)} AS after").replace("SELECT * FROM top WHERE k <= 64", "")
+    + """, shown AS (SELECT query_id, before, after, count(*) OVER (PARTITION BY query_id) - k AS place FROM top WHERE k <= 64),
+counts AS (SELECT n.query_id, n.query, count(f.uid) AS occurrences FROM needles n LEFT JOIN found f USING (query_id) GROUP BY ALL)
+SELECT query_id, query, occurrences, coalesce(place, -1) AS place, before, after FROM counts LEFT JOIN shown USING (query_id)"""
+)
 def count_responses(spark, sf_dir):
-    return search.responses(_docs(spark, sf_dir), needles(spark, FREQUENT))
+    """The JSON responses, read back: a row for each hit shown, in the order of the response, with the ASCII part of its context."""
+    made = search.responses(_docs(spark, sf_dir), needles(spark, FREQUENT))
+    read = made.select("query_id", F.from_json("response", "occurrences long, before array<string>, query string, after array<string>").alias("r"))
+    flat = read.select("query_id", "r.query", "r.occurrences", F.posexplode_outer(F.arrays_zip(F.col("r.before").alias("b"), F.col("r.after").alias("a"))).alias("place", "z"))
+    bare = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "")
+    return flat.select("query_id", "query", "occurrences", F.coalesce(F.col("place"), F.lit(-1)).cast("long").alias("place"), bare("z.b").alias("before"), bare("z.a").alias("after"))
+
+
+@_query(_hits(DOCS, _values(["onenble", "aa"])) + f"SELECT query_id, uid, pos, '...' || {_ascii(_BEFORE)} || '<b>' || query || '</b>' || {_ascii(_AFTER)} || '...' AS line FROM found")
+def highlight_lines(spark, sf_dir):
+    lines = search.highlight(search.kwic(_docs(spark, sf_dir), needles(spark, ["onenble", "aa"])))
+    return lines.select("query_id", "uid", "pos", F.regexp_replace("line", "[^\\x00-\\x7F]", "").alias("line"))
+
+
+@_query(_hits(DOCS, _values(["the", "onon", "é"])) + "SELECT query_id, query, count(*) AS occurrences FROM found GROUP BY ALL")
+def stream_count(spark, sf_dir):
+    """Counts of a stream of all documents, after its last batch."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/document[s].parquet").select((F.col("doc_id") + 1).alias("uid"), "text")
+    name = f"counts_{uuid.uuid4().hex}"
+    running = streaming.count_stream(source, needles(spark, ["the", "onon", "é"])).writeStream.outputMode("complete").format("memory").queryName(name)
+    running.option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)  # a row for each needle
 
 
 @_query(_hits(DOCS, _values(["onenble", "ééé"])) + "SELECT query_id, query, uid AS doc_id, text AS document FROM found")
@@ -136,7 +175,7 @@ def retrieve_distinct(spark, sf_dir):
 
 @_query("SELECT b.item_id AS query_id, d.doc_id + 1 AS uid FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def contamination_pairs(spark, sf_dir):
-    return search.matches(_docs(spark, sf_dir), _items(spark, sf_dir)).select("query_id", "uid")
+    return search.pairs(_docs(spark, sf_dir), _items(spark, sf_dir))
 
 
 @_query("SELECT item_id AS query_id, text AS query FROM benchmark b WHERE EXISTS (FROM documents d WHERE contains(d.text, b.text))")
@@ -195,9 +234,12 @@ def locate_document(spark, sf_dir):
     return corpora.locate(corpora.doc_offsets(_docs(spark, sf_dir)), points)
 
 
-@_query("SELECT source, count(*) AS n_docs, count(*) AS valid FROM documents GROUP BY source")
+@_query("SELECT source, count(*) AS n_docs, count(*) FILTER (doc_id % 4 < 2) AS valid FROM documents GROUP BY source")
 def valid_docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(valid_body(F.col("text"))).alias("valid"))
+    """Validity of binary bodies: each text with up to three bytes FF behind it, of which two spoil it."""
+    body = F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.unhex(F.repeat(F.lit("FF"), (F.col("doc_id") % 4).cast("int"))))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", body.alias("text"))
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(valid_body(F.col("text"))).alias("valid"))
 
 
 @_query("SELECT doc_id + 1 AS uid, 'FFFF' || upper(format('{:02x}{:02x}{:02x}{:02x}', (doc_id + 1) % 256, ((doc_id + 1) // 256) % 256, ((doc_id + 1) // 65536) % 256, ((doc_id + 1) // 16777216) % 256)) AS tag, (6 + octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes FROM documents")
@@ -316,6 +358,55 @@ def strip_queries(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", strip(F.col("text")).alias("query"))
 
 
-@_query("SELECT 0 AS id, 1 AS first, 2 AS second")
+@_query("SELECT item_id, item_id % 65536 AS first, (item_id * 7919) % 65536 AS second, len(text)::BIGINT AS third FROM benchmark")
 def base64_tokens(spark, sf_dir):
-    return spark.createDataFrame([(0, *decode_base64_tokens("AQACAA=="))], "id int, first int, second int")
+    """Token requests in base64, packed from each item and decoded again."""
+    ids = F.array(F.col("item_id") % 65536, (F.col("item_id") * 7919) % 65536, F.length("text").cast("long"))
+    sent = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.base64(pack_tokens(ids, 2)).alias("query"))
+    got = sent.select("item_id", unpack_tokens(F.unbase64("query"), 2).alias("t"))
+    return got.select("item_id", *(F.get("t", i).alias(n) for i, n in enumerate(("first", "second", "third"))))
+
+
+@_query(f"WITH {_TOKENS}, sizes AS (SELECT uid, list_transform(t, lambda w: length(w)) AS n FROM toks), places AS (SELECT uid, n, unnest(range(len(n) - 2)) AS i FROM sizes WHERE len(n) > 2) SELECT uid, i AS token_pos FROM places WHERE n[i + 1] = 3 AND n[i + 2] = 2 AND n[i + 3] = 3")
+def tokenizer_positions(spark, sf_dir):
+    """A tokenizer given as a function (here the length of each word), and a search for a sequence of its ids."""
+    made = tokens.tokenize_with(_docs(spark, sf_dir), lambda: lambda texts: [[len(w) for w in re.split(r"[ \t\n\r\f\v]+", t.strip(" \t\n\r\f\v")) if w] for t in texts])
+    return tokens.token_positions(made, [3, 2, 3])
+
+
+@_query("WITH s AS (SELECT encode(substr(text, i::INT + 1, 16))[1:16] AS key FROM (SELECT text, unnest(range(length(text))) AS i FROM documents WHERE text <> '')), g AS (SELECT key, count(*) AS n FROM s GROUP BY key) SELECT count(*) FILTER (n > 1 AND octet_length(key) = 16) AS groups, coalesce(sum(n) FILTER (n > 1 AND octet_length(key) = 16), 0)::BIGINT AS suffixes, coalesce(max(n) FILTER (octet_length(key) = 16), 0) AS largest FROM g")
+def index_long_matches(spark, sf_dir):
+    """Suffixes that share a whole key with another: what the keys alone don't order."""
+    return suffix_index.long_matches(_index(spark, sf_dir))
+
+
+_SIZES = "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS digest FROM documents WHERE text <> ''"
+
+
+def _sizes(corpus: DataFrame) -> DataFrame:
+    return corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@_query(_SIZES)
+def csv_corpus(spark, sf_dir):
+    """The documents as CSV files and back: quotes, commas and line breaks survive."""
+    path = fresh_path(spark, "csv-corpus")
+    write_results(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''").select("doc_id", F.col("text").alias("body")), path)
+    return _sizes(read_corpus(spark, path, "csv", "body"))
+
+
+@_query(_SIZES.replace("WHERE text <> ''", "WHERE text <> '' AND lang = 'en'"))
+def json_corpus(spark, sf_dir):
+    """One split of the documents as JSON lines."""
+    path = fresh_path(spark, "json-corpus")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''").select("doc_id", "lang", F.col("text").alias("body")).write.json(path)
+    return _sizes(read_corpus(spark, path, "json", "body", "lang = 'en'", any_name=True))
+
+
+@_query("SELECT octet_length(encode(trim(text, e' \n')))::BIGINT AS n_bytes, count(*) AS n FROM benchmark WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(13)) GROUP BY ALL")
+def text_corpus(spark, sf_dir):
+    """The items as a text file, one a line, and back."""
+    path = fresh_path(spark, "text-corpus")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("NOT contains(text, '\n') AND NOT contains(text, '\r')")
+    items.select(F.trim("text").alias("value")).write.text(path)
+    return read_corpus(spark, path, "text").groupBy(F.octet_length("text").cast("long").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n"))

@@ -13,19 +13,21 @@ from quarry.functions import strip
 NAMED = {"documents": ("text", ["doc_id"]), "pages": ("html", ["page_id"]), "conversations": ("text", ["conv_id", "turn"]), "benchmark": ("text", ["item_id"])}
 
 
-def read_corpus(spark: SparkSession, path: str, kind: str = "parquet", text_key: str = "text", where: str | None = None, whole_files: bool = False) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, kind: str = "parquet", text_key: str = "text", where: str | None = None, whole_files: bool = False, any_name: bool = False) -> DataFrame:
     """A corpus with its text column as ``text``; kind: parquet, json (*.jsonl), csv or text (*.txt).
 
-    ``where`` selects a split or subset; with parquet it reaches the scan.
+    ``where`` selects a split or subset; with parquet it reaches the scan. With
+    ``any_name`` files are read whatever they are called.
     """
+    reader = lambda pattern: spark.read if any_name else spark.read.option("pathGlobFilter", pattern)
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "json":
-        df = spark.read.option("pathGlobFilter", "*.jsonl").json(path)
+        df = reader("*.jsonl").json(path)
     elif kind == "csv":
-        df = spark.read.option("pathGlobFilter", "*.csv").csv(path, header=True, multiLine=True, escape='"')
+        df = reader("*.csv").csv(path, header=True, multiLine=True, escape='"')
     elif kind == "text":
-        return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=whole_files).withColumnRenamed("value", "text")
+        return reader("*.txt").text(path, wholetext=whole_files).withColumnRenamed("value", "text")
     else:
         raise ValueError(f"unknown kind of corpus: {kind}")
     df = df.where(where) if where else df

@@ -1,3 +1,4 @@
+import base64
 import json
 import re
 import time
@@ -6,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.api import RequestError, Service
-from quarry.functions import succ, valid_body, word_count
+from quarry.api import RequestError, Service, main
+from quarry.functions import pack_tokens, succ, unpack_tokens, valid_body, word_count
 from quarry.operators import corpus as corpora
 from quarry.operators import search, suffix_index, suffix_order, tokens
 from quarry.sources import needles, parse_request, read_corpus, read_results, write_results
+from quarry.streaming import count_stream
 
 TEXTS = ["aaaa", "The quick brown fox was very quick.", "é ééé x.(y)\n\\E end", "", None, "onononon", "aaaa", "x" * 200 + "quick" + "y" * 200]
 
@@ -162,6 +164,82 @@ def test_service(spark, docs):
     assert parse_request('{"QUERY": "a", "Length": 3}')["length"] == 3
 
 
+def test_service_answers_from_an_index_as_by_scan(spark, docs, tmp_path):
+    suffix_index.build(docs, str(tmp_path / "i"))
+    index = suffix_index.load(spark, str(tmp_path / "i"))
+    by_scan, by_index = Service(spark, {"d": docs}), Service(spark, {"d": docs}, {}, {"d": index})
+    for q in ("quick", "aa", "é", "zzz", "The quick brown fox was very quick."):
+        body = json.dumps({"dataset": "d", "query": q})
+        assert json.loads(by_scan.count(body)) == json.loads(by_index.count(body))
+        assert sorted(by_scan.csv(body).splitlines()) == sorted(by_index.csv(body).splitlines())
+
+
+def test_service_over_http(spark, docs):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    words_ = tokens.tokenize_with(docs, lambda: lambda texts: [[len(w) for w in t.split()] for t in texts])
+    server = Service(spark, {"d": docs}, {"t": words_}).serve(0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_address[1]}"
+    ask = lambda path, body=None: urllib.request.urlopen(urllib.request.Request(root + path, body and json.dumps(body).encode())).read().decode()
+    assert "<option>d</option>" in ask("/") and "/count" in ask("/about") and json.loads(ask("/datasets")) == {"datasets": ["d"]}
+    assert json.loads(ask("/count", {"dataset": "d", "query": "quick"}))["occurrences"] == 3
+    assert ask("/csv", {"dataset": "d", "query": "onon"}).count("onononon") == 3
+    sent = base64.b64encode(bytes([3, 0, 5, 0])).decode()  # a word of three letters, then one of five: "The quick", "ééé x.(y)"
+    assert json.loads(ask("/count", {"dataset": "t", "query": sent, "tokenize": True}))["occurrences"] == 2
+    for path, body, status in (("/nowhere", None, 404), ("/csv", {"dataset": "e", "query": "a"}, 404), ("/count", {"dataset": "t", "query": "%", "tokenize": True}, 500)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            ask(path, body)
+        assert e.value.code == status
+    server.shutdown()
+
+
+def test_command_line(spark, docs, tmp_path, capsys):
+    docs.selectExpr("uid AS id", "text AS body", "if(uid < 7, 'train', 'test') AS split").write.parquet(str(tmp_path / "data" / "one"))
+    (tmp_path / "q.txt").write_text("quick\n\naaaa\nThe quick\n")
+    common = ["--data", str(tmp_path / "data"), "--subset", "one", "--text-key", "body", "--uid", "id"]
+
+    def run(*args):
+        assert main([*args[:1], *common, *args[1:]]) == 0
+        return capsys.readouterr().out
+
+    assert run("count", "--file", str(tmp_path / "q.txt")).splitlines()[:3] == ["quick: 3", "aaaa: 2", "The quick: 1"]
+    assert run("count", "--query", "quick", "--split", "train").startswith("quick: 2\n")
+    assert run("count", "--query", "quick", "--tokenize").startswith("quick: 1\n")
+    run("index", "--out", str(tmp_path / "index"))
+    assert run("count", "--query", "aa", "--query", "no", "--index", str(tmp_path / "index")).splitlines()[:2] == ["aa: 6", "no: 3"]
+    run("csv", "--query", "quick", "--index", str(tmp_path / "index"), "--out", str(tmp_path / "hits"))
+    assert read_results(spark, str(tmp_path / "hits")).count() == 3
+    assert run("load", "--out", str(tmp_path / "loaded")).endswith("8 documents\n")
+    assert "n_docs" in run("stats")
+
+
+def test_ranges_of_keys_hold_all_needles():
+    keys = [b"ab", b"abc", b"\xff", b"z\xff", b"b", b"\xff\xff"]
+    for most in (1, 2, 10):
+        ranges = suffix_index.key_ranges(keys, most)
+        assert len(ranges) <= most + 1 and all(any(lo <= k + b"x" and (hi is None or k + b"x" < hi) for lo, hi in ranges) for k in keys)
+
+
+def test_stream_counts(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "in"))
+    asked = needles(spark, ["aa", "quick"])
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    run = count_stream(stream, asked).writeStream.outputMode("complete").format("memory").queryName("stream_test").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert {r.query: r.occurrences for r in spark.table("stream_test").collect()} == {"aa": 6, "quick": 3}
+
+
+def test_tokens_pack_and_unpack(spark):
+    t = spark.createDataFrame([(1, [0, 1, 65535]), (2, [])], "uid long, t array<long>")
+    got = t.select("t", unpack_tokens(pack_tokens(F.col("t"), 2), 2).alias("u")).collect()
+    assert all(r.t == r.u for r in got)
+    with pytest.raises(Exception, match="2 bytes"):
+        spark.range(1).select(unpack_tokens(F.lit(b"abc"), 2)).collect()
+
+
 def test_results_survive_csv_and_sources_read(spark, docs, tmp_path):
     asked = spark.createDataFrame([(0, "end")], "query_id int, query string")
     write_results(search.retrieve(docs, asked), str(tmp_path / "r"))
