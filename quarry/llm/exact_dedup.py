@@ -100,12 +100,16 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows alike in id and text, one."""
-    found = exact_duplicates(docs, id_col, text_col, keep=keep).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha")).distinct()
+    """The rows of ``docs`` that stay, with all their columns; of rows alike in id and text, one.
+
+    Rows meet the flags by one key of id and text, by which copies of a row then
+    lie side by side already: whole rows are shuffled once.
+    """
+    key = lambda i, sha: F.concat(sha, F.coalesce(i.cast("string"), F.lit("null")))
+    found = exact_duplicates(docs, id_col, text_col, keep=keep).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key")).distinct()
     sha = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("__sha", sha)
-    stay = rows.join(found, rows[id_col].eqNullSafe(found["__id"]) & (rows["__sha"] == found["__kept_sha"]), "left_semi")
-    return stay.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    rows = docs.withColumn("__key", key(F.col(f"`{id_col}`"), sha))
+    return rows.join(found, "__key", "left_semi").dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
