@@ -23,8 +23,8 @@ def fold(doc_id: Column | str, folds: int = 5) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session has none (a test), a folder below the working directory is
-    set; a cluster always names its own.
+    Where a local session has none (a test), a folder below the working directory is
+    set; a cluster must name its own, for its machines don't share their disks.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = "file://" + os.path.abspath(os.path.join("spark-warehouse", "checkpoints"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -44,9 +46,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``cut`` wrote and nothing has deleted yet.
+_WRITTEN: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back; survives lost executors."""
     path = fresh_path(df.sparkSession, "table")
+    _WRITTEN.add(path)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._table_path = path
@@ -56,11 +63,24 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of ``cut`` that nothing reads any more, and let Spark drop shuffle files without a reader."""
     for t in tables:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._table_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, t._table_path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.discard(folder)
+
+
+def release_all(spark: SparkSession) -> int:
+    """Delete every table that operators of this driver have left in the shared folder; their results must be written by then. Returns how many."""
+    left = list(_WRITTEN)
+    for folder in left:
+        _delete(spark, folder)
+    return len(left)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

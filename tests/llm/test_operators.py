@@ -32,6 +32,45 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
+#: Each operator on a table, by the number that its query has.
+EVERY = {
+    1: lambda spark, t, labels: quality.classify(t, quality.fit(t, labels), 0.3),
+    2: lambda spark, t, labels: language_model.score_documents(t),
+    3: lambda spark, t, labels: exact_dedup.exact_duplicates(t),
+    4: lambda spark, t, labels: packing.pack_documents(t, public_tokenizers.path("byte_bpe_50k.json")),
+    5: lambda spark, t, labels: toxicity.classify(t, toxicity.fit(t, labels)),
+    6: lambda spark, t, labels: token_files.read_token_files(spark, *_written(spark, t)),
+    7: lambda spark, t, labels: byte_bpe.encode_digests(t, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+    8: lambda spark, t, labels: near_duplicates.similar_components(t),
+    9: lambda spark, t, labels: pii.detect(t),
+    10: lambda spark, t, labels: fingerprints.fingerprints(t),
+}
+
+
+def _written(spark, table):
+    folder = fresh_path(spark, "every")
+    return folder, token_files.write_token_files(table, folder, public_tokenizers.path("word_bpe_49k.json"), 1, drops_space=True, width=64, shards=2)
+
+
+@pytest.mark.parametrize("number", EVERY)
+def test_empty_tables_repeated_rows_and_clashing_names(spark, number):
+    """No rows of no rows; a row for each row (or piece) where ids and rows repeat, beside columns named like the operators' own."""
+    shape = "doc_id long, text string, h long, key string, n int, bucket int, c long, part int"
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    empty = spark.createDataFrame([], shape)
+    assert EVERY[number](spark, empty, labels.limit(0)).count() == 0
+    made = [(i % 4, t, 1, "k", 2, 3, 4, 5) for i, t in enumerate(["a b c d e f", "a b c d e f", None, "", "x", "a b c d e f", "A b  c", "a b c d e f"])]
+    got = rows(EVERY[number](spark, spark.createDataFrame([*made, made[0], (None, "a b c d e f", 1, None, None, None, None, None)], shape), labels))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((i is None, i or 0) for i in [*(m[0] for m in made), 0, None])
+
+
+def test_tables_left_behind_can_be_deleted(spark):
+    from quarry.llm import common
+
+    kept = common.cut(spark.range(3))
+    assert kept.count() == 3 and common.release_all(spark) >= 1 and common.release_all(spark) == 0
+
+
 def test_exact_duplicates_of_all_bucket_counts(spark, docs):
     for buckets in (1, 5):
         got = {r["doc_id"]: r for r in rows(exact_dedup.exact_duplicates(docs, buckets=buckets)) if r["doc_id"] is not None}
@@ -42,6 +81,9 @@ def test_exact_duplicates_of_all_bucket_counts(spark, docs):
             assert got[i]["text_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     hot = frame(spark, ["same"] * 500 + [f"t{i}" for i in range(100)])
     assert exact_dedup.drop_exact_duplicates(hot).count() == 101
+    odd = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, "c", "z"), (None, "c", "z"), (3, None, "w"), (2, "", "v")], "doc_id long, text string, key string")
+    kept = exact_dedup.drop_exact_duplicates(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] or 0, r["text"] or "", r["key"]) for r in rows(kept)) == [(0, "c", "z"), (1, "a", "x"), (1, "b", "y"), (3, "", "w")]
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
 
 
