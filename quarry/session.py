@@ -23,13 +23,15 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; only where it is unset, a folder below the working directory."""
+    """spark.checkpoint.dir as the session names it; where a local session has none, a folder below the working directory."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = "file://" + os.path.abspath(os.path.join("spark-warehouse", "checkpoints"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder
