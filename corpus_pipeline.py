@@ -15,29 +15,47 @@ from quarry.llm.common import documents, fresh_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go.
+
+    Null and empty texts have the rate of toxic labels and stay while that is below
+    one half; repeated rows stay or go together; an empty table stays empty.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model, 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id stays."""
+    """Of documents with equal texts the one with the largest id stays.
+
+    Null texts are empty and equal to empty ones; null ids come behind all others;
+    of rows alike in id and text one stays.
+    """
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
+    """Of each component of near duplicates the document with the smallest id stays.
+
+    Null, empty and blank texts are like no other and stay, as do rows with a null
+    id; of several texts with the smallest id one stays.
+    """
     return near_duplicates.drop_near_duplicates(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind; n_chars follows the text."""
+    """Personal data in texts is replaced by its kind; n_chars follows the text.
+
+    Null texts stay null, with their n_chars null; repeated rows stay as they are.
+    """
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, encoded and packed into sequences of 2048 tokens."""
+    """What is left, encoded and packed into sequences of 2048 tokens.
+
+    Null and empty texts are packed as their end id; each row is packed on its own.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

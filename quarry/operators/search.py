@@ -36,6 +36,8 @@ def _checked(needles: DataFrame) -> DataFrame:
 
 def _spread(corpus: DataFrame) -> DataFrame:
     """Rows over all cores: a file with one row group would be one task."""
+    if corpus.isStreaming:
+        return corpus
     spark = corpus.sparkSession
     have = corpus.rdd.getNumPartitions()
     want = max(spark.sparkContext.defaultParallelism, 2)
@@ -127,6 +129,20 @@ def _scan(corpus: DataFrame, needles: DataFrame, columns: str, rows: Callable[[_
     return corpus.sparkSession.createDataFrame([], shape) if out is None else out
 
 
+def _few(needles: DataFrame) -> bool:
+    """Whether the needles are few, and small enough to be broadcast."""
+    n, size = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
+    return n <= FEW and size <= NEEDLE_BYTES
+
+
+def hit_counts(corpus: DataFrame, needles: DataFrame) -> DataFrame:
+    """(query_id, uid, n): occurrences of each needle in each document that holds it, of a table or a stream."""
+    if _few(needles):
+        found = _spread(corpus).join(F.broadcast(_checked(needles).select("query_id", "query")), F.contains("text", "query"))
+        return found.select("query_id", "uid", count_overlapping(F.col("text"), F.col("query")).alias("n"))
+    return _scan(corpus, needles, "uid long, n long", lambda m, uid, text: ((k, uid, len(at)) for k, at in m.hits(text).items()), [pa.int64(), pa.int64()])
+
+
 def matches(corpus: DataFrame, needles: DataFrame) -> DataFrame:
     """(query_id, query, uid, text) of each document that holds a needle.
 
@@ -134,10 +150,8 @@ def matches(corpus: DataFrame, needles: DataFrame) -> DataFrame:
     broadcast join on ``contains``; more of them in one automaton, a pass over the
     corpus for each part.
     """
-    needles = _checked(needles)
-    n, size = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
-    if n <= FEW and size <= NEEDLE_BYTES:
-        return _spread(corpus).join(F.broadcast(needles.select("query_id", "query")), F.contains("text", "query")).select("query_id", "query", "uid", "text")
+    if _few(needles):
+        return _spread(corpus).join(F.broadcast(_checked(needles).select("query_id", "query")), F.contains("text", "query")).select("query_id", "query", "uid", "text")
     found = _scan(corpus, needles, "query string, uid long, text string", lambda m, uid, text: ((k, m.needles[k], uid, text) for k in m.found(text)), [pa.string(), pa.int64(), pa.string()])
     return found.select("query_id", "query", "uid", "text")
 
@@ -149,7 +163,7 @@ def pairs(corpus: DataFrame, needles: DataFrame) -> DataFrame:
 
 def count(corpus: DataFrame, needles: DataFrame) -> DataFrame:
     """(query_id, query, occurrences) of every needle; 0 where there is none."""
-    found = matches(corpus, needles).groupBy("query_id").agg(F.sum(count_overlapping(F.col("text"), F.col("query"))).alias("n"))
+    found = hit_counts(corpus, needles).groupBy("query_id").agg(F.sum("n").alias("n"))
     return needles.join(found, "query_id", "left").select("query_id", "query", F.coalesce("n", F.lit(0)).cast("long").alias("occurrences"))
 
 
@@ -162,7 +176,7 @@ def count_of(corpus: DataFrame, needle: str) -> DataFrame:
 
 def document_frequency(corpus: DataFrame, needles: DataFrame) -> DataFrame:
     """(query_id, query, documents) that hold each needle."""
-    found = matches(corpus, needles).groupBy("query_id").agg(F.countDistinct("uid").alias("n"))
+    found = (matches if _few(needles) else pairs)(corpus, needles).groupBy("query_id").agg(F.countDistinct("uid").alias("n"))
     return needles.join(found, "query_id", "left").select("query_id", "query", F.coalesce("n", F.lit(0)).cast("long").alias("documents"))
 
 
@@ -310,4 +324,4 @@ def highlight(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.concat(F.lit("..."), text("before"), F.lit("<b>"), "query", F.lit("</b>"), text("after"), F.lit("...")))
 
 
-__all__ = ["clean", "contains", "contaminated", "count", "count_of", "document_frequency", "highlight", "kwic", "kwic_top", "matches", "n_bytes", "pairs", "positions", "responses", "retrieve"]
+__all__ = ["clean", "contains", "contaminated", "count", "count_of", "document_frequency", "highlight", "hit_counts", "kwic", "kwic_top", "matches", "n_bytes", "pairs", "positions", "responses", "retrieve"]

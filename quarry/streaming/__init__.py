@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import count_overlapping
+from quarry.operators.search import hit_counts
 
 
 def count_stream(stream: DataFrame, needles: DataFrame) -> DataFrame:
-    """Running occurrences of each needle in a stream of (uid, text); write it in update or complete mode.
+    """Running occurrences (query_id, query, occurrences) of each needle found in a stream of (uid, text).
 
-    The state is one row for each needle.
+    Write it in update or complete mode; the state is one row for each needle.
     """
-    found = stream.join(F.broadcast(needles), F.contains("text", "query"))
-    return found.groupBy("query_id", "query").agg(F.sum(count_overlapping(F.col("text"), F.col("query"))).alias("occurrences"))
+    found = hit_counts(stream, needles).join(F.broadcast(needles.select("query_id", "query")), "query_id")
+    return found.groupBy("query_id", "query").agg(F.sum("n").alias("occurrences"))

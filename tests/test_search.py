@@ -57,6 +57,9 @@ def test_many_needles_agree_with_one_at_a_time(spark, docs, monkeypatch):
         want = sorted({(i, u) for i, q in enumerate(asked) for u, _ in brute(q)})
         assert sorted((r.query_id, r.uid) for r in search.pairs(docs, list_).collect()) == want
         assert sorted((r.query_id, r.uid) for r in search.matches(docs, list_).collect()) == want
+        counts = {r.query_id: r.occurrences for r in search.count(docs, list_).collect()}
+        assert counts == {i: len(brute(q)) for i, q in enumerate(asked)}
+        assert {r.query_id: r.documents for r in search.document_frequency(docs, list_).collect()} == {i: len({u for u, _ in brute(q)}) for i, q in enumerate(asked)}
 
 
 def test_first_suffixes_with_ties(spark, docs):
