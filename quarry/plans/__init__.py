@@ -17,6 +17,7 @@ from quarry.operators import corpus as corpora
 from quarry.operators import search, suffix_index, suffix_order, tokens
 from quarry.session import fresh_path
 from quarry.sources import flat_corpus, named, needles, number_rows, read_corpus, read_needles, read_results, write_results
+from quarry.sources.packed import read_packed, write_packed
 
 FREQUENT = ["the", "onon", "onenble", "é", "ééé", "aa", "Abraham Lincoln"]
 SHOWN = ["onenble", "ééé", "aa"]
@@ -410,3 +411,16 @@ def text_corpus(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("NOT contains(text, '\n') AND NOT contains(text, '\r')")
     items.select(F.trim("text").alias("value")).write.text(path)
     return read_corpus(spark, path, "text").groupBy(F.octet_length("text").cast("long").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as packed files."""
+    folder = fresh_path(spark, "packed")
+    write_packed(_docs(spark, sf_dir), folder)
+    return folder
+
+
+@_query("SELECT doc_id + 1 AS uid, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents")
+def packed_round_trip(spark, sf_dir):
+    """All documents through the packed files and back."""
+    return read_packed(spark, _packed(spark, sf_dir)).select("uid", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -13,5 +13,5 @@ def count_stream(stream: DataFrame, needles: DataFrame) -> DataFrame:
 
     Write it in update or complete mode; the state is one row for each needle.
     """
-    found = hit_counts(stream, needles).join(F.broadcast(needles.select("query_id", "query")), "query_id")
+    found = hit_counts(stream, needles).join(needles.select("query_id", "query"), "query_id")
     return found.groupBy("query_id", "query").agg(F.sum("n").alias("occurrences"))

@@ -11,7 +11,7 @@ from quarry.api import RequestError, Service, main
 from quarry.functions import pack_tokens, succ, unpack_tokens, valid_body, word_count
 from quarry.operators import corpus as corpora
 from quarry.operators import search, suffix_index, suffix_order, tokens
-from quarry.sources import needles, parse_request, read_corpus, read_results, write_results
+from quarry.sources import needles, packed, parse_request, read_corpus, read_results, write_results
 from quarry.streaming import count_stream
 
 TEXTS = ["aaaa", "The quick brown fox was very quick.", "é ééé x.(y)\n\\E end", "", None, "onononon", "aaaa", "x" * 200 + "quick" + "y" * 200]
@@ -148,6 +148,22 @@ def test_rank_and_lcp_of_a_corpus_follow_naive_order(spark):
     assert suffix_order.rank_corpus(corpus.limit(0)).count() == 0
 
 
+def test_packed_files_and_their_table(spark, docs, tmp_path):
+    for folder in (str(tmp_path / "a"), (tmp_path / "b").as_uri()):
+        manifest = packed.write_packed(docs.repartition(3), folder)
+        flat = b"".join(b"\xff\xff" + (i + 1).to_bytes(4, "little") + (t or "").encode() for i, t in enumerate(TEXTS))
+        assert (manifest["bytes"], manifest["documents"]) == (len(flat), len(TEXTS))
+        assert sorted((r.uid, r.text) for r in packed.read_packed(spark, folder).collect()) == [(i + 1, t or "") for i, t in enumerate(TEXTS)]
+        packed.write_table(spark, suffix_order.rank_corpus(docs), corpora.doc_offsets(docs), folder)
+        index = packed.PackedIndex(folder)
+        assert index.slice(0, 10**9) == flat and index.manifest["width"] == 2
+        for needle in ("aa", "quick", "onon", "é", "y", "nothing", "aaaa"):
+            want = {m.start() for m in re.finditer(b"(?=" + re.escape(needle.encode()) + b")", flat)}
+            assert index.count(needle.encode()) == len(want) and set(index.places(needle.encode())) == want
+        assert len(index.places(b"a", 2)) == 2
+    assert packed.write_packed(docs.limit(0), str(tmp_path / "none"))["documents"] == 0 and packed.read_packed(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_tokens_are_aligned(spark):
     t = spark.createDataFrame([(1, [1, 2, 1, 2, 1]), (2, [258, 1])], "uid long, tokens array<int>")
     assert sorted(r.token_pos for r in tokens.token_positions(t, [1, 2, 1]).collect()) == [0, 2]
