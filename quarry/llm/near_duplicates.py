@@ -46,8 +46,8 @@ GROUPS, WIDTH, PERCENT = 512, 5, 75
 FINE = 4096
 #: Documents sampled for the order, how many must have a shingle that is frequent, and the most such shingles.
 ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 4096, 4, 1 << 20
-#: Parts over which a frequent key is spread.
-SALTS = 32
+#: Least parts over which a frequent key is spread, and documents for which it gets one more; least tasks of a shuffle.
+SALTS, SALT_ROWS, TASKS = 32, 1 << 18, 24
 #: Points of a block of a tree, points of a leaf, and children of a node.
 BLOCK, LEAF = 1024, 8
 #: Bits of the filter of documents whose sets are wanted (a fixed size, so safe to broadcast).
@@ -314,10 +314,11 @@ def _trees(key: np.ndarray, n: np.ndarray, smaller: np.ndarray, percent: int) ->
     return kept, np.cumsum(cut_here) - 1
 
 
-def _dealt(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _dealt(docs: DataFrame, rows: int, width: int, percent: int) -> DataFrame:
     """(key, common, c, pivot) of classes that meet others in a tree; pivot is the smallest class there."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))  # at most ORDER_MOST
+    salts = max(SALTS, -(-rows // SALT_ROWS))  # a frequent key may be in any part of all rows
 
     def emit(batches):
         done = np.zeros(0, np.int64)  # a class is dealt once from each partition
@@ -333,7 +334,7 @@ def _dealt(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 keep = fresh[row]
                 keys, row, common, smaller = keys[keep], row[keep], common[keep], smaller[keep]
                 own = ids[row]
-                salt = np.where(common, own % SALTS, -1).astype(np.int8)  # -1: not a frequent one
+                salt = np.where(common, own % salts, -1).astype(np.int32)  # -1: not a frequent one
                 n = (sets.sizes[row] * np.where(smaller, 1, -1)).astype(np.int32)  # below 0: not as the smaller of a pair
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(n), pa.array(own)], ["key", "salt", "n", "c"])
 
@@ -361,8 +362,8 @@ def _dealt(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 pivot = np.minimum.reduceat(c[at], np.flatnonzero(new))[np.cumsum(new) - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.ones(len(at), bool)), pa.array(c[at]), pa.array(pivot)], ["key", "common", "c", "pivot"])
 
-    rows = docs.select("text").mapInArrow(emit, "key long, salt byte, n int, c long")
-    placed = rows.repartition(max(partitions(spark), 24), "key", "salt").sortWithinPartitions("key", "salt")
+    dealt = docs.select("text").mapInArrow(emit, "key long, salt int, n int, c long")
+    placed = dealt.repartition(max(partitions(spark), TASKS), "key", "salt").sortWithinPartitions("key", "salt")
     return placed.mapInArrow(meet, "key long, common boolean, c long, pivot long")
 
 
@@ -438,7 +439,7 @@ def _tree_pairs(groups: DataFrame, percent: int, forest: bool = False) -> DataFr
 def _links(docs: DataFrame, each: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link with another, root common to a component."""
     spark = docs.sparkSession
-    met = cut(_dealt(docs, width, percent))
+    met = cut(_dealt(docs, each.count(), width, percent))
     release(spark)
     points = each.where("n_shingles > 0").select("c", F.col("n_shingles").alias("n"), "point").join(met.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.max("n").alias("n"), F.max("point").alias("point"))
     points = cut(points)
@@ -495,7 +496,7 @@ def _blocks(some: DataFrame, percent: int) -> DataFrame:
     columns = ["key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "star", "n", "point"]
     small = some.where(f"m <= {BLOCK}").withColumn("block", F.lit(0)).withColumn("o", F.lit(0))
     rows = small.select(*columns).unionByName(spread.select(*columns))
-    return rows.repartition(max(partitions(spark), 24), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
+    return rows.repartition(max(partitions(spark), TASKS), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
 
 
 def _rooted(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
