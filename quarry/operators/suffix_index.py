@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import common_prefix, succ
+from quarry.functions import common_prefix, n_bytes, succ
 from quarry.sources import number_rows
 
 KEY_BYTES = 16
@@ -31,11 +31,33 @@ def suffixes(corpus: DataFrame, key_bytes: int | None = KEY_BYTES) -> DataFrame:
     return starts.select(F.substring("body", F.col("off") + 1, size).alias("key"), "uid", "off")
 
 
+#: Bytes of text whose suffixes make one partition of an index.
+PARTITION_BYTES = 16 << 20
+
+
+def planned_partitions(text_bytes: int, least: int = 1) -> int:
+    """Range partitions of an index over so many bytes of text."""
+    return max(least, -(-text_bytes // PARTITION_BYTES))
+
+
 def build(corpus: DataFrame, path: str, key_bytes: int = KEY_BYTES, partitions: int | None = None) -> None:
-    """Write the index, sorted by key over range partitions; sorted keys share their starts, which the delta encoding leaves out."""
-    rows = suffixes(corpus, key_bytes)
-    placed = rows.repartitionByRange(partitions, "key", "uid", "off") if partitions else rows.repartitionByRange("key", "uid", "off")
+    """Write the index, sorted by key over range partitions, and a row about it.
+
+    Sorted keys share their starts, which the delta encoding leaves out. Partitions
+    follow the bytes of text, and are at least as many as the session's cores.
+    """
+    spark = corpus.sparkSession
+    about = corpus.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(n_bytes(F.col("text"))), F.lit(0)).alias("body_bytes"), F.coalesce(F.sum(F.length(F.coalesce("text", F.lit("")))), F.lit(0)).alias("suffixes")).first()
+    partitions = partitions or planned_partitions(about["body_bytes"], spark.sparkContext.defaultParallelism)
+    placed = suffixes(corpus, key_bytes).repartitionByRange(partitions, "key", "uid", "off")
     placed.sortWithinPartitions("key", "uid", "off").write.mode("overwrite").option("parquet.block.size", 4 << 20).option("parquet.writer.version", "v2").option("compression", "zstd").parquet(path)
+    row = (about["documents"], about["body_bytes"], about["suffixes"], key_bytes, partitions)
+    spark.createDataFrame([row], "documents long, body_bytes long, suffixes long, key_bytes int, partitions int").coalesce(1).write.mode("overwrite").parquet(path.rstrip("/") + ".meta")
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(documents, body_bytes, suffixes, key_bytes, partitions) of a written index, without reading it."""
+    return spark.read.parquet(path.rstrip("/") + ".meta")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

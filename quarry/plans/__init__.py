@@ -287,6 +287,12 @@ def index_validate(spark, sf_dir):
     return suffix_index.validate(_index(spark, sf_dir), _docs(spark, sf_dir))
 
 
+@_query("SELECT count(*) AS documents, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS body_bytes, sum(length(coalesce(text, '')))::BIGINT AS suffixes, 16 AS key_bytes FROM documents")
+def index_metadata(spark, sf_dir):
+    _index(spark, sf_dir)
+    return suffix_index.metadata(spark, _BUILT[spark.sparkContext.applicationId, sf_dir]).drop("partitions")
+
+
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") + 1).cast("long").alias("uid"), F.col("n_name").alias("text"))
 

@@ -235,6 +235,15 @@ def test_command_line(spark, docs, tmp_path, capsys):
     assert "n_docs" in run("stats")
 
 
+def test_index_metadata_and_plan(spark, docs, tmp_path):
+    suffix_index.build(docs, str(tmp_path / "i"), 8, 3)
+    got = suffix_index.metadata(spark, str(tmp_path / "i")).first()
+    sizes = [len((t or "").encode()) for t in TEXTS]
+    assert (got.documents, got.body_bytes, got.suffixes, got.key_bytes, got.partitions) == (8, sum(sizes), sum(len(t or "") for t in TEXTS), 8, 3)
+    assert suffix_index.planned_partitions(0) == 1 and suffix_index.planned_partitions(10**9) == 60 and suffix_index.planned_partitions(5, 8) == 8
+    assert suffix_index.validate(suffix_index.load(spark, str(tmp_path / "i")), docs).first() == (got.suffixes, got.suffixes)
+
+
 def test_ranges_of_keys_hold_all_needles():
     keys = [b"ab", b"abc", b"\xff", b"z\xff", b"b", b"\xff\xff"]
     for most in (1, 2, 10):
