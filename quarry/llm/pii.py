@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
 from quarry.llm.pii_field import KINDS, Field, trained_field
-from quarry.llm.textkernel import BATCH_BYTES, chunks
+from quarry.llm.textkernel import chunks
 
+#: Bytes of text whose words are tagged at once, and rows that a worker takes up at once: both bound its memory.
+CHUNK, ROWS = 512 << 10, 512
 #: The kinds that the patterns find.
 BASE_KINDS = KINDS[:4]
 
@@ -93,7 +95,7 @@ def find_spans(texts: list[str] | pa.Array, field: Field | None = None) -> list[
     field = field or trained_field()
     column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
     out = []
-    for chunk in chunks(column, BATCH_BYTES):
+    for chunk in chunks(column, CHUNK):
         extra: dict[int, list[tuple[int, int, str]]] = {}
         for row, *span in field.spans(chunk):
             extra.setdefault(row, []).append(tuple(span))
@@ -121,10 +123,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches):
         for batch in batches:
-            found = find_spans(batch.column("text"), field.value)
-            counts = [[sum(s[2] == k for s in base) for base, _ in found] for k in BASE_KINDS]
-            digest = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([_joined(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                found = find_spans(part.column("text"), field.value)
+                counts = [[sum(s[2] == k for s in base) for base, _ in found] for k in BASE_KINDS]
+                digest = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([_joined(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
     shape_ = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, shape_)
@@ -149,10 +153,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
-            found = find_spans(batch.column(at), field.value)
-            new = pa.array([t if not spans else redact_text(t, spans) for t, (_, spans) in zip(texts, found)], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                texts = part.column(at).to_pylist()
+                found = find_spans(part.column(at), field.value)
+                new = pa.array([t if not spans else redact_text(t, spans) for t, (_, spans) in zip(texts, found)], batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([new if i == at else part.column(i) for i in range(part.num_columns)], schema=part.schema)
 
     return docs.mapInArrow(run, schema)
 
