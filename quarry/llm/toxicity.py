@@ -85,7 +85,7 @@ class BlockMaxIndex:
     def __init__(self, feature: np.ndarray, example: np.ndarray, weight: np.ndarray, features: int, examples: int, block: int = BLOCK):
         self.examples, self.block, self.blocks = examples, block, -(-examples // block)
         # the vectors themselves, by example and feature
-        by = np.argsort(example.astype(np.int64) * max(features, 1) + feature, kind="stable")
+        by = np.lexsort((feature, example)).astype(np.int32)
         self.of, self.own_weight = feature[by].astype(np.int32), weight[by].astype(np.float32)
         self.own_first = np.searchsorted(example[by], np.arange(examples + 1))
         df = np.bincount(feature, minlength=features)
@@ -109,9 +109,9 @@ class BlockMaxIndex:
 
     def _like_together(self, df: np.ndarray) -> np.ndarray:
         """The examples by their strongest feature among those that many have: what is alike shares blocks."""
-        w = np.where(df[self.of] >= max(2, self.examples // 20), self.own_weight, 0)
-        row = np.repeat(np.arange(self.examples), np.diff(self.own_first))
-        by = np.lexsort((-w, row))
+        w = np.where(df[self.of] >= max(2, self.examples // 20), self.own_weight, np.float32(0))
+        row = np.repeat(np.arange(self.examples, dtype=np.int32), np.diff(self.own_first))
+        by = np.lexsort((-w, row)).astype(np.int32)
         strongest = np.full(self.examples, -1, np.int64)
         have = np.diff(self.own_first) > 0
         strongest[have] = self.of[by[self.own_first[:-1][have]]]
@@ -212,14 +212,15 @@ def _index(example: np.ndarray, hashes: np.ndarray, counts: np.ndarray, labels:
     """Weights and index of examples given as (example, feature, count)."""
     n = len(labels)
     names, feature = np.unique(hashes, return_inverse=True)
+    feature = feature.astype(np.int32)
     df = np.bincount(feature, minlength=len(names)).astype(np.float64)
     with_label = np.bincount(feature, weights=labels[example], minlength=len(names))
     idf = np.log((1 + n) / (1 + df)) + 0.01
     # relevance frequency: how many examples with the label have the feature for each one without
     weight = idf * np.log2(2 + with_label / np.maximum(df - with_label, 1))
-    w = (1 + np.log(counts)) * weight[feature]
+    w = ((1 + np.log(counts)) * weight[feature]).astype(np.float32)
     norm = np.sqrt(np.bincount(example, weights=w * w, minlength=n))
-    w /= np.maximum(norm[example], 1e-12)
+    w /= np.maximum(norm, 1e-12).astype(np.float32)[example]
     return Model(names, weight, float(np.log(1 + n) + 0.01), BlockMaxIndex(feature, example, w, len(names), n), labels, ids, float(labels.mean()) if n else 0.0)
 
 
@@ -258,22 +259,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     if not len(y) or not 0 < y.sum() < len(y):
         rate = float(y.mean()) if len(y) else 0.0
         return Model(rate=rate, slope=0.0, shift=float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
-    h = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("h")]
-    n = [np.frombuffer(x.as_py(), "<u4") for x in got.column("n")]
-    example = np.repeat(np.arange(len(y)), [len(x) for x in h])
+    size = [x.as_buffer().size // 8 for x in got.column("h")]
+    h, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]) for name, kind in (("h", np.uint64), ("n", "<u4")))
+    del got
+    example = np.repeat(np.arange(len(y), dtype=np.int32), size)
     edges = np.searchsorted(example, np.arange(len(y) + 1))
-    h, n = np.concatenate(h), np.concatenate(n).astype(np.int64)
     part, votes = np.arange(len(y)) % PARTS, np.zeros(len(y))
     for p in range(PARTS):
         inside = np.flatnonzero(part != p)
-        number = np.cumsum(part != p) - 1
+        number = (np.cumsum(part != p) - 1).astype(np.int32)
         pick = part[example] != p
+        model = None  # one index at a time
         model = _index(number[example[pick]], h[pick], n[pick], y[inside], ids[inside])
-        for out in np.array_split(np.flatnonzero(part == p), -(-len(y) // 256)):
+        for out in np.array_split(np.flatnonzero(part == p), -(-len(y) // (64 * PARTS))):
             mine = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in out]) if len(out) else np.zeros(0, np.int64)
             row = np.searchsorted(out, example[mine])
             features, weights, pick = model.vectors(row, h[mine], n[mine], len(out))
             votes[out] = model.votes(row[pick], features, weights, len(out))[0]
+    model = None
     model = _index(example, h, n, y, ids)
     model.slope, model.shift = _calibration(votes, y)
     return model
