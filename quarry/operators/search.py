@@ -25,8 +25,8 @@ from quarry.sources import with_next
 NEEDLE_BYTES, FEW = 8 << 20, 12
 #: Hits shown with context for a query, and bytes of context on each side.
 CONTEXT_HITS, CONTEXT_BYTES = 64, 128
-#: Rows that a worker hands on at once.
-BATCH = 1 << 15
+#: Rows that a worker hands on at once, and bytes of first suffixes that it keeps.
+BATCH, HELD_BYTES = 1 << 15, 64 << 20
 
 
 def _checked(needles: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def kwic_top(corpus: DataFrame, needles: DataFrame, hits: int = CONTEXT_HITS, wi
 
     Suffixes run on into the tag of the document with the next higher uid, as in
     one flat corpus. Each document gives its own first ``hits``; each task keeps as
-    many of each needle, so what is sorted at last is bounded by tasks and needles.
+    many of each needle, up to HELD_BYTES together, before it hands them on.
     ``key_bytes`` cuts the key (ties then go by uid and pos). A corpus that already
     has ``next``, the next higher uid of the whole, keeps it.
     """
@@ -259,7 +259,24 @@ def kwic_top(corpus: DataFrame, needles: DataFrame, hits: int = CONTEXT_HITS, wi
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):
-            machine, best = _Automaton(shared.value), {}
+            machine, best, size = _Automaton(shared.value), {}, 0
+
+            def rows():
+                held, n = [], 0
+                for k, own in best.items():
+                    for key, uid, p, a, z in own:
+                        for i in machine.ids[machine.needles[k]]:
+                            held.append((i, machine.needles[k], uid, p, key, a, z))
+                            n += len(key) + 2 * width
+                            if n > HELD_BYTES // 8:
+                                yield batch_of(held)
+                                held, n = [], 0
+                if held:
+                    yield batch_of(held)
+
+            def batch_of(held):
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), [arrow, pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names)
+
             for batch in batches:
                 for uid, text, after_uid in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("next").to_pylist()):
                     found = machine.hits(text)
@@ -272,11 +289,14 @@ def kwic_top(corpus: DataFrame, needles: DataFrame, hits: int = CONTEXT_HITS, wi
                         n = len(machine.needles[k].encode())
                         some = first_suffixes(flat, at, hits) if not key_bytes else sorted(at.tolist(), key=lambda p: (flat[p : p + key_bytes], p))[:hits]
                         own = [(flat[p : p + key_bytes] if key_bytes else flat[p:], uid, p, body[max(p - width, 0) : p], body[p + n : p + n + width]) for p in some]
-                        best[k] = heapq.nsmallest(hits, [*best.get(k, ()), *own])
-            rows = [(i, machine.needles[k], uid, p, key, a, z) for k, own in best.items() for key, uid, p, a, z in own for i in machine.ids[machine.needles[k]]]
-            for lo in range(0, len(rows), 1024):
-                cols = zip(*rows[lo : lo + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [arrow, pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names)
+                        before = best.get(k, [])
+                        best[k] = heapq.nsmallest(hits, [*before, *own])
+                        size += sum(len(x[0]) + 2 * width for x in best[k]) - sum(len(x[0]) + 2 * width for x in before)
+                    if size > HELD_BYTES:  # handed on as they are: the last sort picks among them
+                        yield from rows()
+                        best.clear()
+                        size = 0
+            yield from rows()
 
         one = follows.select("uid", "text", "next").mapInArrow(run, shape)
         out = one if out is None else out.unionAll(one)

@@ -62,13 +62,14 @@ def test_many_needles_agree_with_one_at_a_time(spark, docs, monkeypatch):
         assert {r.query_id: r.documents for r in search.document_frequency(docs, list_).collect()} == {i: len({u for u, _ in brute(q)}) for i, q in enumerate(asked)}
 
 
-def test_first_suffixes_with_ties(spark, docs):
+def test_first_suffixes_with_ties(spark, docs, monkeypatch):
     body = b"ab" * 3000 + b"a" * 700
     at = np.array([m.start() for m in re.finditer(b"(?=a)", body)])
     assert search.first_suffixes(body, at, 64) == sorted(at.tolist(), key=lambda p: body[p:])[:64]
     asked = spark.createDataFrame([(0, "a"), (1, "quick"), (2, "é")], "query_id int, query string")
     flat = {i + 1: (t or "").encode() + (b"" if i + 1 == len(TEXTS) else b"\xff\xff" + (i + 2).to_bytes(4, "little")) for i, t in enumerate(TEXTS)}
-    for hits in (3, 64):
+    for hits, held in ((3, search.HELD_BYTES), (64, search.HELD_BYTES), (3, 100)):
+        monkeypatch.setattr(search, "HELD_BYTES", held)
         got = {(r.query_id, r.k): (r.uid, r.pos) for r in search.kwic_top(docs, asked, hits=hits).collect()}
         for i, q in enumerate(["a", "quick", "é"]):
             want = sorted(brute(q), key=lambda x: (flat[x[0]][x[1] :], x))[:hits]
