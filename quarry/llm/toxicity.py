@@ -31,6 +31,8 @@ STARTS = (0, 4, 5, 6)
 SHARPNESS, SMOOTHING = 2.0, 1e-3
 #: Parts of the sample that are left out in turn for the calibration.
 PARTS = 5
+#: Queries whose products with all examples are held at once.
+QUERIES = 64
 #: A feature's list is long if more than one example in so many has it.
 LONG = 20
 EVIDENCE = 5
@@ -118,12 +120,18 @@ class BlockMaxIndex:
         return np.lexsort((np.arange(self.examples), strongest))
 
     def nearest(self, row: np.ndarray, features: np.ndarray, weights: np.ndarray, rows: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of ``rows`` queries, given as (row, feature, weight), the k nearest by dot product among those that share a feature.
+        """For each of ``rows`` queries, given as (row, feature, weight) by row, the k nearest by dot product among those that share a feature.
 
-        Ties go by the number of the example.
+        Ties go by the number of the example. QUERIES of them are searched at once.
         """
         if not self.examples:
             return [(np.zeros(0, np.int64), np.zeros(0))] * rows
+        if rows > QUERIES:
+            out = []
+            for lo in range(0, rows, QUERIES):
+                a, b = np.searchsorted(row, (lo, lo + QUERIES))
+                out += self.nearest(row[a:b] - lo, features[a:b], weights[a:b], min(QUERIES, rows - lo), k)
+            return out
         size = self.size[features]
         at = np.repeat(self.first[features] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         total = np.bincount(np.repeat(row * self.examples, size) + self.place[at], weights=self.weight[at] * np.repeat(weights, size), minlength=rows * self.examples).astype(np.float64).reshape(rows, self.examples)
