@@ -15,7 +15,7 @@ from quarry.sources import number_rows
 
 KEY_BYTES = 16
 #: Ranges of keys that one scan is narrowed to.
-RANGES = 128
+RANGES = 8
 
 
 def suffixes(corpus: DataFrame, key_bytes: int | None = KEY_BYTES) -> DataFrame:
@@ -92,8 +92,8 @@ def key_ranges(keys: list[bytes], most: int = RANGES) -> list[tuple[bytes, bytes
 def look_up_all(index: DataFrame, needles: DataFrame, corpus: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(query_id, uid, off) of every occurrence of every needle.
 
-    One scan narrowed to the ranges of keys that needles start, which the sorted
-    files' statistics skip the rest of; what is left meets the needles by an
+    One scan, for up to RANGES needles narrowed to the ranges of keys that they
+    start, which the sorted files' statistics skip the rest of; it meets the needles by an
     equi-join on as many bytes as the shortest of them has, and longer needles are
     verified in the bodies.
     """
@@ -102,8 +102,8 @@ def look_up_all(index: DataFrame, needles: DataFrame, corpus: DataFrame, key_byt
     seeds = [bytes(x.as_py()) for x in rows.column("seed")]
     if not seeds:
         return index.select(F.lit(0).alias("query_id"), "uid", "off").limit(0)
-    narrowed = F.lit(False)
-    for low, high in key_ranges(seeds):
+    narrowed = F.lit(len(set(seeds)) > RANGES)  # many needles touch most row groups, and testing each row for each range costs more than the join
+    for low, high in key_ranges(seeds) if len(set(seeds)) <= RANGES else ():
         one = F.col("key") >= F.lit(low)
         narrowed = narrowed | (one & (F.col("key") < F.lit(high)) if high else one)
     m = min(len(x) for x in seeds)
