@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import strip
+from quarry.session import fresh_path
 
 #: Text column and keys of the named tables of a folder.
 NAMED = {"documents": ("text", ["doc_id"]), "pages": ("html", ["page_id"]), "conversations": ("text", ["conv_id", "turn"]), "benchmark": ("text", ["item_id"])}
@@ -46,10 +47,15 @@ def number_rows(df: DataFrame, order: list[str], name: str = "uid", start: int =
     """Consecutive ids in a declared order, without one task seeing all rows.
 
     Range-partitioned and sorted, counted by partition, then numbered from each
-    partition's base; the counts are one row for each partition.
+    partition's base; the counts are one row for each partition. The rows are written
+    once: planned again, their ranges would come from another sample and no longer fit
+    the counts.
     """
     spark = df.sparkSession
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    path = fresh_path(spark, "numbered")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
     counts = sorted((r["__p"], r["n"]) for r in placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
     bases, total = {}, start
     for p, n in counts:

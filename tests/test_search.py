@@ -11,7 +11,7 @@ from quarry.api import RequestError, Service, main
 from quarry.functions import pack_tokens, succ, unpack_tokens, valid_body, word_count
 from quarry.operators import corpus as corpora
 from quarry.operators import search, suffix_index, suffix_order, tokens
-from quarry.sources import needles, packed, parse_request, read_corpus, read_results, write_results
+from quarry.sources import needles, number_rows, packed, parse_request, read_corpus, read_results, write_results
 from quarry.streaming import count_stream
 
 TEXTS = ["aaaa", "The quick brown fox was very quick.", "é ééé x.(y)\n\\E end", "", None, "onononon", "aaaa", "x" * 200 + "quick" + "y" * 200]
@@ -280,3 +280,17 @@ def test_results_survive_csv_and_sources_read(spark, docs, tmp_path):
 def test_small_functions(spark):
     assert succ(b"a\xff") == b"b" and succ(b"\xff") is None and succ(b"ab") == b"ac"
     assert [spark.range(1).select(word_count(F.lit(t))).first()[0] for t in ("a b\tc", "", "  ")] == [3, 0, 0]
+
+
+def test_numbers_fit_the_ranges_that_were_counted(spark):
+    small = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = number_rows(spark.range(0, 20_000, 1, 4).selectExpr("id % 23 AS source", "id AS doc_id"), ["source", "doc_id"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.uid for r in rows} == set(range(1, 20_001))
+    assert [(r.source, r.doc_id) for r in sorted(rows, key=lambda r: r.uid)] == sorted((i % 23, i) for i in range(20_000))
