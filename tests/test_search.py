@@ -294,3 +294,27 @@ def test_numbers_fit_the_ranges_that_were_counted(spark):
             spark.conf.set(k, v)
     assert {r.uid for r in rows} == set(range(1, 20_001))
     assert [(r.source, r.doc_id) for r in sorted(rows, key=lambda r: r.uid)] == sorted((i % 23, i) for i in range(20_000))
+
+
+def test_index_takes_fewer_bytes_than_its_text(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("aeinorst"), 5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 500)) for _ in range(200)]
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "uid long, text string").repartition(2)
+    suffix_index.build(corpus, str(tmp_path / "i"), partitions=2)
+    assert sum(p.stat().st_size for p in (tmp_path / "i").glob("*.parquet")) < sum(len(t) for t in texts)
+    index = suffix_index.load(spark, str(tmp_path / "i"))
+    for needle in (texts[7][3:40], texts[7][3:5], vocabulary[3] + " ", "zz", "zzzzz"):
+        want = sorted((i, m.start()) for i, t in enumerate(texts) for m in re.finditer(f"(?={needle})", t))
+        assert sorted(tuple(r) for r in suffix_index.look_up(index, needle, corpus).collect()) == want
+        assert suffix_index.count_of(index, needle, corpus).first()[0] == len(want)
+
+
+def test_long_matches_count_shared_keys(spark, docs, monkeypatch):
+    for key_bytes, size in ((2, 1 << 20), (9, 300)):
+        monkeypatch.setattr(suffix_index, "PASS_BYTES", size)
+        keys = [t.encode()[len(t[:i].encode()) :][:key_bytes] for t in TEXTS if t for i in range(len(t))]
+        sizes = [keys.count(k) for k in set(keys) if len(k) == key_bytes]
+        several = [n for n in sizes if n > 1]
+        assert tuple(suffix_index.long_matches(docs, key_bytes).first()) == (len(several), sum(several), max(sizes))
+    assert tuple(suffix_index.long_matches(docs.limit(0)).first()) == (0, 0, 0)
