@@ -258,21 +258,36 @@ def validate(index: DataFrame, corpus: DataFrame) -> DataFrame:
 PASSES, PASS_BYTES = 8, 8 << 20
 
 
-def key_hashes(buf: np.ndarray, bounds: np.ndarray, key_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every key of full length that starts at a code point."""
+#: Bytes of text that are hashed at once: its arrays stay in a core's cache.
+HASHED = 128 << 10
+
+
+def _words(buf: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The ``width`` (up to 8) bytes from each of the first ``n`` places as one number."""
+    word, have = buf.astype(np.uint64), 1
+    while have * 2 <= width:
+        word, have = (word[:-have] << np.uint64(8 * have)) | word[have:], have * 2
+    out = word[:n]
+    for j in range(have, width):
+        out = (out << np.uint64(8)) | buf[j : j + n]
+    return out
+
+
+def key_hashes(buf: np.ndarray, bounds: np.ndarray, key_bytes: int, passes: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every key of full length that starts at a code point and belongs to pass ``k``."""
     n = len(buf) - key_bytes + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     left = np.repeat(bounds[1:], np.diff(bounds))[:n] - np.arange(n)
-    at = ((buf[:n] & 0xC0) != 0x80) & (left >= key_bytes)
-    a = b = np.zeros(n, np.uint64)
-    step = 8
-    for i in range(0, key_bytes, step):  # eight bytes at once
-        word = np.zeros(n, np.uint64)
-        for j in range(i, min(i + step, key_bytes)):
-            word = (word << np.uint64(8)) | buf[j : j + n]
-        a, b = _mixed(a ^ word), _mixed(b + word * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return a[at], b[at]
+    words = [_words(buf[i:], n, min(8, key_bytes - i)) for i in range(0, key_bytes, 8)]
+    a = np.zeros(n, np.uint64)
+    for word in words:
+        a = _mixed(a ^ word)
+    at = np.flatnonzero(((buf[:n] & 0xC0) != 0x80) & (left >= key_bytes) & (a % np.uint64(passes) == k))
+    b = np.zeros(len(at), np.uint64)
+    for word in words:
+        b = _mixed(b + word[at] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return a[at] // np.uint64(passes), b
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -293,27 +308,34 @@ def long_matches(corpus: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     parts = max(spark.sparkContext.defaultParallelism, -(-size // (passes * (2 << 20))))  # some 16 MB of hashes in each
 
     def dealt(batches, k):
-        def cut(texts):
+        def hashed(texts):
             bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            a, b = key_hashes(np.frombuffer(b"".join(texts), np.uint8), bounds, key_bytes)
-            mine = a % np.uint64(passes) == k
-            part, b = ((a[mine] // np.uint64(passes)) % np.uint64(parts)).astype(np.int64), b[mine]
+            return key_hashes(np.frombuffer(b"".join(texts), np.uint8), bounds, key_bytes, passes, k)
+
+        def cut(found):
+            part, b = (np.concatenate(x) for x in zip(*found))
+            part = (part % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, b = part[order], b[order]
             first = np.flatnonzero(np.diff(part, prepend=-1))
             blobs = [x.tobytes() for x in np.split(b, first[1:])] if len(first) else []
             return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array(blobs, pa.binary())], ["part", "hashes"])
 
-        held, size = [], 0
+        held, size, found, total = [], 0, [], 0
         for batch in batches:
             for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()):
                 held.append(text.as_py())
                 size += len(held[-1])
-                if size >= 2 * SHARD_BYTES:
-                    yield cut(held)
-                    held, size = [], 0
+                if size >= HASHED:
+                    found.append(hashed(held))
+                    held, size, total = [], 0, total + size
+                if total >= 2 * SHARD_BYTES:
+                    yield cut(found)
+                    found, total = [], 0
         if held:
-            yield cut(held)
+            found.append(hashed(held))
+        if found:
+            yield cut(found)
 
     def counted(table: pa.Table) -> pa.Table:
         h = np.sort(np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64))
