@@ -2,6 +2,7 @@ import base64
 import json
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -318,3 +319,27 @@ def test_long_matches_count_shared_keys(spark, docs, monkeypatch):
         several = [n for n in sizes if n > 1]
         assert tuple(suffix_index.long_matches(docs, key_bytes).first()) == (len(several), sum(several), max(sizes))
     assert tuple(suffix_index.long_matches(docs.limit(0)).first()) == (0, 0, 0)
+
+
+def test_suffix_order_over_many_ranges_with_long_ties(spark, monkeypatch):
+    monkeypatch.setattr(suffix_order, "RANGE_BYTES", 300)
+    rng = np.random.default_rng(3)
+    long = " ".join(rng.choice(["the", "onon", "é", "aa", "quick"], 300))
+    texts = [long, long, long[:700] + "!" + long[700:], long[3:], "z" + long, *["a copy of some length that occurs often, and of more than a few words"] * 9, "a" * 900, "a" * 900, "ab" * 450, "a", "a\0", "a\0\0b", "", None, "\U0001f600é" * 30]
+    corpus = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "uid long, text string").repartition(3)
+    want = sorted((t[i:].encode(), u + 1, len(t[:i].encode())) for u, t in enumerate(texts) for i in range(len(t or "")))
+    shared = [0] + [next((k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(want, want[1:])]
+    assert sorted(tuple(r) for r in suffix_order.rank_corpus(corpus).collect()) == [(i, u, o) for i, (_, u, o) in enumerate(want)]
+    assert sorted(tuple(r) for r in suffix_order.lcp_corpus(corpus).collect()) == list(enumerate(shared))
+
+
+def test_suffix_order_takes_few_bytes_of_disk(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("aeinorst"), 5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 500)) for _ in range(200)]
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "uid long, text string").repartition(2)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    assert suffix_order.rank_corpus(corpus).count() == suffix_order.lcp_corpus(corpus).count() == sum(len(t) for t in texts)
+    assert size() - before < 6 * sum(len(t) for t in texts)  # of both
