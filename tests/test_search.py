@@ -2,6 +2,7 @@ import base64
 import json
 import re
 import time
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -343,3 +344,28 @@ def test_suffix_order_takes_few_bytes_of_disk(spark):
     before = size()
     assert suffix_order.rank_corpus(corpus).count() == suffix_order.lcp_corpus(corpus).count() == sum(len(t) for t in texts)
     assert size() - before < 6 * sum(len(t) for t in texts)  # of both
+
+
+def test_first_suffixes_of_a_long_body_take_bounded_bytes():
+    body = ("no two are alike in this, but all begin so, for more bytes than are compared at first: " * 2 + "z").encode() * 2000
+    at = np.array([m.start() for m in re.finditer(b"no two", body)][:400], np.int64)
+    tracemalloc.start()
+    got = search.first_suffixes(body, at, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == sorted(at.tolist(), key=lambda p: body[p:])[:64]
+    assert peak < 100 << 20  # 133 MB where each suffix is a copy
+
+
+def test_kwic_top_over_lists_that_are_handed_on(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["the", "aa", "onon", "quick"], 40_000)) for _ in range(3)] + ["the aa", "aa", None, "quick the"]
+    corpus = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "uid long, text string").coalesce(1)
+    asked = ["the", "aa", "onon the", "quick"]
+    got = search.kwic_top(corpus, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), hits=30).collect()
+    for i, q in enumerate(asked):
+        every = []
+        for u, t in enumerate(texts):
+            flat = (t or "").encode() + (b"\xff\xff" + (u + 2).to_bytes(4, "little") if u + 1 < len(texts) else b"")
+            every += [(flat[m.start() : m.start() + 400], u + 1, m.start()) for m in re.finditer(f"(?={q})".encode(), (t or "").encode())]
+        assert [(r.uid, r.pos) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.k)] == [x[1:] for x in sorted(every)[:30]]
