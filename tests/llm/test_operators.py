@@ -501,6 +501,71 @@ def test_probabilities_of_every_restaurant_sum_to_one(spark):
     assert abs(model.rare(np.append(rare, 0)).sum() - 1) < 1e-6
 
 
+def test_every_word_and_context_has_its_restaurant(spark):
+    """Scores against a plain computation, with words beyond the head; probabilities after any two words sum to one."""
+    rng, side_by = np.random.default_rng(3), language_model.CONTEXT_WORDS
+    texts = [" ".join(f"w{int(x)}" for x in [*rng.zipf(1.3, 30), *rng.integers(200, 400, 10)] if x < 400) for _ in range(60)] + ["x1 y1", "x2 y2"] * 4 + ["x1 y1", "x1 y2", "x1 unseen", None, ""]
+    learn = [i < 60 + 4 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i + 7, i, t, on) for i, (t, on) in enumerate(zip(texts, learn))], "rid long, doc_id long, text string, learn boolean")
+    m, table = language_model.train(docs.where("learn").select("text"), classes=270, head=300, pairs=200)
+    gains = {r["k"]: r["value"] for r in table.where("kind = 2").collect()}
+    got = {r["doc_id"]: r for r in rows(language_model.score(docs, m, table))}
+    split = lambda t: ["<s>", "<s>", *(t or "").split(), "</s>"]
+    grams = [[tuple(s[i : i + 3]) for i in range(len(s) - 2)] for s in map(split, texts)]
+    counts, words = {}, {}
+    for on, g in zip(learn, grams):
+        for x in g if on else []:
+            counts[x] = counts.get(x, 0) + 1
+            words[x[2]] = words.get(x[2], 0) + 1
+    raw = [*words, "unseen"]
+    buf = list(chunks(pa.array([w for w in raw if w != "</s>"])))[0]
+    h = dict(zip([w for w in raw if w != "</s>"], language_model.span_hashes(buf.buf, *language_model.words(buf)[:2])))
+    h["</s>"] = language_model.END
+    kind = {w: int(m.look_up(np.array([x], np.uint64))[1][0]) for w, x in h.items()} | {"<s>": m.side - 1}
+    two_of = lambda a, b: (kind[a] - 1) * side_by + kind[b] if 0 < kind[a] <= side_by and 0 < kind[b] <= side_by else 0
+    tail = {x: n for x, n in counts.items() if not (kind[x[1]] and kind[x[2]])}
+    one = {}
+    for a, b, w in tail:
+        one[b, w] = one.get((b, w), 0) + 1
+    followers, rarer = {}, {}
+    for (a, b, w), n in counts.items():
+        followers.setdefault((a, b), []).append((w, n))
+    for (b, _), n in one.items():
+        rarer.setdefault(b, []).append(n)
+    fit = lambda v: min(max((v.count(1) + 0.5) / (v.count(1) + 2 * v.count(2) + 1), 0.05), 0.95)
+    d1, d2 = fit([n for (b, _), n in one.items() if kind[b]]), fit([n for (_, b, _), n in tail.items() if kind[b]])
+
+    def seat(c, d, of, over):
+        return (max(c - d, 0) + (1 + d * len(of)) * over) / (1 + sum(of))
+
+    def p(a, b, w):
+        u, two, rare = kind[b], two_of(a, b), float(m.rare(np.array([words.get(w, 0)]))[0]) if not kind[w] else 1.0
+        k = u * m.side + kind[w]
+        head = float(m.back[u] * m.root[kind[w]]) * 10 ** gains.get(k * language_model.STEP, 0.0)
+        if two:
+            outer = float(m.back_two[two]) * head * 10 ** gains.get(k * language_model.STEP + two, 0.0)
+            if kind[w]:
+                return outer
+        if u and kind[w]:
+            level = head
+        else:
+            level = seat(one.get((b, w), 0), d1, rarer.get(b, []), rare if u else head * rare)
+            level *= head if u and not two else 1.0
+        after = [n for z, n in followers.get((a, b), []) if not (two and kind[z])]
+        return seat(counts.get((a, b, w), 0), d2, after, level) * (outer if two else 1.0)
+
+    for a, b in {(g[0], g[1]) for x in grams[:6] + grams[-5:] for g in x} | {("w1", "w1"), ("w39", "unseen")}:
+        kind.setdefault(a, 0)
+        assert abs(sum(p(a, b, w) for w in raw) - 1) < 1e-6
+    kinds_of = {(bool(two_of(a, b)), kind[b] > 0, kind[w] > 0) for a, b, w in counts}
+    assert len(kinds_of) == 6  # every way of the model
+    for i, g in enumerate(grams):
+        want = sum(np.log10(p(*x)) for x in g)
+        assert abs(got[i]["score"] - want) < 1e-5 * max(1, abs(want)), (texts[i], got[i]["score"], want)
+    n = len(texts)
+    assert got[n - 5]["score"] > got[n - 4]["score"] + 0.1  # rare words after a rare one
+
+
 def test_language_model_of_repeated_ids_and_no_rows(spark):
     table = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "x"), (2, "a b a b a b")], "doc_id long, text string")
     got = rows(language_model.score_documents(table))
