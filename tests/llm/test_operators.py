@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -566,6 +567,21 @@ def test_every_word_and_context_has_its_restaurant(spark):
     assert got[n - 5]["score"] > got[n - 4]["score"] + 0.1  # rare words after a rare one
 
 
+def test_parts_grow_with_tokens_not_with_partitions():
+    assert language_model.parts_for(27_000_000, 211) == language_model.parts_for(27_000_000, 1000) < 32
+    assert language_model.parts_for(135_000_000, 51) == 102 and language_model.parts_for(8 << 30, 200) == 1024
+
+
+def test_packed_rows_are_written_and_sent_in_bounded_pieces(spark):
+    """Rows of 1 MB of a task: no row group nor batch holds them all."""
+    random = lambda batches: (pa.RecordBatch.from_pydict({"data": [np.random.default_rng(i).bytes(1 << 20)]}) for b in batches for i in b.column("id").to_pylist())
+    table = language_model.cut(spark.range(0, 48, 1, 1).mapInArrow(random, "data binary"))
+    groups = [g for x in table.inputFiles() for m in [pq.read_metadata(urlparse(x).path)] for g in (m.row_group(i).total_byte_size for i in range(m.num_row_groups))]
+    sizes = language_model.cut(table.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes], "rows": [b.num_rows]}) for b in batches), "n long, rows long")).collect()
+    assert sum(groups) >= 48 << 20 and max(groups) < 24 << 20
+    assert sum(r["rows"] for r in sizes) == 48 and max(r["n"] for r in sizes) < 12 << 20
+
+
 def test_language_model_of_repeated_ids_and_no_rows(spark):
     table = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "x"), (2, "a b a b a b")], "doc_id long, text string")
     got = rows(language_model.score_documents(table))
