@@ -334,6 +334,24 @@ def test_suffix_order_over_many_ranges_with_long_ties(spark, monkeypatch):
     assert sorted(tuple(r) for r in suffix_order.lcp_corpus(corpus).collect()) == list(enumerate(shared))
 
 
+def test_suffixes_alike_for_long_are_ranked_by_their_anchors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("aeinorst"), 6)) for _ in range(500)]
+    long = [" ".join(rng.choice(vocabulary, 150)) for _ in range(3)]
+    texts = [t + end for end in ("", "", "!", " more", "") for t in long]
+    corpus = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "uid long, text string").coalesce(2)
+    each, _, folder = suffix_order._ranges(corpus)
+    read, piece, n = [], suffix_order._Range.piece, 0
+    monkeypatch.setattr(suffix_order._Range, "piece", lambda self, *a: read.append(1) or piece(self, *a))
+    for r in each.collect():
+        own = suffix_order._Range(suffix_order._Shards(folder), [p.asDict() for p in r["places"]])
+        order = own.ranked()
+        n += len(order)
+        keys = [(texts[u - 1][o:].encode(), u) for u, o in zip(own.uid[order].tolist(), (own.at[order] - own.begin[order]).tolist())]
+        assert keys == sorted(keys)
+    assert n == sum(map(len, texts)) and len(read) < n / 10
+
+
 def test_suffix_order_takes_few_bytes_of_disk(spark):
     rng = np.random.default_rng(6)
     vocabulary = ["".join(rng.choice(list("aeinorst"), 5)) for _ in range(400)]
